@@ -13,9 +13,9 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _members(kind: str) -> str:
-    """The characters up to U+024F whose general category starts with kind, as ranges of a character class."""
+    """The characters up to U+02AF whose general category starts with kind, as ranges of a character class."""
     out, run = [], []
-    for c in [*range(0x250), None]:
+    for c in [*range(0x2B0), None]:
         if c is not None and unicodedata.category(chr(c))[0] == kind:
             run.append(c)
         elif run:
@@ -25,7 +25,7 @@ def _members(kind: str) -> str:
 
 
 LETTERS, NUMBERS = _members("L"), _members("N")
-#: Texts without these characters need no other tables. U+0130 lower-cases to two characters.
+#: Texts without these characters need no other tables. U+0130, U+023A and U+023E lower-case beyond them.
 OUTSIDE = re.compile(r"[^\x00-\u012f\u0131-\u024f\u2000-\u2064\u20ac]")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strandgraph.llm import packing
+from strandgraph.llm import packing, wordbpe
 
 
 def queries() -> dict:
-    return {"op9_packing": packing.query}
+    return {"op7_bpe": wordbpe.query, "op9_packing": packing.query}
 
 
 def oracle_sql() -> dict[str, str]:
