@@ -26,7 +26,7 @@ def _members(kind: str) -> str:
 
 LETTERS, NUMBERS = _members("L"), _members("N")
 #: Texts without these characters need no other tables. U+0130, U+023A and U+023E lower-case beyond them.
-OUTSIDE = re.compile(r"[^\x00-\u012f\u0131-\u024f\u2000-\u2064\u20ac]")
+OUTSIDE = re.compile(r"[^\x00-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f\u2000-\u2064\u20ac]")
 
 
 def _byte_of() -> dict[str, int]:
