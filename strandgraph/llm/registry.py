@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strandgraph.llm import packing, wordbpe
+from strandgraph.llm import packing, quality, wordbpe
 
 
 def queries() -> dict:
-    return {"op7_bpe": wordbpe.query, "op9_packing": packing.query}
+    return {"op4_quality": quality.query, "op7_bpe": wordbpe.query, "op9_packing": packing.query}
 
 
 def oracle_sql() -> dict[str, str]:
