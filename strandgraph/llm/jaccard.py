@@ -11,8 +11,8 @@ are joined. The steps:
    list (a star, not all pairs). Links found are exact, and their connected components are the groups of similar documents.
 4. The matrix holds each group's union of prefix shingles: one row for a shingle and group. The overlap of a class with
    a group's union bounds its overlap with every member, so a group is opened for a class only if that bound reaches
-   LEAST, and links are only looked for between different groups, the smaller group asking the larger.
-5. Members of opened groups that share LEAST prefix shingles with the asking class are verified on their whole sets.
+   what the similarity needs, and links are only looked for between different groups, the smaller group asking the larger.
+5. Members of opened groups that share as many prefix shingles with the asking class themselves are verified on their whole sets.
    Links of steps 3 and 5 together have the components of all links.
 
 Classes of fewer than ten shingles (at t = 0.9) link with no other class.
@@ -113,6 +113,16 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
+def _needed(n: str, low: str, high: str, percent: int, least: int) -> str:
+    """SQL for the number of prefix shingles that a set of n must share with one of low to high for the similarity.
+
+    Shared shingles beyond the prefix that ends first all lie in that set's rest of ceil(t n) - least shingles.
+    """
+    overlap = f"({percent} * ({n} + {low}) + {99 + percent}) DIV {100 + percent}"
+    rest = f"(greatest({n}, {high}) * {percent} + 99) DIV 100 - {least}"
+    return f"greatest({least}, {overlap} - ({rest}))"
+
+
 def _prefixes(docs: DataFrame, order: np.ndarray, words_each: int, percent: int, least: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(order)  # SLOTS numbers
 
@@ -183,9 +193,9 @@ def similar(docs: DataFrame, words_each: int = WORDS_EACH, percent: int = PERCEN
     sets = common.materialize(sets.join(asked, ["u", "d1"], "left_semi").dropDuplicates(["u", "d1"]), "whole")
 
     # Grouping: each class against the first class of each of its lists.
-    hubs = rows.groupBy("token", "band").agg(F.min("u").alias("hub"))
-    stars = rows.join(hubs, ["token", "band"]).where("hub <> u").groupBy(F.col("hub").alias("a"), F.col("u").alias("b")).count()
-    stars = common.materialize(stars.where(F.col("count") >= least).select("a", "b"), "stars")
+    hubs = rows.groupBy("token", "band").agg(F.min(F.struct("u", "n")).alias("hub"))
+    stars = rows.join(hubs, ["token", "band"]).where("hub.u <> u").groupBy(F.col("hub.u").alias("a"), F.col("u").alias("b"), F.col("hub.n").alias("n_a"), "n").agg(F.count("*").alias("shared"))
+    stars = common.materialize(stars.where(f"shared >= {_needed('n', 'n_a', 'n_a', percent, least)}").select("a", "b"), "stars")
     star_links = common.materialize(_verified(stars, sets, percent), "starlinks")
     groups = components(star_links).select(F.col("node").alias("u"), F.col("component").alias("g"))
 
@@ -200,13 +210,15 @@ def similar(docs: DataFrame, words_each: int = WORDS_EACH, percent: int = PERCEN
     into = matrix.select("token", F.col("g").alias("into"), F.col("members").alias("into_members"), "least_n", "most_n")
     smaller = "(members < into_members OR members = into_members AND g < into)"
     opened = grouped.join(into, "token").where(f"g <> into AND {smaller} AND n * 100 >= {percent} * least_n AND {percent} * n <= 100 * most_n")
-    opened = opened.groupBy("u", "into").agg(F.count("*").alias("bound")).where(F.col("bound") >= least)
+    opened = opened.groupBy("u", "n", "into").agg(F.count("*").alias("bound"), F.min("least_n").alias("low"), F.max("most_n").alias("high"))
+    opened = opened.where(f"bound >= {_needed('n', f'greatest(low, n * {percent} DIV 100)', f'least(high, n * 100 DIV {percent})', percent, least)}")
     opened = common.materialize(opened.select("u", "into"), "opened")
 
     asking = grouped.select("token", "u", "n").join(opened, "u")
     members = grouped.select("token", F.col("g").alias("into"), F.col("u").alias("v"), F.col("n").alias("n_v"))
     pairs = asking.join(members, ["token", "into"]).where(f"100 * n >= {percent} * n_v AND {percent} * n <= 100 * n_v")
-    pairs = pairs.groupBy(F.col("u").alias("a"), F.col("v").alias("b")).count().where(F.col("count") >= least).select("a", "b")
+    pairs = pairs.groupBy(F.col("u").alias("a"), F.col("v").alias("b"), "n", "n_v").agg(F.count("*").alias("shared"))
+    pairs = pairs.where(f"shared >= {_needed('n', 'n_v', 'n_v', percent, least)}").select("a", "b")
     pairs = common.materialize(pairs, "pairs")
     pairs = pairs.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     links = star_links.unionByName(_verified(pairs, sets, percent))
