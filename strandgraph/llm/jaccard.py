@@ -183,20 +183,24 @@ def similar(docs: DataFrame, words_each: int = WORDS_EACH, percent: int = PERCEN
     key = classes.where(F.lit(percent) * F.col("n") <= 100 * (F.col("n") - 1)).select("u", "d1")
 
     prefix = _prefixes(docs, order, words_each, percent, least).join(key, ["u", "d1"], "left_semi").dropDuplicates(["u", "d1"])
-    band = F.floor(F.log("n") / -np.log(percent / 100)).cast("long")
-    rows = common.materialize(prefix.select("u", "n", band.alias("band"), F.explode("tokens").alias("token")), "prefixes")
+    rows = common.materialize(prefix.select("u", F.col("n").cast("int").alias("n"), F.explode("tokens").alias("token")), "prefixes")
     lists = rows.groupBy("token").agg(F.count("*").alias("listed")).where("listed > 1").select("token")
     rows = common.materialize(rows.join(lists, "token"), "lists")
-    many = rows.groupBy("u").count().where(F.col("count") >= least).select("u")
-    asked = key.join(many, "u")
-    sets = _whole_sets(docs.join(asked.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_semi"), words_each)
-    sets = common.materialize(sets.join(asked, ["u", "d1"], "left_semi").dropDuplicates(["u", "d1"]), "whole")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The whole sets of the classes in pairs, made anew from their texts."""
+        asked = key.join(pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct(), "u")
+        asked = common.materialize(asked, "asked")
+        texts = docs.select("doc_id", "text").join(asked.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        made = _whole_sets(texts, words_each).join(asked, ["u", "d1"], "left_semi").dropDuplicates(["u", "d1"])
+        return common.materialize(made, "whole")
 
     # Grouping: each class against the first class of each of its lists.
+    rows = rows.withColumn("band", F.floor(F.log("n") / -np.log(percent / 100)).cast("int"))
     hubs = rows.groupBy("token", "band").agg(F.min(F.struct("u", "n")).alias("hub"))
     stars = rows.join(hubs, ["token", "band"]).where("hub.u <> u").groupBy(F.col("hub.u").alias("a"), F.col("u").alias("b"), F.col("hub.n").alias("n_a"), "n").agg(F.count("*").alias("shared"))
     stars = common.materialize(stars.where(f"shared >= {_needed('n', 'n_a', 'n_a', percent, least)}").select("a", "b"), "stars")
-    star_links = common.materialize(_verified(stars, sets, percent), "starlinks")
+    star_links = common.materialize(_verified(stars, sets_of(stars), percent), "starlinks")
     groups = components(star_links).select(F.col("node").alias("u"), F.col("component").alias("g"))
 
     # The matrix of shingles and groups, for shingles that more than one group has.
@@ -219,9 +223,9 @@ def similar(docs: DataFrame, words_each: int = WORDS_EACH, percent: int = PERCEN
     pairs = asking.join(members, ["token", "into"]).where(f"100 * n >= {percent} * n_v AND {percent} * n <= 100 * n_v")
     pairs = pairs.groupBy(F.col("u").alias("a"), F.col("v").alias("b"), "n", "n_v").agg(F.count("*").alias("shared"))
     pairs = pairs.where(f"shared >= {_needed('n', 'n_v', 'n_v', percent, least)}").select("a", "b")
-    pairs = common.materialize(pairs, "pairs")
-    pairs = pairs.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    links = star_links.unionByName(_verified(pairs, sets, percent))
+    known = stars.union(stars.select("b", "a"))
+    pairs = common.materialize(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
+    links = star_links.unionByName(_verified(pairs, sets_of(pairs), percent))
 
     found = components(links).select(F.col("node").alias("u"), "component")
     named = classes.join(found, "u", "left").select("n", "d1", "d2", F.coalesce("component", "u").alias("component_id"))

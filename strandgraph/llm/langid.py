@@ -243,7 +243,7 @@ def train(labelled: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS)
         if rest:
             h, n = map(np.array, zip(*rest, strict=True))
             model.usual[k] = np.median(h)
-            model.spread[k] = max(np.quantile((h - model.usual[k]) * np.sqrt(np.minimum(n, LONGEST)), KEEP), 1.0) * SLACK
+            model.spread[k] = max(np.quantile((h - model.usual[k]) * np.sqrt(np.minimum(n, LONGEST)), KEEP), 4.0) * SLACK
     return model
 
 
