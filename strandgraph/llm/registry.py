@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strandgraph.llm import jaccard, langid, packing, quality, wordbpe, wrapper
+from strandgraph.llm import jaccard, langid, packing, quality, secrets_crf, wordbpe, wrapper
 
 
 def queries() -> dict:
-    return {"op1_langid": langid.query, "op2_html": wrapper.query, "op4_quality": quality.query, "op5_jaccard": jaccard.query, "op7_bpe": wordbpe.query, "op9_packing": packing.query}
+    return {"op1_langid": langid.query, "op2_html": wrapper.query, "op4_quality": quality.query, "op5_jaccard": jaccard.query, "op7_bpe": wordbpe.query, "op8_secrets": secrets_crf.query, "op9_packing": packing.query}
 
 
 def oracle_sql() -> dict[str, str]:
