@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from strandgraph.llm import ann, jaccard, langid, packing, quality, secrets_crf, wordbpe, wrapper
+from strandgraph.llm import ann, chat, jaccard, langid, licences, packing, quality, secrets_crf, wordbpe, wrapper
 
 
 def queries() -> dict:
-    return {"op1_langid": langid.query, "op2_html": wrapper.query, "op3_ann": ann.query, "op4_quality": quality.query, "op5_jaccard": jaccard.query, "op7_bpe": wordbpe.query, "op8_secrets": secrets_crf.query, "op9_packing": packing.query}
+    return {
+        "op1_langid": langid.query,
+        "op2_html": wrapper.query,
+        "op3_ann": ann.query,
+        "op4_quality": quality.query,
+        "op5_jaccard": jaccard.query,
+        "op6_licences": licences.query,
+        "op7_bpe": wordbpe.query,
+        "op8_secrets": secrets_crf.query,
+        "op9_packing": packing.query,
+        "op10_chat": chat.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_licences": licences.SQL, "op10_chat": chat.SQL}
