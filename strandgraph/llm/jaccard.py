@@ -235,3 +235,15 @@ def similar(docs: DataFrame, words_each: int = WORDS_EACH, percent: int = PERCEN
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(common.table(spark, sf_dir, "documents"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near-duplicates the document of the smallest doc_id; five words, 80 in 100.
+
+    Documents without words stay. Rows are told apart by doc_id and text; of equal rows one stays.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = similar(keyed.select(F.col("_key").alias("doc_id"), "text"), words_each=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("_key"), "component_id")
+    first = keyed.select("_key", "doc_id").join(groups, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
+    return keyed.join(first.select("first._key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

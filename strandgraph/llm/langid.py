@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandgraph.llm import common
 
@@ -259,7 +260,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> D
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the training sample
     first = ["doc_id", *keep]
-    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in first)
+    schema = StructType([*[docs.schema[c] for c in first], *StructType.fromDDL(SCORED).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -278,7 +279,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> D
             types = [pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(first))], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [*first, *[x.split()[0] for x in SCORED.split(", ")]])
 
-    return common.map_batches(docs.select(*first, "text"), run, f"{fields}, {SCORED}")
+    return common.map_batches(docs.select(*first, "text"), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +291,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents whose language is known and not rejected; learned from the stage's own input."""
-    model = train(docs)
-    verdicts = score(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), model).where("NOT rejected")
-    rows = verdicts.select(F.col("doc_id").alias("_row")).distinct()
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(rows, "_row", "left_semi").select(*docs.columns)
+    scored = score(docs.withColumn("_doc", F.struct(*docs.columns)), train(docs), keep=("_doc",))
+    return scored.where("NOT rejected").select("_doc.*")

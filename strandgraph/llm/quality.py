@@ -48,21 +48,23 @@ def _count_of(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """Counts of each row's whole text, by doc_id; a null text has none of anything.
+def features(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Counts of each row's whole text, by doc_id and the columns in keep; a null text has none of anything.
 
     n_repeat_words counts the words that lie in a window of three words found twice or more in the text. Windows are
     compared by a 64-bit hash.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.select("doc_id", text.alias("text")).select(
+    words = docs.select("doc_id", *keep, text.alias("text")).select(
         "doc_id",
+        *keep,
         "text",
         F.expr(f"filter(split(text, '{WHITE}'), w -> w <> '')".replace("\\", "\\\\")).alias("words"),
         F.expr("filter(split(text, '\\n'), l -> trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM l) <> '')").alias("lines"),
     )
     counted = words.select(
         "doc_id",
+        *keep,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         _count_of(F.col("text"), r"[^#*$%&|<>]+").cast("long").alias("n_symbols"),
@@ -148,14 +150,15 @@ def judge(counts: DataFrame, rules: Sequence[tuple[str, int, str]] = RULES) -> D
     return voted.withColumn("posterior", 1 / (1 + F.exp(-score)))
 
 
-def assess(docs: DataFrame) -> DataFrame:
+def assess(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """features() and judge() of docs with base_failed and kept.
 
     Kept are rows that don't fail the base rules (under 50 words, or over half of the words repeated) and whose
-    posterior is LEAST_POSTERIOR or more. Texts that are null or empty fail; repeated rows get equal results.
+    posterior is LEAST_POSTERIOR or more. Texts that are null or empty fail; repeated rows get equal results; other
+    columns are ignored but for those in keep, which stay beside the counts.
     """
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    judged = judge(common.materialize(features(docs), "quality")).withColumn("base_failed", failed)
+    judged = judge(common.materialize(features(docs, keep), "quality")).withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= LEAST_POSTERIOR))
 
 
@@ -164,10 +167,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep.
-
-    The verdict is joined to its row by doc_id and a hash of the text, since doc_ids may repeat.
-    """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    verdicts = assess(keyed.select(F.col("_row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(verdicts, "_row", "left_semi").select(*docs.columns)
+    """Pipeline stage: the documents that the rules keep."""
+    return assess(docs.withColumn("_doc", F.struct(*docs.columns)), ["_doc"]).where("kept").select("_doc.*")

@@ -6,6 +6,8 @@ from strandgraph.llm import ann, chat, jaccard, langid, licences, packing, quali
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
         "op1_langid": langid.query,
         "op2_html": wrapper.query,
@@ -17,8 +19,12 @@ def queries() -> dict:
         "op8_secrets": secrets_crf.query,
         "op9_packing": packing.query,
         "op10_chat": chat.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licences": licences.SQL, "op10_chat": chat.SQL}
+    import corpus_pipeline
+
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {"op6_licences": licences.SQL, "op10_chat": chat.SQL}
