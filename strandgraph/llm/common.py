@@ -10,10 +10,13 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch sent to Python, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
+#: Keys of eight bytes that are broadcast at most.
+BROADCAST_KEYS = 2_000_000
 #: The folder that holds the package; on a cluster the package is installed, or given by --py-files.
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -59,3 +62,12 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     importable(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(f, schema)
+
+
+def matching(rows: DataFrame, keys: DataFrame, on: str, anti: bool = False) -> DataFrame:
+    """The rows whose key is among keys (anti: is not), one column of distinct values, written before.
+
+    Up to BROADCAST_KEYS keys go to all executors and the rows stay where they are; more keys are joined by a shuffle.
+    """
+    few = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, on, "left_anti" if anti else "left_semi")

@@ -7,8 +7,9 @@ are joined. The steps:
    Any order that all documents share is a right one, so collisions in the sketch cost time only.
 2. Two sets with a Jaccard similarity of at least t share their first LEAST shared shingles within their prefixes of
    n - ceil(t n) + LEAST shingles. Only prefixes are moved.
-3. Grouping. In every list of one shingle and one band of set sizes, each class is held against the first class of the
-   list (a star, not all pairs). Links found are exact, and their connected components are the groups of similar documents.
+3. Grouping, in TURNS rounds. In every list of one shingle and one band of set sizes, each class is held against one
+   class of the list (a star, not all pairs). Links found are exact, and their connected components are the groups of
+   similar documents; later rounds take other centres and only lists of several groups.
 4. The matrix holds each group's union of prefix shingles: one row for a shingle and group. The overlap of a class with
    a group's union bounds its overlap with every member, so a group is opened for a class only if that bound reaches
    what the similarity needs, and links are only looked for between different groups, the smaller group asking the larger.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from strandgraph.llm import common
 from strandgraph.llm.components import components
 
-WORDS_EACH, PERCENT, LEAST, SLOTS = 3, 90, 2, 1 << 17
+WORDS_EACH, PERCENT, LEAST, SLOTS, TURNS = 3, 90, 2, 1 << 17, 3
 #: Words whose hashes are kept in a Python worker.
 KEPT = 400_000
 
@@ -168,6 +169,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.map_batches(full.select("a", "b", "s", "t"), run, "a long, b long")
 
 
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with the group g of u, which is u itself where groups has none."""
+    return rows.join(groups, "u", "left").withColumn("g", F.coalesce("g", "u"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Shingles that classes of more than one group have."""
+    return rows.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
+
+
 def similar(docs: DataFrame, words_each: int = WORDS_EACH, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
 
@@ -191,25 +202,41 @@ def similar(docs: DataFrame, words_each: int = WORDS_EACH, percent: int = PERCEN
         """The whole sets of the classes in pairs, made anew from their texts."""
         asked = key.join(pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct(), "u")
         asked = common.materialize(asked, "asked")
-        texts = docs.select("doc_id", "text").join(asked.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        texts = common.matching(docs.select("doc_id", "text"), asked.select(F.col("u").alias("doc_id")).distinct(), "doc_id")
         made = _whole_sets(texts, words_each).join(asked, ["u", "d1"], "left_semi").dropDuplicates(["u", "d1"])
         return common.materialize(made, "whole")
 
-    # Grouping: each class against the first class of each of its lists.
-    rows = rows.withColumn("band", F.floor(F.log("n") / -np.log(percent / 100)).cast("int"))
-    hubs = rows.groupBy("token", "band").agg(F.min(F.struct("u", "n")).alias("hub"))
-    stars = rows.join(hubs, ["token", "band"]).where("hub.u <> u").groupBy(F.col("hub.u").alias("a"), F.col("u").alias("b"), F.col("hub.n").alias("n_a"), "n").agg(F.count("*").alias("shared"))
-    stars = common.materialize(stars.where(f"shared >= {_needed('n', 'n_a', 'n_a', percent, least)}").select("a", "b"), "stars")
-    star_links = common.materialize(_verified(stars, sets_of(stars), percent), "starlinks")
-    groups = components(star_links).select(F.col("node").alias("u"), F.col("component").alias("g"))
+    # Grouping. Round 0 takes as hub of a list the class with most listed shingles (the centre of a group of copies has
+    # hardly any of its own), later rounds take other ones by hash; only lists of more than one group go on.
+    band = F.floor(F.log("n") / -np.log(percent / 100)).cast("int")
+    weight = rows.groupBy("u").agg(F.count("*").alias("weight"))
+    rows = common.materialize(rows.join(weight, "u").withColumn("band", band), "weighted")
+    tested, links, groups = None, None, None
+    for turn in range(TURNS):
+        live = rows.withColumn("g", F.col("u")) if groups is None else _grouped(rows, groups)
+        live = live.join(_mixed(live), "token")
+        first = F.struct(-F.col("weight"), "u", "n", "g") if turn == 0 else F.struct(F.xxhash64("u", F.lit(turn), F.pmod("token", F.lit(4))), "u", "n", "g")
+        hubs = live.groupBy("token", "band").agg(F.min(first).alias("hub"))
+        stars = live.join(hubs, ["token", "band"]).where("hub.g <> g").groupBy(F.col("hub.u").alias("a"), F.col("u").alias("b")).agg(F.count("*").alias("shared"))
+        stars = stars.where(F.col("shared") >= least).select("a", "b")
+        if tested is not None:
+            stars = stars.join(tested, ["a", "b"], "left_anti")
+        stars = common.materialize(stars, "stars")
+        found = common.materialize(_verified(stars, sets_of(stars), percent), "starlinks")
+        both = stars.union(stars.select("b", "a"))
+        tested = both if tested is None else tested.union(both)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        groups = components(links).select(F.col("node").alias("u"), F.col("component").alias("g"))
+    if groups is None:
+        links = found
+        groups = links.select(F.col("a").alias("u"), F.col("b").alias("g"))  # none
 
     # The matrix of shingles and groups, for shingles that more than one group has.
     sized = groups.groupBy("g").agg(F.count("*").alias("members"))
-    grouped = rows.join(groups.join(sized, "g"), "u", "left").select("token", "u", "n", F.coalesce("g", "u").alias("g"), F.coalesce("members", F.lit(1)).alias("members"))
-    grouped = common.materialize(grouped, "grouped")
-    matrix = grouped.groupBy("token", "g", "members").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    mixed = matrix.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
-    grouped = common.materialize(grouped.join(mixed, "token"), "mixed")
+    grouped = _grouped(rows, groups).join(sized, "g", "left").select("token", "u", "n", "g", F.coalesce("members", F.lit(1)).alias("members"))
+    grouped = common.materialize(grouped.join(_mixed(grouped), "token"), "mixed")
     matrix = grouped.groupBy("token", "g", "members").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     into = matrix.select("token", F.col("g").alias("into"), F.col("members").alias("into_members"), "least_n", "most_n")
     smaller = "(members < into_members OR members = into_members AND g < into)"
@@ -223,9 +250,8 @@ def similar(docs: DataFrame, words_each: int = WORDS_EACH, percent: int = PERCEN
     pairs = asking.join(members, ["token", "into"]).where(f"100 * n >= {percent} * n_v AND {percent} * n <= 100 * n_v")
     pairs = pairs.groupBy(F.col("u").alias("a"), F.col("v").alias("b"), "n", "n_v").agg(F.count("*").alias("shared"))
     pairs = pairs.where(f"shared >= {_needed('n', 'n_v', 'n_v', percent, least)}").select("a", "b")
-    known = stars.union(stars.select("b", "a"))
-    pairs = common.materialize(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-    links = star_links.unionByName(_verified(pairs, sets_of(pairs), percent))
+    pairs = common.materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(_verified(pairs, sets_of(pairs), percent))
 
     found = components(links).select(F.col("node").alias("u"), "component")
     named = classes.join(found, "u", "left").select("n", "d1", "d2", F.coalesce("component", "u").alias("component_id"))
@@ -245,5 +271,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     groups = similar(keyed.select(F.col("_key").alias("doc_id"), "text"), words_each=5, percent=80)
     groups = groups.select(F.col("doc_id").alias("_key"), "component_id")
-    first = keyed.select("_key", "doc_id").join(groups, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
-    return keyed.join(first.select("first._key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    groups = common.materialize(keyed.select("_key", "doc_id").join(groups.distinct(), "_key"), "grouping")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
+    dropped = groups.join(first, "component_id").where("_key <> first._key").select("_key").distinct()
+    kept = common.matching(keyed, common.materialize(dropped, "dropped"), "_key", anti=True)
+    again = common.materialize(groups.groupBy("_key").count().where("count > 1").select("_key"), "again")
+    if not again.isEmpty():  # equal rows
+        kept = common.matching(kept, again, "_key", anti=True).unionByName(common.matching(kept, again, "_key").dropDuplicates(["_key"]))
+    return kept.select(*docs.columns)
