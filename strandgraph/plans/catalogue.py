@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandgraph.plans import records
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (records,)
 
 
 def queries() -> dict[str, Query]:
     """Every query of the library proper, by name."""
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name; queries that SQL cannot express have none."""
-    return {}
+    return {name: s for m in MODULES for name, s in m.SQL.items()}
