@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandgraph.plans import records
+from strandgraph.plans import graphs, records
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (records,)
+MODULES = (records, graphs)
 
 
 def queries() -> dict[str, Query]:
