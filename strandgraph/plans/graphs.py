@@ -21,7 +21,7 @@ SQL["q_encode_edges"] = I.query(*V0, final="SELECT graph_id, src, dst FROM e1")
 
 
 def _aligned(spark, d):
-    items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("peptide_id"), F.regexp_replace(F.upper(F.regexp_replace("text", "[ \n]", "-")), "[^A-Z-]", "").alias("seq"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("peptide_id"), F.upper(F.regexp_replace(F.regexp_replace("text", "[ \n]", "-"), "[^a-zA-Z-]", "")).alias("seq"))
     return items
 
 
@@ -33,7 +33,7 @@ def gap_layers(spark, d):
 
 QUERIES["q_domain_gap_layers"] = gap_layers
 SQL["q_domain_gap_layers"] = I.query(
-    "al AS (SELECT CAST(item_id AS VARCHAR) AS graph_id, regexp_replace(upper(regexp_replace(text, '[ \n]', '-', 'g')), '[^A-Z-]', '', 'g') AS seq FROM benchmark)",
+    "al AS (SELECT CAST(item_id AS VARCHAR) AS graph_id, upper(regexp_replace(regexp_replace(text, '[ \n]', '-', 'g'), '[^a-zA-Z-]', '', 'g')) AS seq FROM benchmark)",
     "s AS (SELECT graph_id, len(seq) AS n, p, substr(seq, CAST(p AS INT), 1) AS aa, CAST(l AS INTEGER) AS layer FROM (SELECT *, unnest(range(1, len(seq) + 1)) AS p FROM al), (SELECT unnest(range(0, 5)) AS l))",
     f"x AS (SELECT graph_id, layer, CAST(layer * n + p AS INTEGER) AS vid, CASE WHEN layer = 0 THEN 'D' WHEN aa = '-' THEN 'GAP' WHEN layer = 1 THEN {I.POL.format('D')} WHEN layer = 2 THEN {I.CHA.format('D')} WHEN layer = 3 THEN {I.HYD.format('D')} ELSE 'DA' || aa END AS label FROM s WHERE aa <> '-' OR layer <= 1)",
     final="SELECT graph_id, layer, label, count(*) AS n, min(vid) AS first_vid, CAST(sum(vid) AS BIGINT) AS vids FROM x GROUP BY ALL",
