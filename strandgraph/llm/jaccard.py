@@ -273,7 +273,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = groups.select(F.col("doc_id").alias("_key"), "component_id")
     groups = common.materialize(keyed.select("_key", "doc_id").join(groups.distinct(), "_key"), "grouping")
     first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
-    dropped = groups.join(first, "component_id").where("_key <> first._key").select("_key").distinct()
+    dropped = groups.select("_key").join(first.select(F.col("first._key").alias("_key")), "_key", "left_anti").distinct()
     kept = common.matching(keyed, common.materialize(dropped, "dropped"), "_key", anti=True)
     again = common.materialize(groups.groupBy("_key").count().where("count > 1").select("_key"), "again")
     if not again.isEmpty():  # equal rows

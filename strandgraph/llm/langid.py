@@ -73,7 +73,7 @@ class Model:
     logp: list[np.ndarray]  # beside them, by language
     context: list[np.ndarray]  # by length of the context - 1: sorted hashes
     backoff: list[np.ndarray]  # beside them, by language
-    unseen: float
+    unseen: np.ndarray  # log-probabilities of a character that no language has
     usual: np.ndarray
     spread: np.ndarray
 
@@ -186,7 +186,8 @@ def fit(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
             backoff.append(hashed[1])
         known = now
     many = len(languages)
-    return Model(languages, keys, logp, context, backoff, math.log(unseen), np.zeros(many), np.full(many, np.inf))
+    rest = np.array([math.log(t[0][3] * t[0][2][""] / t[0][1][""] * unseen) for t in tables], np.float32)
+    return Model(languages, keys, logp, context, backoff, rest, np.zeros(many), np.full(many, np.inf))
 
 
 def _sorted(rows: dict[str, list[float]], order: int) -> tuple[np.ndarray, np.ndarray]:
