@@ -81,7 +81,7 @@ def unpack(packed: DataFrame, *by: str) -> DataFrame:
 
 def component(pairs: Column, fid: Column) -> Column:
     """The value at fid, 0 if there is none."""
-    return F.coalesce(F.filter(pairs, lambda p: p["fid"] == fid)[0]["val"], F.lit(0.0))
+    return F.coalesce(F.get(F.filter(pairs, lambda p: p["fid"] == fid), F.lit(0))["val"], F.lit(0.0))
 
 
 def with_component(pairs: Column, fid: int, val: float) -> Column:

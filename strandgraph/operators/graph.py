@@ -128,7 +128,7 @@ def mark_viewpoints(v: DataFrame, soft: bool = False) -> DataFrame:
 
 def joined_label(labels: Column, soft: bool = False) -> Column:
     """One label of an array of attributes: all with "." between them, or the first."""
-    return labels[0] if soft else F.array_join(labels, ".")
+    return F.get(labels, F.lit(0)) if soft else F.array_join(labels, ".")
 
 
 def out_edge(e: DataFrame) -> DataFrame:
