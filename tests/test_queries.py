@@ -6,13 +6,14 @@ import os
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from strandgraph.plans import catalogue
 
 TABLES = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 #: The costliest ones run in the driver's own check.
-SLOW = {"q_kernel_matrix", "q_lsh_candidates", "q_approx_knn", "q_min_kernel", "q_vertex_margin", "q_extreme_vertices", "q_cascade_predict", "q_score_pivot"}
+SLOW = {"q_kernel_matrix", "q_lsh_candidates", "q_approx_knn", "q_min_kernel", "q_vertex_margin", "q_extreme_vertices", "q_cascade_predict", "q_score_pivot"} | {"q_alias_features", "q_gapped_features", "q_viewpoint_features", "q_bounded_distances", "q_shortest_path_union", "q_features_unnormalised", "q_feature_collisions"}
 
 pytestmark = pytest.mark.skipif(not TABLES.is_dir(), reason="no driver tables")
 
@@ -27,7 +28,7 @@ def duck():
 
 def _rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple("" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple("" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SLOW))
