@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch sent to Python, so that a batch of long texts stays small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 128
 #: Keys of eight bytes that are broadcast at most.
 BROADCAST_KEYS = 2_000_000
 #: The folder that holds the package; on a cluster the package is installed, or given by --py-files.

@@ -34,7 +34,7 @@ from strandgraph.llm.components import components
 
 WORDS_EACH, PERCENT, LEAST, SLOTS, TURNS = 3, 90, 2, 1 << 17, 3
 #: Words whose hashes are kept in a Python worker.
-KEPT = 400_000
+KEPT = 200_000
 
 
 class _Hashes(dict):
