@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandgraph.operators.ranks import ranked
+
 
 def margins(features: DataFrame, weights: DataFrame, models: DataFrame, instances: DataFrame | None = None, by: Sequence[str] = ("instance_id",)) -> DataFrame:
     """(by, model, level, margin) of every instance and model: the sum of w * val, times wscale, plus bias.
@@ -60,10 +62,10 @@ def proportional_thresholds(scored: DataFrame, share: float = 0.5, by: Sequence[
     With margins in order and z of n below 0, the thresholds are those at n - (n - z) * share and z * share. Without
     margins from 0 on both are the largest margin; without any below 0 both are the smallest.
     """
-    ranked = scored.select(*by, "margin", (F.row_number().over(Window.partitionBy(*by).orderBy("margin")) - 1).alias("i"))
+    placed = ranked(scored.select(*by, "margin"), by, ["margin"])
     size = scored.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("margin") < 0).alias("z"), F.min("margin").alias("low"), F.max("margin").alias("high"))
     size = size.withColumns({"at_pos": F.floor(F.col("n") - (F.col("n") - F.col("z")) * share), "at_neg": F.floor(F.col("z") * share)})
-    got = ranked.join(size, list(by)).groupBy(*by, "n", "z", "low", "high").agg(F.max(F.when(F.col("i") == F.col("at_pos"), F.col("margin"))).alias("p"), F.max(F.when(F.col("i") == F.col("at_neg"), F.col("margin"))).alias("q"))
+    got = placed.join(size, list(by)).where("i = at_pos OR i = at_neg OR i = 0").groupBy(*by, "n", "z", "low", "high").agg(F.max(F.when(F.col("i") == F.col("at_pos"), F.col("margin"))).alias("p"), F.max(F.when(F.col("i") == F.col("at_neg"), F.col("margin"))).alias("q"))
     edge = lambda c: F.when(F.col("z") == F.col("n"), F.col("high")).when(F.col("z") == 0, F.col("low")).otherwise(F.col(c))
     return got.select(*by, edge("p").alias("pos_thr"), edge("q").alias("neg_thr"))
 
@@ -74,14 +76,12 @@ def performance_thresholds(scored: DataFrame, least_f: float = 0.5, step: float
     scored has y. The grid has 1 / step rows; counts of decisions come from ranks, so no margin meets the grid itself.
     """
     steps = round(1 / step)
-    w = Window.partitionBy(*by).orderBy("margin")
-    ranked = scored.select(*by, "margin", "y", (F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("i"))
-    upto = lambda y: F.sum((F.col("y") == y).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = ranked.select("*", F.coalesce(upto(1), F.lit(0)).alias("p_below"), F.coalesce(upto(-1), F.lit(0)).alias("n_below"))
+    below = {"p_below": (F.col("y") == 1).cast("long"), "n_below": (F.col("y") == -1).cast("long")}
+    placed = ranked(scored.select(*by, "margin", "y"), by, ["margin"], running=below)
     size = scored.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("margin") < 0).alias("z"), F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == -1).alias("m"))
     grid = scored.sparkSession.range(1, steps + 1).select((F.col("id") / steps).alias("share"))
     grid = size.crossJoin(F.broadcast(grid)).withColumns({"at_pos": F.least(F.floor(F.col("n") - (F.col("n") - F.col("z")) * F.col("share")), F.col("n") - 1), "at_neg": F.floor(F.col("z") * F.col("share"))})
-    at = lambda c, t: ranked.select(*by, F.col("i").alias(c), F.col("margin").alias(t), F.col("p_below").alias(f"{t}_p"), F.col("n_below").alias(f"{t}_n"))
+    at = lambda c, t: placed.select(*by, F.col("i").alias(c), F.col("margin").alias(t), F.col("p_below").alias(f"{t}_p"), F.col("n_below").alias(f"{t}_n"))
     got = grid.join(at("at_pos", "pos_thr"), [*by, "at_pos"]).join(at("at_neg", "neg_thr"), [*by, "at_neg"])
     got = got.withColumns({"tp": F.expr("p - pos_thr_p"), "fp": F.expr("m - pos_thr_n"), "fn": F.expr("neg_thr_p"), "tn": F.expr("neg_thr_n")})
     got = got.withColumn("balanced_f", F.expr("(2e0 * tp / nullif(2 * tp + fp + fn, 0) + 2e0 * tn / nullif(2 * tn + fp + fn, 0)) / 2"))

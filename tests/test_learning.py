@@ -76,6 +76,15 @@ def test_descent_against_a_plain_loop(spark, points):
     assert [got[k] for k in range(5)] == pytest.approx(list(v)) and got[-1] == pytest.approx(b)
 
 
+def test_regulariser_evens_out_the_weights_of_a_vertex(points):
+    _, _, feats, targets = points
+    rows = targets.select(F.lit(0).alias("model"), "instance_id", "y", F.col("instance_id").alias("slot"))
+    parts = feats.where("fid < 2").withColumn("vid", F.lit(1)).unionByName(feats.where("fid = 2").withColumn("vid", F.lit(2)))
+    plain = {r.fid: r.w for r in train.sgd(feats, rows, options=train.Options(epochs=4)).collect()}
+    drawn = {r.fid: r.w for r in train.sgd(feats, rows, options=train.Options(epochs=4, regulariser=1e-3), parts=parts).collect()}
+    assert plain != drawn and drawn.keys() == plain.keys() and all(abs(v) < 1e4 for v in drawn.values())
+
+
 def test_cross_validation_and_curve_learn(points):
     _, _, feats, targets = points
     cv = train.cross_validation(feats, targets, train.Options(folds=4, epochs=5)).collect()
