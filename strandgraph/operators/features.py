@@ -290,6 +290,14 @@ def composite(parts: list[DataFrame]) -> DataFrame:
     return total.join(norm, "instance_id").select("instance_id", "fid", (F.col("val") / F.col("_s")).alias("val"))
 
 
+def composite_vectors(v: DataFrame, e: DataFrame, radius: int = 0, distance: int = 1, bits: int = 14, kinds: tuple[str, ...] = ("hard", "abstract", "stem", "pp", "soft", "gapped")) -> DataFrame:
+    """Vectors of several feature sets as one: of the graph as it is and of its relabelled forms, by the named kinds."""
+    from strandgraph.functions.residues import purine_pyrimidine
+
+    forms = {"abstract": lambda: G.abstract(v), "stem": lambda: G.stems(v, e), "pp": lambda: v.withColumn("label", purine_pyrimidine(F.col("label")))}
+    return composite([graph_vectors(forms[k]() if k in forms else v, e, radius, distance, bits, "hard" if k in forms else k) for k in kinds])
+
+
 def vertex_vectors(v: DataFrame, e: DataFrame, radius: int, distance: int, bits: int = 14) -> DataFrame:
     """(instance_id, vid, fid, val): the vector of each vertex, of the pairs in which it comes first."""
     p = pairs(v, e, radius, distance)

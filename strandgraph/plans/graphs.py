@@ -267,5 +267,13 @@ SQL["q_edge_export"] = I.query(
     "c AS (SELECT e1.graph_id, e1.dst AS a, e1.src AS b, e1.dst || ',' || x.label || ',' || e1.src || ',' || y.label || ',' AS t FROM e1 JOIN v1 x ON x.graph_id = e1.graph_id AND x.vid = e1.dst JOIN v1 y ON y.graph_id = e1.graph_id AND y.vid = e1.src)",
     final="SELECT graph_id, 't # ' || graph_id || chr(10) || string_agg(t, chr(10) ORDER BY o, a, b) AS value, 'gspan' AS form FROM l GROUP BY 1 UNION ALL SELECT graph_id, string_agg(t, chr(10) ORDER BY a, b), 'csv' FROM c GROUP BY 1",
 )
+QUERIES["q_composite_features"] = lambda spark, d: features.composite_vectors(*I.graphs(spark, d), kinds=("hard", "gapped")).select("instance_id", "fid", F.round("val", 8).alias("val"))
+_hard, _gapped = I.histogram_sql(), I.histogram_sql(kind="gapped")
+SQL["q_composite_features"] = I.query(
+    *BASE, _hard.replace("hist AS", "hist_a AS"), I.vectors_sql().replace("hist", "hist_a").replace("vec AS", "vec_a AS"),
+    _gapped.split(", one AS (", 1)[1].join(["one_b AS (", ""]).replace("FROM one ", "FROM one_b ").replace("hist AS", "hist_b AS"), I.vectors_sql().replace("hist", "hist_b").replace("vec AS", "vec_b AS"),
+    "t AS (SELECT instance_id, fid, sum(val) AS val FROM (SELECT * FROM vec_a UNION ALL SELECT * FROM vec_b) GROUP BY 1, 2)",
+    final="SELECT instance_id, fid, round(val / sum(val * val) OVER (PARTITION BY instance_id), 8) AS val FROM t",
+)
 QUERIES["q_label_colours"] = lambda spark, d: graph.colours(I.graphs(spark, d)[0])
 SQL["q_label_colours"] = I.query(*I.GRAPHS, final="SELECT label, CAST((dense_rank() OVER (ORDER BY label) - 1) % 26 AS INTEGER) AS colour FROM (SELECT DISTINCT label FROM v)")

@@ -185,3 +185,15 @@ SQL["q_sparse_combine"] = I.query(
 )
 QUERIES["q_sparse_dot"] = lambda spark, d: V.sparse_dot(I.letters(spark, d), I.letters(spark, d).where("fid % 2 = 1")).select("instance_id", F.round("dot", 6).alias("dot"))
 SQL["q_sparse_dot"] = I.query(I.SEQ, I.LETTERS, final="SELECT instance_id, round(coalesce(sum(val * val) FILTER (fid % 2 = 1), 0), 6) AS dot FROM letters GROUP BY 1")
+
+
+def dense(spark, d):
+    """Arithmetic of dense vectors over embeddings."""
+    e = I.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    r = V.combine(V.resize(F.col("x"), 8), 2.0, V.add_constant(V.resize(F.reverse("x"), 8), 1.0), -0.5)
+    return e.select("vec_id", F.round(V.dot(r, V.resize(F.col("x"), 8)), 6).alias("dot"), F.round(V.squared_norm(V.direction(F.col("x"))), 6).alias("one"))
+
+
+QUERIES["q_dense_arithmetic"] = dense
+SQL["q_dense_arithmetic"] = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), r AS (SELECT vec_id, x, list_reverse(x) AS y FROM e)
+    SELECT vec_id, round(list_sum([(2 * x[i] - 0.5 * (y[i] + 1)) * x[i] FOR i IN range(1, 9)]), 6) AS dot, 1e0 AS one FROM r"""

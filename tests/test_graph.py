@@ -139,3 +139,25 @@ def test_gap_rule(spark):
     assert arcs == {(1, 2), (2, 3), (1, 4), (2, 5), (3, 6), (4, 7), (6, 9)}
     with pytest.raises(ValueError):
         encode.vertices(p, ("charge",))
+
+
+def test_train_score_and_explain(spark):
+    """Peptides with K or with E are told apart, and the telling residues have the largest margins."""
+    from strandgraph import api
+    from strandgraph.operators.train import Options
+
+    rows = [(f"g{i}", ("AGK" if i % 2 else "AGE") + "LV"[i % 3 % 2] * (1 + i % 2), 1 if i % 2 else -1) for i in range(16)]
+    p = spark.createDataFrame(rows, "peptide_id string, seq string, y int")
+    v, e = encode.directed(encode.vertices(p), encode.edges(p))
+    v, e = v.cache(), e.cache()
+    targets = p.select(F.xxhash64("peptide_id").alias("instance_id"), "y")
+    v2, e2 = v.withColumn("graph_id", F.xxhash64("graph_id")), e.withColumn("graph_id", F.xxhash64("graph_id"))
+    options = Options(levels=((0, 1),), epochs=4)
+    models, weights = api.fit(v2, e2, targets, options)
+    models, weights = models.cache(), weights.cache()
+    got = api.score(v2, e2, models, weights, options).join(targets, "instance_id")
+    assert got.count() == 16 and got.where("prediction <> y").count() == 0
+    parts = api.explain(v2, e2, models, weights, options).groupBy("instance_id").agg(F.count("*").alias("n"))
+    assert parts.join(v2.groupBy(F.col("graph_id").alias("instance_id")).agg((F.count("*") / 2).alias("m")), "instance_id").where("n <> m").count() == 0
+    rows, measures = api.validate(v2, e2, targets, Options(levels=((0, 0),), folds=2, epochs=3))
+    assert rows.count() == 16 and measures.first().balanced_f > 0.9
