@@ -141,7 +141,7 @@ class Block:
 
 def _usable(vectors: DataFrame, dim: int | None) -> DataFrame:
     """(vec_id, v) with v of doubles; without vectors that are null, zero, of another dimension or not finite."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0")
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     rows = rows.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
     return rows if dim is None else rows.where(F.size("v") == dim)
 
@@ -150,8 +150,9 @@ def nearest(vectors: DataFrame, queries: str, k: int = K, train: int = TRAIN, bl
     """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) that meets the condition queries, its k nearest other rows found.
 
     Nearness is the cosine; ties go to the smaller vec_id; all others if there are fewer than k. Vectors that are null,
-    all zero, or hold null or non-finite components take no part, nor do those of another dimension than most. Rows
-    with equal vectors are each other's neighbours. An empty table gives no rows; other columns are ignored.
+    all zero, or hold null or non-finite components take no part, nor do those without an id or of another dimension than
+    most. Rows with equal vectors are each other's neighbours; rows with equal ids are one place with several vectors, of
+    which the nearest counts. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = _usable(vectors, None)
@@ -160,8 +161,8 @@ def nearest(vectors: DataFrame, queries: str, k: int = K, train: int = TRAIN, bl
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = _usable(vectors, sizes[0]["d"])
     # The first k + 1 ids of each vector; ranks are cut before the shuffle, so that a frequent vector meets no single task.
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("place") <= k + 1)
-    ranked = common.materialize(ranked, "annrows")
+    ranked = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    ranked = common.materialize(ranked.dropDuplicates(["vec_id", "v"]), "annrows")
     entries = ranked.where("place = 1").select(F.col("vec_id").alias("entry"), "v")
     names = ranked.join(entries, "v").select("entry", "vec_id")
     n = entries.count()
@@ -171,7 +172,7 @@ def nearest(vectors: DataFrame, queries: str, k: int = K, train: int = TRAIN, bl
     codes = spark.sparkContext.broadcast(learn(learned, k))
 
     asking = rows.where(queries)
-    asked = common.materialize(asking.join(entries, "v").select(F.col("vec_id").alias("query_id"), F.col("entry").alias("asks")), "annqueries")
+    asked = common.materialize(asking.join(entries, "v").select(F.col("vec_id").alias("query_id"), F.col("entry").alias("asks")).distinct(), "annqueries")
     distinct = entries.join(asked.select(F.col("asks").alias("entry")).distinct(), "entry", "left_semi")
     blocks = max(BLOCKS, -(-n // block))
     groups = max(1, -(-distinct.count() // block))
@@ -194,8 +195,8 @@ def nearest(vectors: DataFrame, queries: str, k: int = K, train: int = TRAIN, bl
     found = data.groupBy("block", "part").cogroup(probes.groupBy("on", "of")).applyInArrow(search, "asks long, entry long, score double")
     best = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), *order))
     found = found.withColumn("place", best("asks", "entry")).where(F.col("place") <= k + 1).select("asks", "entry", "score")
-    named = found.join(names, "entry").withColumn("place", best("asks", "vec_id")).where(F.col("place") <= k + 1)
-    answers = asked.join(named.select("asks", "vec_id", "score"), "asks").where("query_id <> vec_id")
+    named = found.join(names, "entry").groupBy("asks", "vec_id").agg(F.max("score").alias("score")).withColumn("place", best("asks", "vec_id")).where(F.col("place") <= k + 1)
+    answers = asked.join(named.select("asks", "vec_id", "score"), "asks").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return answers.withColumn("rank", best("query_id", "vec_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -91,6 +91,8 @@ def test_neighbours_have_exact_scores_and_enough_recall(spark):
             assert mine.sort_values("rank").vec_id.tolist() == [0, 300, 301, 302, 303, 304][: 6][1 if q == 0 else 0 :][:5] if q > 304 else True
     assert hit / (75 * 5) >= 0.9
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), "true").count() == 0
+    again = spark.createDataFrame([(None, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [0.5, 2.0]), (3, [2.0, 1.0]), (3, [2.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(again, "true").orderBy("query_id", "rank").collect()] == [(1, 1, 3), (1, 2, 2), (2, 1, 1), (2, 2, 3), (3, 1, 1), (3, 2, 2)]
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(few, "vec_id = 1").orderBy("rank").collect()] == [(1, 1, 2), (1, 2, 3)]
 
