@@ -16,7 +16,7 @@ are joined. The steps:
 5. Members of opened groups that share as many prefix shingles with the asking class themselves are verified on their whole sets.
    Links of steps 3 and 5 together have the components of all links.
 
-Classes of fewer than ten shingles (at t = 0.9) link with no other class.
+Classes of fewer than nine shingles (at t = 0.9) link with no other class; one of nine links with larger ones only.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgraph.llm import common
@@ -114,6 +114,16 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
+def _links(n: int | Column, percent: int) -> bool | Column:
+    """Whether a set of n can have the similarity with another set: a larger one if with any."""
+    return 100 * n >= percent * (n + 1)
+
+
+def _least_shared(percent: int) -> int:
+    """The fewest shingles that two different sets of the similarity share: all but one of the smallest such union."""
+    return -(-100 // (100 - percent)) - 1 if percent < 100 else 1
+
+
 def _needed(n: str, low: str, high: str, percent: int, least: int) -> str:
     """SQL for the number of prefix shingles that a set of n must share with one of low to high for the similarity.
 
@@ -132,7 +142,7 @@ def _prefixes(docs: DataFrame, order: np.ndarray, words_each: int, percent: int,
             out = ([], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), common.strings(batch.column(1)), strict=True):
                 s = shingles(text, words_each)
-                if least_overlap(len(s), percent) < len(s):
+                if _links(len(s), percent):
                     for x, v in zip(out, (doc_id, _digest(s)[0], len(s), _ranked(s, shared.value)[: len(s) - least_overlap(len(s), percent) + least].view(np.int64)), strict=True):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))], ["u", "d1", "n", "tokens"])
@@ -186,12 +196,13 @@ def similar(docs: DataFrame, words_each: int = WORDS_EACH, percent: int = PERCEN
     (null, empty or blank texts) have no shingles and link with nothing. Rows of equal doc_id are one document for
     links; each row keeps its own n_shingles. An empty table gives no rows; other columns are ignored.
     """
+    least = min(least, _least_shared(percent))
     counted = common.materialize(_sets(docs, words_each), "sets")
     base = counted.where("n IS NOT NULL").select("doc_id", "n", "d1", "d2")
     order = _order(counted.where("slot IS NOT NULL"))
     classes = base.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("u"))
     classes = common.materialize(classes, "classes")
-    key = classes.where(F.lit(percent) * F.col("n") <= 100 * (F.col("n") - 1)).select("u", "d1")
+    key = classes.where(_links(F.col("n"), percent)).select("u", "d1")
 
     prefix = _prefixes(docs, order, words_each, percent, least).join(key, ["u", "d1"], "left_semi").dropDuplicates(["u", "d1"])
     rows = common.materialize(prefix.select("u", F.col("n").cast("int").alias("n"), F.explode("tokens").alias("token")), "prefixes")

@@ -55,6 +55,20 @@ def test_jaccard_components_against_all_pairs(spark, words_each, percent):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == _brute(rows, words_each, percent)
 
 
+@pytest.mark.parametrize("words_each,percent", [(3, 90), (5, 80), (2, 50), (1, 60), (1, 34)])
+def test_jaccard_links_small_sets_with_larger_ones(spark, words_each, percent):
+    least = -(-percent // (100 - percent))  # shingles of the smallest set that links with a larger one
+    texts = []
+    for k in range(4):
+        words = [f"t{k}w{i}" for i in range(least + words_each - 1)]
+        texts += [" ".join(words), " ".join([*words, "after"]), " ".join(["before", *words]), " ".join(words[1:]), " ".join(["other", *words[1:]])]
+    rows = list(enumerate(texts))
+    want = _brute(rows, words_each, percent)
+    assert [want[i] for i in (0, 1, 2)] == [(least, 0), (least + 1, 0), (least + 1, 0)]
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), words_each, percent)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == want
+
+
 def test_jaccard_of_no_rows_and_of_the_stage(spark):
     empty = spark.createDataFrame([], DOCS)
     assert jaccard.similar(empty).count() == 0 and jaccard.stage(spark, empty, "").count() == 0
