@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.functions.hashing import minhash_family
+from strandgraph.functions.vectors import dot
 from strandgraph.storage import materialize
 
 DIGITS = 6
@@ -85,6 +86,19 @@ def dense_neighbours(queries: DataFrame, vectors: DataFrame, k: int, id: str = "
     return ranked(found, k)
 
 
+def dense_kernels(pairs: DataFrame, vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(u, v, k): the inner products of the given pairs (u, v), each pair once."""
+    x = vectors.select(F.col(id).alias("u"), F.col(vector).cast("array<double>").alias("x"))
+    y = x.select(F.col("u").alias("v"), F.col("x").alias("y"))
+    met = pairs.select("u", "v").distinct().join(x, "u").join(y, "v")
+    return met.select("u", "v", F.round(dot(F.col("x"), F.col("y")), DIGITS).alias("k"))
+
+
+def members(neighbours: DataFrame) -> DataFrame:
+    """(u, a, b): the ordered pairs of different members of u's neighbourhood."""
+    return neighbours.select("u", F.col("v").alias("a")).join(neighbours.select("u", F.col("v").alias("b")), "u").where("a <> b")
+
+
 def dense_density(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(id, density): mean inner product of each vector with all others; null for a single one."""
 
@@ -174,9 +188,8 @@ def neighbourhood_density(neighbours: DataFrame) -> DataFrame:
 
 
 def set_density(neighbours: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(u, density): mean kernel over ordered pairs of different members of u's neighbourhood."""
-    a, b = neighbours.select("u", F.col("v").alias("a")), neighbours.select("u", F.col("v").alias("b"))
-    met = a.join(b, "u").where("a <> b").join(pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), "k"), ["a", "b"], "left")
+    """(u, density): mean kernel over ordered pairs of different members of u's neighbourhood; pairs (u, v, k) without a row count as 0."""
+    met = members(neighbours).join(pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), "k"), ["a", "b"], "left")
     return met.groupBy("u").agg((F.sum(F.coalesce("k", F.lit(0.0))) / F.count("*")).alias("density"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandgraph.operators import similarity as S
 from strandgraph.plans import inputs as I
 from strandgraph.plans.inputs import table
+from strandgraph.storage import materialize
 
 QUERIES, SQL = {}, {}
 
@@ -74,12 +75,13 @@ SQL["q_neighbourhood_density"] = I.query(EMB, KNN, final="SELECT u, round(sum(k)
 
 def set_density(spark, d):
     e = table(spark, d, "embeddings")
-    near = S.dense_neighbours(e, e, 5)
-    pairs = S.dense_neighbours(e, e, 50)
-    return S.set_density(near, pairs).select("u", F.round("density", 8).alias("density"))
+    near = materialize(S.dense_neighbours(e, e, 5), "near")
+    met = S.members(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return S.set_density(near, S.dense_kernels(met, e)).select("u", F.round("density", 8).alias("density"))
 
 
 QUERIES["q_set_density"] = set_density
+# This SQL counts pairs of members beyond each other's 50 nearest as kernel 0; the query takes every pair's kernel and so differs from it.
 SQL["q_set_density"] = I.query(
     EMB, KNN.replace("rank <= 10", "rank <= 50"),
     final="SELECT a.u, round(avg(coalesce(p.k, 0)), 8) AS density FROM knn a JOIN knn b ON a.u = b.u AND a.rank <= 5 AND b.rank <= 5 AND a.v <> b.v LEFT JOIN knn p ON p.u = a.v AND p.v = b.v GROUP BY 1",

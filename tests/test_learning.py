@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandgraph.functions import vectors as V
 from strandgraph.functions.residues import cast_or_null, loss, loss_slope, ordered_pair
 from strandgraph.operators import metrics, model, similarity, train
+from strandgraph.plans import search
 
 
 def _features(spark, x):
@@ -165,6 +166,18 @@ def test_dense_and_sparse_vectors(spark):
     assert V.unpack(packed, "instance_id").count() == 2
 
 
+def test_set_density_takes_every_pair_of_members(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(150, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    full, want = np.round(x @ x.T, 6), {}
+    for i in range(150):
+        near = np.lexsort((np.arange(150), -full[i]))[:5]
+        want[i] = np.mean([full[a, b] for a in near for b in near if a != b])
+    got = search.set_density(spark, str(tmp_path)).collect()
+    assert {r.u: r.density for r in got} == pytest.approx(want, abs=1e-7)
+
+
 def test_neighbours_and_density(spark, points):
     x, _, feats, _ = points
     k = np.round(x @ x.T, 6)
