@@ -60,7 +60,7 @@ def features(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         *keep,
         "text",
         F.expr(f"filter(split(text, '{WHITE}'), w -> w <> '')".replace("\\", "\\\\")).alias("words"),
-        F.expr("filter(split(text, '\\n'), l -> trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM l) <> '')").alias("lines"),
+        F.expr("filter(split(text, '\\n'), l -> trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM l) <> '')").alias("lines"),
     )
     counted = words.select(
         "doc_id",

@@ -57,6 +57,12 @@ def test_quality_counts_of_random_texts(spark):
     assert {x.doc_id: tuple(x[1:]) for x in got.collect()} == {i: _counts(t) for i, t in enumerate(texts)}
 
 
+def test_quality_lines_of_form_feeds_and_of_the_letter_f(spark):
+    texts = ["one\n\f\ntwo\n\f\nthree", "f\nf\n ff \nx"]
+    got = {r.doc_id: (r.n_lines, r.n_dup_lines) for r in quality.features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (3, 0), 1: (4, 1)}
+
+
 def test_quality_separates_junk_that_single_rules_find():
     good, symbols, repeated = (False,) * 3 + (True,), (True, False, False, False), (False, True, True, False)
     prior, chance = quality.estimate([(good, 900), (symbols, 50), (repeated, 50)], [-1, -1, -1, 1])
