@@ -141,6 +141,14 @@ def test_pages_keep_the_article_only(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_of_another_layout_and_constant_parts_of_articles_keep_their_text(spark):
+    top = "<div class=top><p>Our site since 1999</p></div>"
+    rows = [(i, None, f"<body>{top}<article><h2>Summary</h2><p>Story number {i} goes on.</p></article></body>") for i in range(8)]
+    rows += [(20, None, f"<body>{top}<nav><p>Home</p></nav><div class=text><p>A page laid out otherwise.</p><p>It goes on.</p></div></body>"), (21, None, f"<body>{top}</body>")]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Summary\n\nStory number {i} goes on." for i in range(8)}, 20: "A page laid out otherwise.\n\nIt goes on.", 21: ""}
+
+
 def test_wrapper_is_a_union_free_expression():
     pages = ["<body><h1>a</h1><ul><li>x</li><li>y</li></ul><p>same</p></body>", "<body><h1>b</h1><ul><li>x</li></ul><div class=new>n</div><p>same</p></body>"]
     out = None
