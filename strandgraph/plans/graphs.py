@@ -146,16 +146,23 @@ QUERIES["q_radius1_codes"] = lambda spark, d: features.radius1(*I.graphs(spark,
 SQL["q_radius1_codes"] = I.query(*I.GRAPHS, I.CODES1, final="SELECT graph_id, vid, code FROM code1")
 
 
-def _nations(spark, d):
-    """Nations' names as sequences, in two layers: small graphs for the costlier codes."""
-    names = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("peptide_id"), F.upper(F.regexp_replace("n_name", "[^a-zA-Z]", "")).alias("seq"))
-    return encode.vertices(names, ("any", "charge")), encode.undirected(encode.edges(names, ("any", "charge")))
+def _each(spark, d, made):
+    """made(vertices, edges) of the peptides' undirected graphs by graph_id: once for each distinct sequence, joined back."""
+    p = I.peptides(spark, d).select("peptide_id", "seq")
+    distinct = p.select("seq").distinct().select(F.col("seq").alias("peptide_id"), "seq")
+    found = made(encode.vertices(distinct), encode.undirected(encode.edges(distinct)))
+    return p.join(found, F.col("seq") == F.col("graph_id")).drop("seq", "graph_id").withColumnRenamed("peptide_id", "graph_id")
+
+
+def path_features(spark, d):
+    found = _each(spark, d, lambda v, e: features.graph_vectors(v, e, 0, 2, kind="path").withColumnRenamed("instance_id", "graph_id"))
+    return found.select(F.col("graph_id").alias("instance_id"), "fid", F.round("val", 6).alias("val"))
 
 
 # No SQL for these three: codes of neighbourhoods take nested searches; tests hold them against plain breadth-first search.
-QUERIES["q_radius2_codes"] = lambda spark, d: features.codes(*_nations(spark, d), 2)
-QUERIES["q_approximate_codes"] = lambda spark, d: features.codes(*_nations(spark, d), 2, approximate=True)
-QUERIES["q_path_features"] = lambda spark, d: features.graph_vectors(*_nations(spark, d), 0, 2, kind="path").select("instance_id", "fid", F.round("val", 6).alias("val"))
+QUERIES["q_radius2_codes"] = lambda spark, d: _each(spark, d, lambda v, e: features.codes(v, e, 2))
+QUERIES["q_approximate_codes"] = lambda spark, d: _each(spark, d, lambda v, e: features.codes(v, e, 2, approximate=True))
+QUERIES["q_path_features"] = path_features
 
 
 def pair_features(spark, d):

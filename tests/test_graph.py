@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.functions.hashing import ap_hash, ap_hash_array, ap_hash_string, feature_mask, hash_values, rolling_hash, rolling_hash_string
 from strandgraph.operators import encode, features, graph
+from strandgraph.plans import graphs as plans
 
 GOLDEN = {"": 715827882, "X": 715827858, "r.X": 1444599106, "PCN": 1337354793, "PCA": 1138916586, "PHVL": 850634036, "X:X-": 467710813, "d:0 r:0": 841642360, "d:1 r:1": 657134757}
 
@@ -161,3 +162,17 @@ def test_train_score_and_explain(spark):
     assert parts.join(v2.groupBy(F.col("graph_id").alias("instance_id")).agg((F.count("*") / 2).alias("m")), "instance_id").where("n <> m").count() == 0
     rows, measures = api.validate(v2, e2, targets, Options(levels=((0, 0),), folds=2, epochs=3))
     assert rows.count() == 16 and measures.first().balanced_f > 0.9
+
+
+def test_costlier_codes_cover_every_peptide(spark, tmp_path):
+    rows = [("a", "ACDEFGHIKLMNPQRSTVWYAC"), ("b", "acdefghiklmnpqr"), ("c", "too short")]
+    spark.createDataFrame(rows, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(0, "ALGERIA")], "n_nationkey long, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    ids = {"a-1-15", "a-6-20", "b-1-15"}
+    for name in ("q_radius2_codes", "q_approximate_codes"):
+        codes = {}
+        for r in plans.QUERIES[name](spark, str(tmp_path)).collect():
+            codes.setdefault(r.graph_id, {})[r.vid] = r.code
+        assert set(codes) == ids and all(sorted(c) == list(range(1, 61)) for c in codes.values())
+        assert codes["a-1-15"] == codes["b-1-15"] != codes["a-6-20"]
+    assert {r.instance_id for r in plans.QUERIES["q_path_features"](spark, str(tmp_path)).collect()} == ids
