@@ -27,7 +27,7 @@ from strandgraph.llm import common
 
 ORDER, TRAIN_DOCS = 4, 800
 #: Calibration: the share of calibration texts that stay, and the slack beyond them.
-KEEP, SLACK, LONGEST = 0.99, 6.0, 400
+KEEP, SLACK, LONGEST = 0.99, 2.0, 400
 UNKNOWN = "und"
 #: Characters scored at a time.
 CHUNK = 1 << 20

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -93,6 +94,20 @@ def test_language_is_told_on_held_out_texts(spark, odd, none):
     assert langid.score(none, model).count() == 0
 
 
+@pytest.mark.parametrize("lang", ["fr", "en"])
+def test_a_language_left_out_is_rejected_and_known_ones_stay(spark, lang):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no driver tables")
+    docs = spark.read.parquet(path)
+    model = langid.train(docs.where(~langid.held_out() & (F.col("lang") != lang)))
+    known = F.col("lang") == F.col("lang_pred")
+    scored = langid.score(docs.select("doc_id", "text", "lang"), model, keep=("lang",)).where("n_letters >= 200")
+    left = scored.where(F.col("lang") == lang).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    own = scored.where(known).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    assert left >= 0.9 and own <= 0.02
+
+
 def test_kneser_ney_probabilities_add_up():
     counts = langid.count_grams(["abra cadabra", "abba"], 3)
     model = langid.fit({"l": dict(counts)}, 3)
