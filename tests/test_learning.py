@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandgraph.functions import vectors as V
 from strandgraph.functions.residues import cast_or_null, loss, loss_slope, ordered_pair
 from strandgraph.operators import metrics, model, similarity, train
-from strandgraph.plans import search
+from strandgraph.plans import inputs, search
 
 
 def _features(spark, x):
@@ -178,6 +178,17 @@ def test_set_density_takes_every_pair_of_members(spark, tmp_path):
     assert {r.u: r.density for r in got} == pytest.approx(want, abs=1e-7)
 
 
+def test_lsh_candidates_are_all_pairs_of_two_common_bins(spark, tmp_path):
+    texts = [("a", "ACDEFGHIKLMNPQRSTVWYACWWLLKK"), ("b", "GGGGGGGGGGGGGGGGGGGG"), ("c", "ACDEFGHIKLGGGGGGGGGG")]
+    spark.createDataFrame(texts, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    bins = {}
+    for r in similarity.signatures(inputs.vectors(spark, str(tmp_path)), 30).collect():
+        bins.setdefault(r.instance_id, set()).add((r.k, r.minhash))
+    want = {(u, v): len(bins[u] & bins[v]) for u in bins for v in bins if len(bins[u] & bins[v]) >= 2}
+    assert any(n < 15 for n in want.values())
+    assert {(r.u, r.v): r.shared for r in search.QUERIES["q_lsh_candidates"](spark, str(tmp_path)).collect()} == want
+
+
 def test_neighbours_and_density(spark, points):
     x, _, feats, _ = points
     k = np.round(x @ x.T, 6)
