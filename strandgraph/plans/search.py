@@ -53,8 +53,7 @@ SQL["q_minhash_compact"] = I.query(ITEMS, MIN.format("item"), final="SELECT inst
 QUERIES["q_bin_sizes"] = lambda spark, d: S.bin_sizes(S.signatures(_items(spark, d), 30))
 SQL["q_bin_sizes"] = I.query(ITEMS, MIN.format("item"), final="SELECT k, minhash, count(*) AS n FROM sig GROUP BY ALL")
 QUERIES["q_lsh_candidates"] = lambda spark, d: S.shared_bins(S.signatures(I.vectors(spark, d), 30))
-# This SQL asks for 15 common bins; the query takes the operator's default of 2 and so gives more pairs.
-SQL["q_lsh_candidates"] = I.query(*I.FEATURES, MIN.format("vec"), BINS.replace(">= 2", ">= 15"), final="SELECT u, v, shared FROM bins")
+SQL["q_lsh_candidates"] = I.query(*I.FEATURES, MIN.format("vec"), BINS, final="SELECT u, v, shared FROM bins")
 
 
 def approximate(spark, d):
@@ -82,10 +81,9 @@ def set_density(spark, d):
 
 
 QUERIES["q_set_density"] = set_density
-# This SQL counts pairs of members beyond each other's 50 nearest as kernel 0; the query takes every pair's kernel and so differs from it.
 SQL["q_set_density"] = I.query(
-    EMB, KNN.replace("rank <= 10", "rank <= 50"),
-    final="SELECT a.u, round(avg(coalesce(p.k, 0)), 8) AS density FROM knn a JOIN knn b ON a.u = b.u AND a.rank <= 5 AND b.rank <= 5 AND a.v <> b.v LEFT JOIN knn p ON p.u = a.v AND p.v = b.v GROUP BY 1",
+    EMB, KNN.replace("rank <= 10", "rank <= 5"),
+    final="SELECT a.u, round(avg(p.k), 8) AS density FROM knn a JOIN knn b ON a.u = b.u AND a.v <> b.v JOIN prod p ON p.u = a.v AND p.v = b.v GROUP BY 1",
 )
 
 
