@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandgraph.llm import ann, chat, components, htmlpage, jaccard, licences, wrapper
+from strandgraph.llm import ann, chat, components, jaccard, licences, wrapper
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -151,12 +153,52 @@ def test_pages_of_another_layout_and_constant_parts_of_articles_keep_their_text(
 
 def test_wrapper_is_a_union_free_expression():
     pages = ["<body><h1>a</h1><ul><li>x</li><li>y</li></ul><p>same</p></body>", "<body><h1>b</h1><ul><li>x</li></ul><div class=new>n</div><p>same</p></body>"]
-    out = None
-    for source in pages:
-        blocks, root = htmlpage.parse(source)
-        page = wrapper.expression(root, blocks)
-        out = page if out is None else wrapper._merged(out, page)
-    assert wrapper.to_text(out, 2) == "<><body><h1>#TEXT</> <ul>(<li>(#TEXT)+</>)+</> (<div.new>#TEXT</>)? <p>'constant'</></></>"
+    read = [wrapper.read(source) for source in pages]
+    literal = wrapper._hash(read[0].blocks[-1].path, "same")
+    out = wrapper.merge(*[wrapper.expression(p, {literal}) for p in read])
+    assert wrapper.to_text(out) == "p1:#TEXT p2:#TEXT+ p3:#TEXT? p4:literal"
+    grouped = wrapper.expression(wrapper.read("<body>" + "<h2>h</h2><p>a</p><p>b</p>" * 3 + "<h2>h</h2><div>end</div></body>"))
+    assert wrapper.to_text(grouped) == "(p1:#TEXT p2:#TEXT+)+ p1:#TEXT p3:#TEXT"
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = ([[r.randrange(4), 0, 0, 0, 1, 1, 0, 0] for _ in range(r.randint(0, 7))] for _ in range(2))
+        got = wrapper.matches(a, b)
+        assert all(a[i][0] == b[j][0] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+        keys = [t[0] for t in b]
+        longest = max(len(c) for n in range(len(a) + 1) for c in itertools.combinations([t[0] for t in a], n) if _is_within(c, keys))
+        assert len(got) == longest
+
+
+def _is_within(short, long):
+    rest = iter(long)
+    return all(x in rest for x in short)
+
+
+def test_host_templates_decide_and_copies_make_none(spark):
+    note = "<div class=x><p>Subscribe now for a better life</p></div>"
+    rows = [(i, f"http://a.example/{i}", f"<title>t{i}</title><div class=x><h1>Title {i}</h1><p>{'long text ' * 9}{i}</p></div>{note}") for i in range(8)]
+    rows += [(20 + i, f"http://b.example/{i}", "<title>t</title><div class=y><h1>Title</h1><p>one and the same article</p></div>") for i in range(5)]
+    rows += [(30 + i, f"http://b.example/x{i}", f"<title>u{i}</title><div class=y><h1>Other {i}</h1><p>another article {i}</p></div>") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extract(pages).collect()}
+    alone = {i: wrapper.main_text(wrapper.read(h), None, ()) for i, _, h in rows}
+    for i in range(8):
+        assert got[i] == f"Title {i}\n\n{'long text ' * 9}{i}" and alone[i] == got[i] + "\n\nSubscribe now for a better life"
+    assert all(got[20 + i] == "Title\n\none and the same article" for i in range(5)) and got[31] == "Other 1\n\nanother article 1"
+    assert {r.page_id: r.text for r in wrapper.extract(pages.repartition(7).sortWithinPartitions("html")).collect()} == got
+
+
+def test_pages_take_time_in_proportion_to_their_length():
+    for source in ["<a " * 700_000, '<a ">"' * 300_000 + '"', "<div class=a>x" * 60_000, "<ul><li>" + "<div>" * 60_000 + "<li></li>" * 60_000, "<div>" * 60_000 + "</x>" * 60_000]:
+        began = time.perf_counter()
+        page = wrapper.read(source)
+        wrapper.main_text(page, wrapper.expression(page), ())
+        assert time.perf_counter() - began < 12
+    deep = wrapper.read("<article>" + "<div>" * 400 + "text" + "<nav>" + "<div>" * 400 + "menu")
+    assert wrapper.main_text(deep, None, ()) == "text"
 
 
 def _sql(sql, **tables):
