@@ -107,8 +107,19 @@ class Model:
                 h ^= h >> np.uint64(31)
         return h
 
+    def _total(self, points: np.ndarray) -> np.ndarray:
+        """Log-probabilities by language, added up over the characters of one text, CHUNK at a time."""
+        n, total = len(self.keys), np.zeros(len(self.languages))
+        padded = np.concatenate((np.full(n - 1, 32, np.uint32), points))
+        for at in range(0, len(points), CHUNK):
+            total += self.scores(padded[at : at + CHUNK + n - 1], n).sum(0, np.float64)
+        return total
+
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(cross-entropies by text and language in nats a character, characters); without letters 0 characters."""
+        """(cross-entropies by text and language in nats a character, characters); without letters 0 characters.
+
+        Short texts are looked up together, but each is added up by itself: its values are the same in any batch.
+        """
         n = len(self.keys)
         points = [normalise(t) for t in texts]
         size = np.array([len(p) for p in points])
@@ -116,17 +127,21 @@ class Model:
         pad = np.full(n - 1, 32, np.uint32)
         while i < len(texts):
             j, chars = i, 0
-            while j < len(texts) and (j == i or chars + size[j] <= CHUNK):
-                chars += size[j]
+            while j < len(texts) and (size[j] > CHUNK or chars + size[j] <= CHUNK):
+                chars += size[j] if size[j] <= CHUNK else 0
                 j += 1
-            some = [k for k in range(i, j) if size[k]]
+            some = [k for k in range(i, j) if 0 < size[k] <= CHUNK]
             if some:
                 joined = np.concatenate([x for k in some for x in (pad, points[k])])
-                each = self.scores(joined, n)  # one for each character from the first full context on
-                starts = np.cumsum([0, *[size[k] + n - 1 for k in some]])
-                total = np.concatenate((np.zeros((1, each.shape[1])), np.cumsum(each, 0, np.float64)))
-                for k, s in zip(some, starts, strict=False):
-                    out[k] = -(total[s + size[k]] - total[s]) / size[k]
+                each = self.scores(joined, n).astype(np.float64)  # one for each character from the first full context on
+                starts = np.cumsum([0, *[size[k] + n - 1 for k in some]])[:-1]
+                ends = starts + size[some]
+                each = np.concatenate((each, np.zeros((1, each.shape[1]))))  # so that the last text has an end
+                sums = np.add.reduceat(each, np.stack((starts, ends), 1).reshape(-1), 0)[::2]
+                out[some] = -sums / size[some, None]
+            for k in range(i, j):
+                if size[k] > CHUNK:
+                    out[k] = -self._total(points[k]) / size[k]
             i = j
         return out, size
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -254,6 +255,71 @@ def test_best_fit_takes_the_tightest_window():
         assert len(found) == len(rooms)
 
 
+def _plain_kneser_ney(counts, order):
+    """P(character | context) by the textbook's recursion on dictionaries."""
+    levels = {order: dict(counts)}
+    for n in range(order - 1, 0, -1):
+        lower = Counter()
+        for g in levels[n + 1]:
+            lower[g[1:]] += 1
+        levels[n] = lower
+    discount = {}
+    for n, level in levels.items():
+        once, twice = (sum(c == k for c in level.values()) for k in (1, 2))
+        discount[n] = once / (once + 2 * twice) if once and twice else 0.5
+
+    def p(gram, unseen):
+        n = len(gram)
+        if not n:
+            return unseen
+        after = [c for g, c in levels[n].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:], unseen)
+        return (max(levels[n].get(gram, 0) - discount[n], 0) + discount[n] * len(after) * p(gram[1:], unseen)) / sum(after)
+
+    return p
+
+
+def test_scores_are_those_of_plain_kneser_ney():
+    texts = {"a": ["the cat sat on the mat and the rat", "that hat"], "b": ["der hund und der rabe rufen", "und der"]}
+    counts = {lang: dict(langid.count_grams(t, 3)) for lang, t in texts.items()}
+    model = langid.fit(counts, 3)
+    unseen = 1 / (len({c for found in counts.values() for g in found for c in g}) + 1)
+    probes = ["the rabe", "xyz", "und", "a", "qq the hut 77 der"]
+    got, sizes = model.entropies(probes)
+    for row, n, text in zip(got, sizes, probes, strict=True):
+        s = "  " + langid.normalise(text).tobytes().decode("utf-32-le")
+        for value, lang in zip(row, model.languages, strict=True):
+            p = _plain_kneser_ney(counts[lang], 3)
+            assert value == pytest.approx(-sum(math.log(p(s[i : i + 3], unseen)) for i in range(n)) / n, rel=1e-5)
+
+
+def test_a_text_scores_alike_in_any_batch(monkeypatch):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefg hij") for _ in range(r.randint(0, 300))) for _ in range(60)]
+    model = langid.fit({k: dict(langid.count_grams(texts[i::2], 4)) for i, k in enumerate("xy")})
+    together = model.entropies(texts)[0]
+    assert (together == np.concatenate([model.entropies([t])[0] for t in texts])).all()
+    monkeypatch.setattr(langid, "CHUNK", 64)  # most texts are longer and scored in pieces
+    assert np.allclose(model.entropies(texts)[0], together, rtol=1e-9)
+
+
+def test_estimates_are_those_of_plain_expectation_maximisation():
+    r = random.Random(9)
+    sides = [-1, -1, 1, 1]
+    docs = [[r.random() < (0.1 if side < 0 else 0.9) if good else r.random() < (0.5 if side < 0 else 0.3) for side in sides] for good in (r.random() < 0.7 for _ in range(400))]
+    prior, chance = quality.estimate(sorted(Counter(map(tuple, docs)).items()), sides, steps=7)
+    votes, p, q = np.array(docs, float), 0.8, np.array([quality._start(s) for s in sides])
+    begin, weight = q[:, 0].copy(), 1 + quality.TRUST * len(docs)
+    for _ in range(7):
+        good = p * np.prod(np.where(votes == 1, q[:, 0], 1 - q[:, 0]), 1)
+        bad = (1 - p) * np.prod(np.where(votes == 1, q[:, 1], 1 - q[:, 1]), 1)
+        post = good / (good + bad)
+        p = (post.sum() + 0.8) / (len(docs) + 1)
+        q = np.stack([(votes.T @ post + weight * begin) / (post.sum() + weight), (votes.T @ (1 - post) + [quality._start(s)[1] for s in sides]) / ((1 - post).sum() + 1)], 1)
+    assert prior == pytest.approx(p) and np.allclose(chance, q)
+
+
 def test_held_out_is_the_checksum_of_the_id(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id"), langid.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
