@@ -6,6 +6,7 @@ import itertools
 import json
 import math
 import random
+import re
 import time
 
 import duckdb
@@ -218,6 +219,16 @@ def test_licences_against_sql(spark):
     assert licences.licences(docs.limit(0)).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    full = {name: "\n\n".join(parts) for name, parts in licences.FULL}
+    wrapped = "Copyright (c) 2020 Someone\n\n" + re.sub(r"(.{60,75}) ", r"\1\n", full["MIT"])
+    texts = [full["MIT"], wrapped, "x = 1\n\n" + full["Zlib"] + "\n\ndef f(): pass " * 300, full["BSD-2-Clause"], "\n".join(full["Unlicense"].split("\n")[:3]), "a permission notice without limitation " * 400, (licences.TEMPLATES[0][1] + " ") * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.licence, r.dice) for r in licences.licences(docs).collect()}
+    assert found[0] == ("MIT", 1.0) and found[1][0] == "MIT" and found[1][1] > 0.95 and found[2] == ("Zlib", 1.0) and found[3] == ("BSD-2-Clause", 1.0) and found[5][0] is None
+    assert sorted(repr(tuple(r)) for r in licences.licences(docs).collect()) == _sql(licences.SQL, documents=docs.toPandas())
+
+
 def test_size_bounds_lose_no_match():
     for b in range(1, 40):
         low, high = licences.size_bounds(b)
@@ -260,6 +271,36 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     assert chat.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), SCHEMAS).count() == 0
 
 
+def test_levels_are_those_of_a_plain_search(spark, monkeypatch):
+    r = random.Random(11)
+    needs = {(1, f"c{i}"): [f"c{i - 1}"] if i else [] for i in range(1000)}  # a chain
+    needs |= {(2, f"d{i}"): sorted({f"d{r.randrange(30)}" for _ in range(r.randint(0, 3))} - {f"d{i}"}) for i in range(30)}  # with cycles
+    needs |= {(3, f"e{i}"): sorted({f"e{r.randrange(i)}" for _ in range(2)}) if i else ["unknown"] for i in range(25)}
+
+    def level(c, k, seen):
+        if k in seen:
+            return None
+        below = [level(c, n, seen | {k}) for n in needs[c, k] if (c, n) in needs]
+        return None if None in below else max(below, default=-2) + 2
+
+    want = {(1, f"c{i}"): 2 * i for i in range(1000)} | {(c, k): level(c, k, frozenset()) for c, k in needs if c > 1}
+    rows = [(c, k, json.dumps({f"a{j}": {"$ref": n} for j, n in enumerate(ns)})) for (c, k), ns in needs.items()]
+    written = []
+    monkeypatch.setattr(chat.common, "materialize", lambda df, name, f=chat.common.materialize: (written.append(name), f(df, name))[1])
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, arguments string")
+    levels = lambda some: {(x.conv_id, x.call_id): x.level for x in some.join(chat._levels(some), ["conv_id", "call_id"], "left").collect()}
+    got = levels(calls.where("conv_id = 1"))
+    assert written.count("references") < 14  # rounds for a chain of 1,000
+    got |= levels(calls.where("conv_id > 1"))
+    assert got == want and None in want.values()
+
+
+def test_chat_joins_are_hash_joins(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "x"), (1, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    plan = chat.link(rows, chat.TOOLS)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
 def test_chat_query_against_sql(spark, tmp_path):
     rows = [(1, 0, "system", "be\n\"good\""), (1, 1, "user", "é \\ /"), (1, 2, "assistant", "ok\t"), (2, 0, "assistant", "first"), (2, 1, "user", None), (3, 0, None, None), (4, 0, "user", "a"), (4, 0, "user", "a")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
