@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strandgraph.functions import vectors as V
 from strandgraph.functions.hashing import ap_hash, ap_hash_array, ap_hash_string, feature_mask, hash_values
 from strandgraph.operators import graph as G
+from strandgraph.operators import whole as W
 from strandgraph.storage import materialize
 
 
@@ -75,13 +76,30 @@ def codes(v: DataFrame, e: DataFrame, radius: int, dist: DataFrame | None = None
     From radius 2 on, the neighbourhoods' labels are those of raw (default v), since marks of viewpoints stay out of
     them; approximate takes distances of the whole graph instead of the neighbourhood's own.
     """
-    if radius == 0:
-        return radius0(v)
-    if radius == 1:
-        return radius1(v, e)
-    dist = G.distances(v, e, 2 * radius) if dist is None else dist
-    found = subgraph_codes(G.ball(dist, radius), raw or v, e, 2 * radius, G.distances(v, e, 2 * radius) if approximate else None)
-    return found.withColumnRenamed("root", "vid")
+    if radius < 2:
+        return radius0(v) if radius == 0 else radius1(v, e)
+    return _wide_codes(v, e, [radius], approximate, raw, dist).select("graph_id", "vid", "code")
+
+
+def _wide_codes(v: DataFrame, e: DataFrame, radii: list[int], approximate: bool = False, raw: DataFrame | None = None, dist: DataFrame | None = None) -> DataFrame:
+    """(graph_id, vid, r, code) of radii from 2 on: graph by graph, by joins for graphs too large for one place."""
+    large = materialize(W.large(v, e), "large")
+    if large.isEmpty():
+        return W.codes(v, e, radii, raw, approximate)
+    small = lambda rows: rows.join(large, "graph_id", "left_anti")
+    out = W.codes(small(v), small(e), radii, raw, approximate)
+    v, e = (rows.join(large, "graph_id", "left_semi") for rows in (v, e))
+    for radius in radii:
+        near = G.distances(v, e, 2 * radius) if dist is None or approximate else dist.join(large, "graph_id", "left_semi")
+        found = subgraph_codes(G.ball(near, radius), v if raw is None else raw, e, 2 * radius, near if approximate else None)
+        out = out.unionByName(found.withColumnRenamed("root", "vid").withColumn("r", F.lit(radius)))
+    return out
+
+
+def all_codes(v: DataFrame, e: DataFrame, radius: int, approximate: bool = False, raw: DataFrame | None = None) -> DataFrame:
+    """(graph_id, vid, r, code) of every radius up to the given one."""
+    out = _union([codes(v, e, r).withColumn("r", F.lit(r)) for r in range(min(radius, 1) + 1)])
+    return out.unionByName(_wide_codes(v, e, list(range(2, radius + 1)), approximate, raw)) if radius > 1 else out
 
 
 def _kernel_points(v: DataFrame, viewpoints: bool) -> tuple[DataFrame, DataFrame]:
@@ -93,17 +111,19 @@ def _kernel_points(v: DataFrame, viewpoints: bool) -> tuple[DataFrame, DataFrame
     return usable.select("graph_id", "vid"), first.select("graph_id", "vid")
 
 
-def pairs(v: DataFrame, e: DataFrame, radius: int, distance: int, viewpoints: bool = False, coded: DataFrame | None = None, dist: DataFrame | None = None) -> DataFrame:
-    """(graph_id, r, d, src, dst, a, b): codes a and b of the vertices of each pair, for all r <= radius, d <= distance."""
+def pairs(v: DataFrame, e: DataFrame, radius: int, distance: int, viewpoints: bool = False, coded: DataFrame | None = None, dist: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
+    """(graph_id, r, d, src, dst, a, b): codes a and b of the vertices of each pair, for all r <= radius, d <= distance.
+
+    raw: vertices without marks, whose labels count from radius 2 on.
+    """
     usable, first = _kernel_points(v, viewpoints)
     dist = G.distances(v, e, max(radius, distance)) if dist is None else dist
     if radius + distance > 1:
         dist = materialize(dist, "distances")
     if coded is None:
-        each = [codes(v, e, r).withColumn("r", F.lit(r)) for r in range(radius + 1)]
-        coded = each[0]
-        for more in each[1:]:
-            coded = coded.unionByName(more)
+        coded = all_codes(v, e, radius, raw=raw)
+    if radius > 1:
+        coded = materialize(coded, "codes")
     near = dist.where(F.col("d") <= distance)
     near = near.join(first.withColumnRenamed("vid", "src"), ["graph_id", "src"], "left_semi").join(usable.withColumnRenamed("vid", "dst"), ["graph_id", "dst"], "left_semi")
     near = near.join(coded.select("graph_id", F.col("vid").alias("src"), "r", F.col("code").alias("a")), ["graph_id", "src"])
@@ -269,9 +289,9 @@ KINDS = {
     "soft": soft,
     "alias": lambda v, e, r, d: alias(pairs(v, e, r, d), r, d),
     "gapped": lambda v, e, r, d: gapped(pairs(v, e, r, d)),
-    "viewpoint": lambda v, e, r, d: hard(pairs(G.mark_viewpoints(v), e, r, d, viewpoints=True), r, d),
+    "viewpoint": lambda v, e, r, d: hard(pairs(G.mark_viewpoints(v), e, r, d, viewpoints=True, raw=v), r, d),
     "path": lambda v, e, r, d: paths(v, e, d),
-    "approximate": lambda v, e, r, d: hard(pairs(v, e, r, d, coded=_union([codes(v, e, k, approximate=True).withColumn("r", F.lit(k)) for k in range(r + 1)])), r, d),
+    "approximate": lambda v, e, r, d: hard(pairs(v, e, r, d, coded=all_codes(v, e, r, approximate=True)), r, d),
     "directional": lambda v, e, r, d: directional(pairs(v, e, r, d), root_directions(v, G.distances(v, e, max(r, 1)), r), r, d),
 }
 

@@ -159,10 +159,49 @@ def path_features(spark, d):
     return found.select(F.col("graph_id").alias("instance_id"), "fid", F.round("val", 6).alias("val"))
 
 
-# No SQL for these three: codes of neighbourhoods take nested searches; tests hold them against plain breadth-first search.
 QUERIES["q_radius2_codes"] = lambda spark, d: _each(spark, d, lambda v, e: features.codes(v, e, 2))
 QUERIES["q_approximate_codes"] = lambda spark, d: _each(spark, d, lambda v, e: features.codes(v, e, 2, approximate=True))
 QUERIES["q_path_features"] = path_features
+#: Undirected graphs of the different sequences, and the peptides' names for them.
+ONCE = (*I.PEP, "one AS (SELECT DISTINCT seq, seq AS name FROM pep)", *I.encode_sql("one", "name"), "u AS (SELECT graph_id, src, dst, label FROM e1 UNION ALL SELECT graph_id, dst, src, label FROM e1)")
+BALL = "ball AS (SELECT graph_id, src AS root, dst AS vid FROM dist WHERE d <= 2)"
+NAMED = "SELECT peptide_id AS graph_id, root AS vid, code FROM k_code JOIN pep ON seq = graph_id"
+SQL["q_radius2_codes"] = I.query(*ONCE, *I.distances_sql(2, "v1", "u"), BALL, *I.subgraphs_sql("k", "ball", 4, "v1", "u"), final=NAMED)
+SQL["q_approximate_codes"] = I.query(*ONCE, *I.distances_sql(4, "v1", "u"), BALL, *I.subgraphs_sql("k", "ball", 4, "v1", "u", "dist"), final=NAMED)
+_paths = "p{0} AS (SELECT DISTINCT a.graph_id, a.src || '>' || a.dst AS root, x.dst AS vid FROM dist a JOIN dist x ON x.graph_id = a.graph_id AND x.src = a.src JOIN dist y ON y.graph_id = a.graph_id AND y.src = a.dst AND y.dst = x.dst WHERE a.d = {0} AND x.d + y.d = {0})"
+_of_paths = " UNION ALL ".join(f"SELECT graph_id, {I.ap_text(f'{chr(39)}dt:{d} t:0{chr(39)}')} AS block, code AS selector FROM k{d}_code" for d in (1, 2))
+SQL["q_path_features"] = I.query(
+    *ONCE, *I.distances_sql(2, "v1", "u"), _paths.format(1), _paths.format(2), *I.subgraphs_sql("k1", "p1", 1, "v1", "u"), *I.subgraphs_sql("k2", "p2", 2, "v1", "u"),
+    f"hist AS (SELECT graph_id, block, selector, CAST(1 AS BIGINT) AS predicate, CAST(1 AS BIGINT) AS bin, CAST(count(*) AS DOUBLE) AS cnt FROM ({_of_paths}) GROUP BY ALL)", I.vectors_sql(),
+    final="SELECT peptide_id AS instance_id, fid, round(val, 6) AS val FROM vec JOIN pep ON seq = instance_id",
+)
+
+
+#: Radius and distance of the models' published runs.
+RADIUS, DISTANCE = 3, 5
+
+
+def published(spark, d):
+    """Vectors of the peptides' directed graphs at the published radius and distance, made once for each sequence."""
+    p = I.peptides(spark, d).select("peptide_id", "seq")
+    distinct = p.select("seq").distinct().select(F.col("seq").alias("peptide_id"), "seq")
+    made = features.graph_vectors(*encode.directed(encode.vertices(distinct), encode.edges(distinct)), RADIUS, DISTANCE)
+    return p.join(made, F.col("seq") == F.col("instance_id")).select(F.col("peptide_id").alias("instance_id"), "fid", F.round("val", 6).alias("val"))
+
+
+QUERIES["q_features_r3_d5"] = published
+_ball = lambda r: f"ball{r} AS (SELECT graph_id, src AS root, dst AS vid FROM dist WHERE d <= {r})"
+_each_code = " UNION ALL ".join(["SELECT graph_id, vid, 0 AS r, code FROM code0", "SELECT graph_id, vid, 1, code FROM code1", *[f"SELECT graph_id, root, {r}, code FROM k{r}_code" for r in range(2, RADIUS + 1)]])
+_block = f"CASE r * 10 + d {' '.join(f'WHEN {10 * r + d} THEN {I.ap_text(chr(39) + f'd:{d} r:{r}' + chr(39))}' for r in range(RADIUS + 1) for d in range(DISTANCE + 1))} END"
+SQL["q_features_r3_d5"] = I.query(
+    *I.PEP, "one AS (SELECT DISTINCT seq, seq AS name FROM pep)", *I.encode_sql("one", "name"), *I.DOUBLED, *I.distances_sql(DISTANCE), I.CODES0, I.CODES1,
+    *[x for r in range(2, RADIUS + 1) for x in (_ball(r), *I.subgraphs_sql(f"k{r}", f"ball{r}", 2 * r))], f"coded AS ({_each_code})",
+    "pair AS (SELECT graph_id, r, d, least(a.code, b.code) AS low, greatest(a.code, b.code) AS high, count(*) AS n FROM dist p JOIN coded a USING (graph_id) JOIN coded b USING (graph_id, r) WHERE a.vid = p.src AND b.vid = p.dst GROUP BY ALL)",
+    "uses AS (SELECT DISTINCT r, d, low, high FROM pair)",
+    f"keyed AS (SELECT r, d, low, high, {_block} AS block, CASE WHEN d = 0 THEN {I.ap('[low]')} ELSE {I.ap('[low, high]')} END AS selector FROM uses)",
+    "hist AS (SELECT graph_id, block, selector, CAST(1 AS BIGINT) AS predicate, CAST(1 AS BIGINT) AS bin, CAST(sum(CASE WHEN d = 0 THEN n ELSE 2 * n END) AS DOUBLE) AS cnt FROM pair JOIN keyed USING (r, d, low, high) GROUP BY ALL)",
+    I.vectors_sql(), final="SELECT peptide_id AS instance_id, fid, round(val, 6) AS val FROM vec JOIN pep ON seq = instance_id",
+)
 
 
 def pair_features(spark, d):

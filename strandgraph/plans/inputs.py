@@ -136,6 +136,38 @@ CODES1 = f"""text1 AS (SELECT graph_id, vid, label || ':' || coalesce(a, '') AS
     code1 AS (SELECT graph_id, vid, code FROM text1 JOIN (SELECT t, {ap_text('t')} AS code FROM (SELECT DISTINCT t FROM text1)) USING (t))"""
 
 
+def subgraphs_sql(name: str, members: str, bound: int, v: str = "v", e: str = "e", host: str = "") -> tuple[str, ...]:
+    """{name}_code (graph_id, root, code) of the subgraphs of members (graph_id, root, vid).
+
+    Distances are of walks within the subgraph of at most bound edges, or those of the table host (graph_id, src, dst, d).
+    """
+    out = [f"{name}_e AS (SELECT a.graph_id, a.root, x.src, x.dst, x.label FROM {e} x JOIN {members} a ON a.graph_id = x.graph_id AND a.vid = x.src JOIN {members} b ON b.graph_id = x.graph_id AND b.vid = x.dst AND b.root = a.root)"]
+    if not host:
+        out.append(f"{name}_w0 AS (SELECT graph_id, root, vid AS src, vid AS dst, 0 AS d FROM {members})")
+        for k in range(1, bound + 1):
+            out.append(f"{name}_w{k} AS (SELECT DISTINCT a.graph_id, a.root, a.src, b.dst, {k} AS d FROM {name}_w{k - 1} a JOIN {name}_e b ON a.graph_id = b.graph_id AND a.root = b.root AND a.dst = b.src)")
+        union = " UNION ALL ".join(f"SELECT * FROM {name}_w{k}" for k in range(bound + 1))
+        out.append(f"{name}_d AS (SELECT graph_id, root, src, dst, min(d) AS d FROM ({union}) GROUP BY ALL)")
+        on = "w.graph_id = a.graph_id AND w.root = a.root AND w.src = a.vid AND w.dst = b.vid"
+    else:
+        out.append(f"{name}_d AS (SELECT graph_id, src, dst, d FROM {host} WHERE d <= {bound})")
+        on = "w.graph_id = a.graph_id AND w.src = a.vid AND w.dst = b.vid"
+    near = f"SELECT a.graph_id, a.root, a.vid, coalesce(w.d, -1) || x.label AS t FROM {members} a JOIN {members} b ON b.graph_id = a.graph_id AND b.root = a.root JOIN {v} x ON x.graph_id = b.graph_id AND x.vid = b.vid LEFT JOIN {name}_d w ON {on}"
+    hashed = f"SELECT list_sort(list(h)) AS hs, graph_id, root, vid FROM {name}_t JOIN (SELECT t, {ap_text('t')} AS h FROM (SELECT DISTINCT t FROM {name}_t)) USING (t) GROUP BY graph_id, root, vid"
+    ends = f"SELECT x.graph_id, x.root, x.label AS l, least(a.code, b.code) AS p, greatest(a.code, b.code) AS q FROM {name}_e x JOIN {name}_n a ON a.graph_id = x.graph_id AND a.root = x.root AND a.vid = x.src JOIN {name}_n b ON b.graph_id = x.graph_id AND b.root = x.root AND b.vid = x.dst"
+    coded = f"SELECT hs, {ap('hs')} AS code FROM (SELECT DISTINCT hs FROM {{}})"
+    triple = f"SELECT p, q, l, {ap(f'[p, q, {ap_text(chr(108))}]')} AS h FROM (SELECT DISTINCT p, q, l FROM {name}_x)"
+    return (
+        *out,
+        f"{name}_t AS ({near})",
+        f"{name}_h AS ({hashed})",
+        f"{name}_n AS (SELECT graph_id, root, vid, code FROM {name}_h JOIN ({coded.format(f'{name}_h')}) USING (hs))",
+        f"{name}_x AS ({ends})",
+        f"{name}_y AS (SELECT graph_id, root, list_sort(list(h)) AS hs FROM {name}_x JOIN ({triple}) USING (p, q, l) GROUP BY graph_id, root)",
+        f"{name}_code AS (SELECT m.graph_id, m.root, coalesce(c.code, {SEED & MASK31}) AS code FROM (SELECT DISTINCT graph_id, root FROM {members}) m LEFT JOIN {name}_y y USING (graph_id, root) LEFT JOIN ({coded.format(f'{name}_y')}) c USING (hs))",
+    )
+
+
 def histogram_sql(distance: int = 1, kind: str = "hard", first: str = "true") -> str:
     """hist (graph_id, block, selector, predicate, bin, cnt) of radius 0 from dist and code0."""
     block = f"CASE d {' '.join(f'WHEN {d} THEN ' + ap_text(f"'d:{d} r:0'") for d in range(distance + 1))} END"

@@ -2,23 +2,55 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder that holds the package; on a cluster the package is installed, or given by --py-files.
+ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """spark.checkpoint.dir; a temporary folder where it is unset and Spark runs on this machine alone, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="strandgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), ROOT)))
+
+
+#: Folders that this process has written.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written and read again: cuts the plan, computes shared parts once, and survives the loss of executors."""
+    """df written and read again: cuts the plan, computes shared parts once, and survives the loss of executors.
+
+    What is written stays until clear(): the DataFrames that are returned read it.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes all that materialize() has written in this process, once no result is read any more; the number of folders."""
+    jvm = spark.sparkContext._jvm
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
