@@ -2,46 +2,25 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from strandgraph.storage import importable, materialize  # noqa: F401
+
 #: Rows of one Arrow batch sent to Python, so that a batch of long texts stays small.
 BATCH_ROWS = 128
 #: Keys of eight bytes that are broadcast at most.
 BROADCAST_KEYS = 2_000_000
-#: The folder that holds the package; on a cluster the package is installed, or given by --py-files.
-ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="strandgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def strings(column: pa.Array) -> list[str]:
     """Texts of a batch; null becomes the empty text, bytes that are not UTF-8 the replacement character."""
     try:
@@ -50,15 +29,11 @@ def strings(column: pa.Array) -> list[str]:
         return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), ROOT)))
-
-
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with batches of BATCH_ROWS rows, in workers that can import this package."""
+    """mapInArrow with batches of BATCH_ROWS rows, in workers that can import this package.
+
+    Spark reads the size of batches from the session when it plans the query, so it stays set there.
+    """
     importable(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(f, schema)
