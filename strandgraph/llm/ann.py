@@ -55,9 +55,15 @@ class Codes:
         return np.packbits(bits, axis=1).view(">u2").astype(np.uint16)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: exact, so cosines don't change, and no square overflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
+
+
 def learn(vectors: np.ndarray, k: int = K, turns: int = TURNS, seed: int = 0) -> Codes:
     """Codes from a sample of vectors (rows)."""
     rng = np.random.default_rng(seed)
+    vectors = scaled(vectors)
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     mean = unit.mean(0)
     centred = unit - mean
@@ -87,9 +93,9 @@ class Block:
     """The index of one block of vectors."""
 
     def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray):
-        self.codes, self.ids, self.vectors = codes, ids, vectors
-        self.norms = np.linalg.norm(vectors, axis=1)
-        self.code = codes.encode(vectors / self.norms[:, None])
+        self.codes, self.ids, self.vectors = codes, ids, scaled(vectors)
+        self.norms = np.linalg.norm(self.vectors, axis=1)
+        self.code = codes.encode(self.vectors / self.norms[:, None])
         self.tables = []
         for j in range(codes.parts):
             order = np.argsort(self.code[:, j], kind="stable")
@@ -127,6 +133,7 @@ class Block:
 
     def search(self, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, cosines) of the k nearest vectors found, ties to smaller ids."""
+        vector = scaled(vector[None])[0]
         norm = np.linalg.norm(vector)
         code = self.codes.encode((vector / norm)[None])[0]
         radius, most = self.codes.radius, self.codes.parts * PART
