@@ -4,7 +4,9 @@ Documents of equal shingle sets are one class, found by a 128-bit digest before
 are joined. The steps:
 
 1. A sketch of SLOTS counters, filled over all documents, gives every shingle an order: shingles in rare slots first.
-   Any order that all documents share is a right one, so collisions in the sketch cost time only.
+   Any order that all documents share is a right one, so collisions in the sketch cost time only, and so does it that a
+   task hands on only the counters that stand out among its own: what it hands on stays small however many slots and tasks
+   there are, and a slot that stands out in no task is a rare one.
 2. Two sets with a Jaccard similarity of at least t share their first LEAST shared shingles within their prefixes of
    n - ceil(t n) + LEAST shingles. Only prefixes are moved.
 3. Grouping, in TURNS rounds. In every list of one shingle and one band of set sizes, each class is held against one
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from strandgraph.llm import common
 from strandgraph.llm.components import components
 
-WORDS_EACH, PERCENT, LEAST, SLOTS, TURNS = 3, 90, 2, 1 << 17, 3
+WORDS_EACH, PERCENT, LEAST, SLOTS, TURNS = 3, 90, 2, 1 << 20, 3
+#: A task's counter stands out at this count and at this many times the mean of its counters.
+HEAVY, TIMES = 8, 4
 #: Words whose hashes are kept in a Python worker.
 KEPT = 200_000
 
@@ -77,17 +81,18 @@ def _sets(docs: DataFrame, words_each: int) -> DataFrame:
     """Rows (doc_id, n, d1, d2) of every document, and rows (slot, count) of the sketch with a null n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SLOTS, np.int64)
+        sketch, filled = np.zeros(SLOTS, np.int64), 0
         names = ["doc_id", "n", "d1", "d2", "slot", "count"]
         for batch in batches:
             rows = []
             for text in common.strings(batch.column(1)):
                 s = shingles(text, words_each)
                 np.add.at(sketch, (s % np.uint64(SLOTS)).astype(np.int64), 1)
+                filled += len(s)
                 rows.append((len(s), *_digest(s)))
             none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], none, none], names)
-        at = np.flatnonzero(sketch)
+        at = np.flatnonzero(sketch >= max(HEAVY, TIMES * filled // SLOTS))
         if len(at):
             none = pa.nulls(len(at), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at, pa.int64()), pa.array(sketch[at], pa.int64())], names)
@@ -96,8 +101,8 @@ def _sets(docs: DataFrame, words_each: int) -> DataFrame:
 
 
 def _order(sketch: DataFrame) -> np.ndarray:
-    """The sketch's orders of magnitude by slot: at most SLOTS rows come to the driver."""
-    out = np.zeros(SLOTS, np.uint64)
+    """The sketch's orders of magnitude by slot, one byte each: at most SLOTS rows come to the driver."""
+    out = np.zeros(SLOTS, np.uint8)
     for slot, n in sketch.groupBy("slot").agg(F.sum("count").alias("n")).collect():
         out[slot] = int(n).bit_length()
     return out
@@ -105,7 +110,7 @@ def _order(sketch: DataFrame) -> np.ndarray:
 
 def _ranked(s: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Shingles as sorted numbers whose upper six bits are the sketch's order of magnitude."""
-    ranked = (order[(s % np.uint64(SLOTS)).astype(np.int64)] << np.uint64(58)) | (s >> np.uint64(6))
+    ranked = (order[(s % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
     ranked.sort()
     return ranked
 
@@ -135,7 +140,7 @@ def _needed(n: str, low: str, high: str, percent: int, least: int) -> str:
 
 
 def _prefixes(docs: DataFrame, order: np.ndarray, words_each: int, percent: int, least: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # SLOTS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # SLOTS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -72,6 +72,24 @@ def test_jaccard_links_small_sets_with_larger_ones(spark, words_each, percent):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == want
 
 
+@pytest.mark.parametrize("percent", [90, 80, 50])
+def test_jaccard_of_nested_and_equal_sized_sets(spark, percent):
+    texts = []
+    for n in range(1, 31):
+        words = [f"n{n}w{i}" for i in range(n)]
+        texts += [" ".join(words), " ".join([*words, *(f"n{n}more{i}" for i in range(max(1, n * (100 - percent) // percent)))]), " ".join([f"n{n}other", *words[1:]])]
+    rows = list(enumerate(texts))
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == _brute(rows, 1, percent)
+
+
+def test_sketch_hands_on_what_stands_out(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(200)) + " one and the same end") for i in range(40)], "doc_id long, text string").coalesce(1)
+    order = jaccard._order(jaccard._sets(docs, 3).where("slot IS NOT NULL"))
+    common_ones = jaccard.shingles("one and the same end")
+    assert (order[(common_ones % np.uint64(jaccard.SLOTS)).astype(int)] == 6).all() and np.count_nonzero(order) == len(common_ones)
+
+
 def test_jaccard_of_no_rows_and_of_the_stage(spark):
     empty = spark.createDataFrame([], DOCS)
     assert jaccard.similar(empty).count() == 0 and jaccard.stage(spark, empty, "").count() == 0
@@ -209,6 +227,24 @@ def _sql(sql, **tables):
     return sorted(map(repr, con.sql(sql).fetchall()))
 
 
+def test_neighbours_of_the_table_and_of_huge_and_tiny_vectors(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = table.toPandas().sort_values("vec_id")
+    y = np.array(x.embedding.tolist(), float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    got = ann.nearest(table, "vec_id % 5 = 0").toPandas()
+    hit = total = 0
+    for q, mine in got.groupby("query_id"):
+        at = int(np.flatnonzero(x.vec_id.to_numpy() == q)[0])
+        near = [i for i in np.argsort(-(y @ y[at]), kind="stable") if i != at][:5]
+        hit, total = hit + len({int(x.vec_id.iloc[i]) for i in near} & set(mine.vec_id)), total + 5
+    assert hit / total >= 0.9
+    odd = [(k, [size * c for c in v]) for k, (size, v) in enumerate((s, v) for s in (1e200, 1e-200, 1.0) for v in ([1.0, 2.0], [2.0, 1.0], [1.0, -1.0]))]
+    near = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(odd, "vec_id long, embedding array<double>"), "vec_id = 0").collect()}
+    assert near[0, 1][0] == 3 and near[0, 2][0] == 6 and near[0, 1][1] == pytest.approx(1)
+    assert {near[0, k][0] for k in (3, 4, 5)} == {1, 4, 7} and near[0, 5][1] == pytest.approx(0.8)
+
+
 def test_licences_against_sql(spark):
     texts = [None, "", "x", "Released under the MIT License.", "intro\nLicensed under the Apache License, Version 2.0.\n\nmore", "released UNDER the mit   licence", "The MIT License was released.", licences.TEMPLATES[15][1], "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.", "a " * 5000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("licence", F.lit(1)).withColumn("dice", F.lit(2))
