@@ -83,11 +83,10 @@ def test_jaccard_of_nested_and_equal_sized_sets(spark, percent):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == _brute(rows, 1, percent)
 
 
-def test_sketch_hands_on_what_stands_out(spark):
-    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(200)) + " one and the same end") for i in range(40)], "doc_id long, text string").coalesce(1)
+def test_sketch_counts_every_shingle(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20)) + " one and the same end") for i in range(40)], "doc_id long, text string").repartition(3)
     order = jaccard._order(jaccard._sets(docs, 3).where("slot IS NOT NULL"))
-    common_ones = jaccard.shingles("one and the same end")
-    assert (order[(common_ones % np.uint64(jaccard.SLOTS)).astype(int)] == 6).all() and np.count_nonzero(order) == len(common_ones)
+    assert (order[(jaccard.shingles("one and the same end") % np.uint64(jaccard.SLOTS)).astype(int)] >= 6).all() and np.count_nonzero(order) > 700
 
 
 def test_jaccard_of_no_rows_and_of_the_stage(spark):
