@@ -71,24 +71,31 @@ def _levels(calls: DataFrame) -> DataFrame:
     if edges.isEmpty():
         return calls.select(*key).withColumn("level", F.lit(0))
     met = edges.select("conv_id", F.col("needs").alias("call_id")).union(edges.select(*key)).distinct()
-    nodes = common.materialize(met.withColumn("base", F.lit(0)), "calls")
-    patience, idle, before = nodes.count().bit_length() + 1, 0, None
+    open_ = common.materialize(met.withColumn("base", F.lit(0)), "calls")
+    patience, idle, before = open_.count().bit_length() + 1, 0, None
+    levels = calls.select(*key).join(_unique(met), key, "left_anti").withColumn("level", F.lit(0))
+    raised = lambda rows, gained: rows.join(_unique(gained.groupBy(*key).agg(F.max("gain").alias("gain"))), key, "left").select(*key, F.greatest("base", F.coalesce("gain", F.lit(0))).alias("base"))
+    recent = None  # the calls that the round before has settled
     while True:
+        if recent is not None:  # references to them are taken in, before any other follows these
+            met = common.materialize(edges.join(_unique(recent), ["conv_id", "needs"], "left"), "references")
+            open_ = raised(open_, met.where("level IS NOT NULL").select(*key, (F.col("level") + F.col("far")).alias("gain")))
+            edges = met.where("level IS NULL").select(*key, "needs", "far")
         degree = edges.groupBy(*key).agg(F.count("*").alias("open"), F.min(F.struct("needs", "far")).alias("one"))
-        nodes = common.materialize(nodes.join(_unique(degree), key, "left").select(*key, "base", F.coalesce("open", F.lit(0)).alias("open"), "one"), "calls")
-        still = nodes.where("open > 0").count()
+        now = common.materialize(open_.join(_unique(degree), key, "left").select(*key, "base", "open", "one"), "calls")
+        ready, rest = now.where("open IS NULL"), now.where("open > 0")
+        levels = levels.unionByName(ready.select(*key, F.col("base").alias("level")))
+        still = rest.count()
         idle = idle + 1 if still == before else 0
         if not still or idle > patience:
-            break
+            return levels
         before = still
-        target = nodes.select("conv_id", F.col("call_id").alias("needs"), F.col("base").alias("known"), "open", "one")
-        through = common.materialize(edges.join(_unique(target), ["conv_id", "needs"]), "references")
-        gained = through.where("open <= 1").groupBy(*key).agg(F.max(F.col("known") + F.col("far")).alias("gained"))
-        nodes = common.materialize(nodes.join(_unique(gained), key, "left").select(*key, F.greatest("base", F.coalesce("gained", F.lit(0))).alias("base")), "calls")
-        onward = through.where("open > 0").select(*key, F.expr("CASE WHEN open = 1 THEN one.needs ELSE needs END").alias("needs"), F.expr("CASE WHEN open = 1 THEN far + one.far ELSE far END").alias("far"))
+        single = rest.where("open = 1").select("conv_id", F.col("call_id").alias("needs"), F.col("base").alias("known"), F.col("one.needs").alias("next"), F.col("one.far").alias("step"))
+        met = common.materialize(edges.join(_unique(single), ["conv_id", "needs"], "left"), "references")
+        open_ = common.materialize(raised(rest.select(*key, "base"), met.where("known IS NOT NULL").select(*key, (F.col("known") + F.col("far")).alias("gain"))), "calls")
+        onward = met.select(*key, F.coalesce("next", "needs").alias("needs"), (F.col("far") + F.coalesce("step", F.lit(0))).alias("far"))
         edges = common.materialize(onward.groupBy(*key, "needs").agg(F.max("far").alias("far")), "references")
-    alone = calls.select(*key).join(_unique(met), key, "left_anti").withColumn("level", F.lit(0))
-    return alone.unionByName(nodes.where("open = 0").select(*key, F.col("base").alias("level")))
+        recent = ready.select("conv_id", F.col("call_id").alias("needs"), F.col("base").alias("level"))
 
 
 def link(messages: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]], calls: Column | None = None, result: Column | None = None) -> DataFrame:
