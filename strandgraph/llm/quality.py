@@ -38,7 +38,7 @@ RULES = (
 PRIOR_GOOD, RIGHT, WRONG, STEPS = 0.8, {-1: 0.15, 1: 0.95}, {-1: 0.003, 1: 0.3}, 100
 #: What the starting chances on good documents weigh against the corpus: without it the class of bad documents can
 #: settle on the faults that come together and take a fault that comes alone for a habit of good documents.
-TRUST = 1.0
+TRUST = 0.1
 #: Documents with a smaller posterior are rejected.
 LEAST_POSTERIOR = 0.5
 
