@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED, MASK31 = 2863311530, 2147483647
+#: Fixed values of the block hash: its multiplier and the two shifts of its end.
+BLOCK_M, BLOCK_SHIFTS = 1540483477, (13, 15)
 #: The rolling hash's two multipliers.
 ROLL_A, ROLL_B = 63689, 378551
 
@@ -84,6 +86,32 @@ def hash_values(df: DataFrame, name: str, values: Sequence[str | int], mask: int
     return df.withColumn(name, F.expr(f"{name} & {mask}"))
 
 
+def block_hash(data: bytes, seed: int = 0) -> int:
+    """The 32-bit hash of bytes in little-endian blocks of four (MurmurHash2), in Python."""
+    words = [int.from_bytes(data[i : i + 4], "little") for i in range(0, len(data), 4)]
+    full, rest = divmod(len(data), 4)
+    h = seed ^ len(data)
+    for k in words[:full]:
+        k = k * BLOCK_M & 0xFFFFFFFF
+        h = (h * BLOCK_M & 0xFFFFFFFF) ^ ((k ^ k >> 24) * BLOCK_M & 0xFFFFFFFF)
+    if rest:
+        h = (h ^ words[-1]) * BLOCK_M & 0xFFFFFFFF
+    h = (h ^ h >> BLOCK_SHIFTS[0]) * BLOCK_M & 0xFFFFFFFF
+    return h ^ h >> BLOCK_SHIFTS[1]
+
+
+def block_hash_string(column: str, seed: int = 0) -> Column:
+    """block_hash() of a string column's bytes in UTF-8; null stays null. No product is over 63 bits."""
+    digits, n = f"hex(encode({column}, 'UTF-8'))", f"octet_length({column})"
+    byte = lambda at: f"CAST(conv(substring({digits}, 2 * ({at}) + 1, 2), 16, 10) AS BIGINT)"
+    word = " + ".join(f"shiftleft(coalesce({byte(f'4 * i + {k}')}, 0L), {8 * k})" for k in range(4))
+    words = f"transform(slice(sequence(0, greatest({n}, 1)), 1, CAST(ceil({n} / 4) AS INT)), i -> struct(i * 4 + 4 <= {n} AS whole, {word} AS k))"
+    mixed = f"(((x.k * {BLOCK_M}L) & 4294967295L) ^ shiftright((x.k * {BLOCK_M}L) & 4294967295L, 24))"
+    step = f"(h, x) -> CASE WHEN x.whole THEN ((h * {BLOCK_M}L) & 4294967295L) ^ (({mixed} * {BLOCK_M}L) & 4294967295L) ELSE ((h ^ x.k) * {BLOCK_M}L) & 4294967295L END"
+    end = f"h -> transform(array(((h ^ shiftright(h, {BLOCK_SHIFTS[0]})) * {BLOCK_M}L) & 4294967295L), g -> g ^ shiftright(g, {BLOCK_SHIFTS[1]}))[0]"
+    return F.expr(f"aggregate({words}, {seed}L ^ CAST({n} AS BIGINT), {step}, {end})")
+
+
 def minhash_family(k: Column, fid: Column) -> Column:
     """The k-th (from 0) of a family of hashes modulo a Mersenne prime, equal in any engine with 64-bit integers."""
     return ((fid % F.lit(MASK31)) * (F.lit(2 * 48271) * k + F.lit(16807)) + (F.lit(69621) * k + F.lit(12345))) % F.lit(MASK31)

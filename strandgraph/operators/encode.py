@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.functions import residues as R
+from strandgraph.storage import small
 
 LAYERS = ("any", "polarity", "charge", "hydrophobicity", "identity")
 DRIVER_LAYERS = ("any", "charge", "hydrophobicity", "identity")
@@ -84,9 +85,9 @@ def undirected(e: DataFrame) -> DataFrame:
 def with_domain(peptides: DataFrame, domains: DataFrame) -> DataFrame:
     """peptides (peptide_id, seq) with aligned: the sequence of the first domain whose name matches peptide_id as a pattern.
 
-    domains: (ord, name, aligned_seq), a small lookup table, broadcast for the pattern test; the first row by ord counts.
-    Unmatched peptides have no domain (null).
+    domains: (ord, name, aligned_seq), a lookup table, broadcast for the pattern test if it is small; the first row by ord
+    counts. Unmatched peptides have no domain (null).
     """
-    hit = peptides.select("peptide_id").distinct().join(F.broadcast(domains), F.expr("name RLIKE peptide_id"), "inner")
+    hit = peptides.select("peptide_id").distinct().join(small(domains), F.expr("name RLIKE peptide_id"), "inner")
     first = hit.groupBy("peptide_id").agg(F.min_by("aligned_seq", "ord").alias("aligned"))
     return peptides.join(first, "peptide_id", "left")

@@ -189,11 +189,11 @@ def root_directions(v: DataFrame, dist: DataFrame, radius: int) -> DataFrame:
     return out
 
 
-def soft_attributes(v: DataFrame, e: DataFrame, dist: DataFrame, radius: int) -> DataFrame:
+def soft_attributes(v: DataFrame, e: DataFrame, dist: DataFrame, radius: int, approximate: bool = False) -> DataFrame:
     """(graph_id, vid, predicate, bin, cnt): attributes of the neighbourhood of each vertex, for one radius.
 
     Vertices have attrs (array of strings; default the label alone) and nums (array of numbers, default none). Radius 0:
-    the vertex; 1: the root, its label with "+r", and the out-neighbours; larger: the ball.
+    the vertex; 1: the root, its label with "+r", and the out-neighbours; larger, or approximate: the ball.
     """
     if "attrs" not in v.columns:
         v = v.withColumn("attrs", F.array("label"))
@@ -203,7 +203,7 @@ def soft_attributes(v: DataFrame, e: DataFrame, dist: DataFrame, radius: int) ->
     itself = node.select("graph_id", F.col("dst").alias("vid"), "label", "attrs", "nums")
     if radius == 0:
         seen = itself
-    elif radius == 1:
+    elif radius == 1 and not approximate:
         near = G.alive_edges(v, e).select("graph_id", F.col("src").alias("vid"), "dst").join(node, ["graph_id", "dst"]).select("graph_id", "vid", "label", "attrs", "nums")
         seen = near.unionByName(itself.withColumn("label", F.concat("label", F.lit("+r"))))
     else:
@@ -217,13 +217,13 @@ def soft_attributes(v: DataFrame, e: DataFrame, dist: DataFrame, radius: int) ->
     return both.groupBy("graph_id", "vid", "predicate", "bin").agg(F.sum("cnt").alias("cnt"))
 
 
-def soft(v: DataFrame, e: DataFrame, radius: int, distance: int, viewpoints: bool = False) -> DataFrame:
-    """The histogram of soft matching: selectors from labels, contents from both ends' attributes."""
+def soft(v: DataFrame, e: DataFrame, radius: int, distance: int, viewpoints: bool = False, approximate: bool = False) -> DataFrame:
+    """The histogram of soft matching: selectors from labels, contents from both ends' attributes (approximate: of the balls)."""
     dist = G.distances(v, e, max(radius, distance))
     zero = radius0(v)
     coded, content = None, None
     for r in range(radius + 1):
-        c, a = zero.withColumn("r", F.lit(r)), soft_attributes(v, e, dist, r).withColumn("r", F.lit(r))
+        c, a = zero.withColumn("r", F.lit(r)), soft_attributes(v, e, dist, r, approximate).withColumn("r", F.lit(r))
         coded, content = (c, a) if coded is None else (coded.unionByName(c), content.unionByName(a))
     p = pairs(v, e, radius, distance, viewpoints, coded, dist)
     one = hash_values(p.where("d = 0"), "selector", ["a"])
@@ -234,16 +234,49 @@ def soft(v: DataFrame, e: DataFrame, radius: int, distance: int, viewpoints: boo
     return met.groupBy("graph_id", "block", "selector", "predicate", "bin").agg(F.sum("cnt").alias("cnt"))
 
 
-def paths(v: DataFrame, e: DataFrame, distance: int, thickness: int = 0) -> DataFrame:
-    """The histogram of codes of thickened shortest paths, for each length from 1 and thickness from 0."""
-    dist, out = G.distances(v, e, max(distance, thickness, 1)), None
+def _path_blocks(distance: int, thickness: int) -> Column:
+    """The key of the block of paths of length d and thickness t."""
+    table = [x for d in range(1, distance + 1) for t in range(thickness + 1) for x in (F.lit(1000 * t + d), F.lit(ap_hash(f"dt:{d} t:{t}")))]
+    return F.create_map(*table)[F.col("t") * 1000 + F.col("d")].cast("long")
+
+
+def path_codes(v: DataFrame, e: DataFrame, distance: int, thickness: int = 0) -> DataFrame:
+    """(graph_id, d, t, src, dst, code) of the union of shortest paths of each pair, thickened by balls."""
+    large = materialize(W.large(v, e), "large")
+    if large.isEmpty():
+        return W.path_codes(v, e, distance, thickness)
+    small = lambda rows: rows.join(large, "graph_id", "left_anti")
+    out = W.path_codes(small(v), small(e), distance, thickness)
+    v, e = (rows.join(large, "graph_id", "left_semi") for rows in (v, e))
+    dist = G.distances(v, e, max(distance, thickness, 1))
     for d in range(1, distance + 1):
         for t in range(thickness + 1):
-            members = G.thick_path_vertices(dist, d, t).select("graph_id", F.struct("src", "dst").alias("_pair"), "vid")
-            named = members.select("graph_id", F.concat_ws(">", F.col("_pair.src").cast("string"), F.col("_pair.dst").cast("string")).alias("root"), "vid")
-            found = subgraph_codes(named, v, e, d + 2 * t).withColumnRenamed("code", "selector").withColumn("block", F.lit(ap_hash(f"dt:{d} t:{t}")).cast("long"))
-            out = found if out is None else out.unionByName(found)
-    return _histogram(out, F.lit(1))
+            members = G.thick_path_vertices(dist, d, t).select("graph_id", F.concat_ws(">", F.col("src").cast("string"), F.col("dst").cast("string")).alias("root"), "vid")
+            found = subgraph_codes(members, v, e, d + 2 * t)
+            ends = [F.substring_index("root", ">", k).cast(v.schema["vid"].dataType) for k in (1, -1)]
+            out = out.unionByName(found.select("graph_id", F.lit(d).alias("d"), F.lit(t).alias("t"), ends[0].alias("src"), ends[1].alias("dst"), "code"))
+    return out
+
+
+def paths(v: DataFrame, e: DataFrame, distance: int, thickness: int = 0, match: str = "hard") -> DataFrame:
+    """The histogram of thickened shortest paths, for each length from 1 and thickness from 0.
+
+    Hard: selectors are the paths' codes. Soft: selectors are the sum of the codes of both ends' labels, contents the
+    attributes of all vertices of the path.
+    """
+    if match == "hard":
+        found = path_codes(v, e, distance, thickness).withColumnRenamed("code", "selector")
+        return _histogram(found.withColumn("block", _path_blocks(distance, thickness)), F.lit(1))
+    if match != "soft":
+        raise ValueError(f"unknown match: {match}; known: hard, soft")
+    dist = materialize(G.distances(v, e, max(distance, thickness, 1)), "distances")
+    members = _union([G.thick_path_vertices(dist, d, t).withColumns({"d": F.lit(d), "t": F.lit(t)}) for d in range(1, distance + 1) for t in range(thickness + 1)])
+    members = members.withColumn("block", _path_blocks(distance, thickness))
+    zero = radius0(v)
+    for end in ("src", "dst"):
+        members = members.join(zero.select("graph_id", F.col("vid").alias(end), F.col("code").alias(f"_{end}")), ["graph_id", end])
+    met = members.withColumn("selector", (F.col("_src") + F.col("_dst")).bitwiseAND(F.lit(4294967295))).join(soft_attributes(v, e, dist, 0), ["graph_id", "vid"])
+    return met.groupBy("graph_id", "block", "selector", "predicate", "bin").agg(F.sum("cnt").alias("cnt"))
 
 
 def vectors(histogram: DataFrame, bits: int = 14, normalise: bool = True, min_kernel: bool = False) -> DataFrame:
@@ -291,6 +324,8 @@ KINDS = {
     "gapped": lambda v, e, r, d: gapped(pairs(v, e, r, d)),
     "viewpoint": lambda v, e, r, d: hard(pairs(G.mark_viewpoints(v), e, r, d, viewpoints=True, raw=v), r, d),
     "path": lambda v, e, r, d: paths(v, e, d),
+    "soft path": lambda v, e, r, d: paths(v, e, d, match="soft"),
+    "approximate soft": lambda v, e, r, d: soft(v, e, r, d, approximate=True),
     "approximate": lambda v, e, r, d: hard(pairs(v, e, r, d, coded=all_codes(v, e, r, approximate=True)), r, d),
     "directional": lambda v, e, r, d: directional(pairs(v, e, r, d), root_directions(v, G.distances(v, e, max(r, 1)), r), r, d),
 }
@@ -310,12 +345,19 @@ def composite(parts: list[DataFrame]) -> DataFrame:
     return total.join(norm, "instance_id").select("instance_id", "fid", (F.col("val") / F.col("_s")).alias("val"))
 
 
-def composite_vectors(v: DataFrame, e: DataFrame, radius: int = 0, distance: int = 1, bits: int = 14, kinds: tuple[str, ...] = ("hard", "abstract", "stem", "pp", "soft", "gapped")) -> DataFrame:
-    """Vectors of several feature sets as one: of the graph as it is and of its relabelled forms, by the named kinds."""
+#: Radius and distance of the sets of a composite that have their own.
+SHAPES = {"abstract": (2, 100)}
+
+
+def composite_vectors(v: DataFrame, e: DataFrame, radius: int = 0, distance: int = 1, bits: int = 14, kinds: tuple[str, ...] = ("hard", "abstract", "stem", "pp", "soft", "gapped"), shapes: dict[str, tuple[int, int]] = SHAPES) -> DataFrame:
+    """Vectors of several feature sets as one: of the graph as it is and of its relabelled forms, by the named kinds.
+
+    shapes: (radius, distance) of the kinds that have their own; the others take radius and distance.
+    """
     from strandgraph.functions.residues import purine_pyrimidine
 
     forms = {"abstract": lambda: G.abstract(v), "stem": lambda: G.stems(v, e), "pp": lambda: v.withColumn("label", purine_pyrimidine(F.col("label")))}
-    return composite([graph_vectors(forms[k]() if k in forms else v, e, radius, distance, bits, "hard" if k in forms else k) for k in kinds])
+    return composite([graph_vectors(forms[k]() if k in forms else v, e, *shapes.get(k, (radius, distance)), bits, "hard" if k in forms else k) for k in kinds])
 
 
 def vertex_vectors(v: DataFrame, e: DataFrame, radius: int, distance: int, bits: int = 14) -> DataFrame:

@@ -47,6 +47,8 @@ def distances(v: DataFrame, e: DataFrame, bound: int) -> DataFrame:
         frontier = onward.join(reached.select("graph_id", "src", "dst"), ["graph_id", "src", "dst"], "left_anti").withColumn("d", F.lit(d))
         if bound > 1:
             frontier = materialize(frontier, "frontier")
+            if frontier.isEmpty():
+                break
         reached = reached.unionByName(frontier)
     return reached
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandgraph.operators.ranks import ranked
+
 
 def ratio(a: str, b: str) -> Column:
     """a / b, null where b is 0."""
@@ -52,8 +54,8 @@ def statistics(df: DataFrame, value: str, by: Sequence[str] = (), null: float |
 def _ordered(rows: DataFrame, sizes: DataFrame, by: Sequence[str], orders: Sequence[float], name: str) -> DataFrame:
     """The values at 0-based places floor(n * q): equal values are counted first, so a place is found among distinct values."""
     counted = rows.groupBy(*by, "x").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy("x") if by else Window.partitionBy(F.lit(0)).orderBy("x")
-    counted = counted.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    keyed = counted if by else counted.withColumn("_all", F.lit(0))
+    counted = ranked(keyed, by or ["_all"], ["x"], "_i", {"_less": F.col("_c")}).withColumn("_upto", F.col("_less") + F.col("_c"))
     counted = counted.join(sizes, list(by)) if by else counted.crossJoin(F.broadcast(sizes))
     at = lambda q: F.min(F.when(F.col("_upto") > F.floor(F.col("num") * q), F.col("x")))
     return counted.groupBy(*by).agg(*[at(q).alias(f"{name}{round(100 * q)}") for q in orders])

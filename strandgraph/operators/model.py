@@ -12,17 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.operators.ranks import ranked
+from strandgraph.storage import small
 
 
 def margins(features: DataFrame, weights: DataFrame, models: DataFrame, instances: DataFrame | None = None, by: Sequence[str] = ("instance_id",)) -> DataFrame:
     """(by, model, level, margin) of every instance and model: the sum of w * val, times wscale, plus bias.
 
     instances: (by) of instances that may have no features (their margin is the bias); default those with features.
-    The models table is small (one row for each model and level) and meets every instance.
+    The models table has one row for each model and level and meets every instance; it is broadcast if it is small.
     """
     key = [*by, "model", "level"]
     met = features.join(weights, "fid").groupBy(*key).agg(F.sum(F.col("val") * F.col("w")).alias("dot"))
-    every = (features.select(*by).distinct() if instances is None else instances.select(*by)).crossJoin(F.broadcast(models))
+    every = (features.select(*by).distinct() if instances is None else instances.select(*by)).crossJoin(small(models))
     return every.join(met, key, "left").select(*key, (F.coalesce("dot", F.lit(0.0)) * F.col("wscale") + F.col("bias")).alias("margin"), "pos_thr", "neg_thr")
 
 

@@ -6,16 +6,16 @@ compared, so that ties don't hang on the order of a sum.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.functions.hashing import minhash_family
 from strandgraph.functions.vectors import dot
+from strandgraph.operators import metrics, ranks
 from strandgraph.storage import materialize
 
 DIGITS = 6
@@ -111,6 +111,16 @@ def dense_density(vectors: DataFrame, id: str = "vec_id", vector: str = "embeddi
     return parts.groupBy(F.col("u").alias(id)).agg(F.expr("sum(s) / nullif(sum(n), 0)").alias("density"))
 
 
+def similarity_to_set(queries: DataFrame, members: DataFrame, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(id, similarity): the mean inner product of each query with all members, itself included if it is one of them."""
+
+    def sums(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.Table:
+        return pa.table({"u": pa.array(qids, pa.int64()), "s": pa.array(q @ x.sum(0)), "n": pa.array(np.full(len(qids), len(ids)), pa.int64())})
+
+    parts = _over_blocks(queries, members, id, vector, block, sums, "u long, s double, n long")
+    return parts.groupBy(F.col("u").alias(id)).agg((F.sum("s") / F.sum("n")).alias("similarity"))
+
+
 # ---- neighbours --------------------------------------------------------------------------------------------------
 
 
@@ -155,6 +165,12 @@ def signatures(features: DataFrame, hashes: int = 30, compact: int = 1) -> DataF
     return least.groupBy("instance_id", F.floor(F.col("k") / compact).cast("int").alias("k")).agg(F.sum("minhash").alias("minhash"))
 
 
+def bin_statistics(bins: DataFrame) -> DataFrame:
+    """Statistics of the sizes of the bins, each bin counted once for every instance in it."""
+    sizes = bin_sizes(bins).withColumnRenamed("n", "size")
+    return metrics.statistics(bins.join(sizes, ["k", "minhash"]), "size", null=None)
+
+
 def bin_sizes(bins: DataFrame) -> DataFrame:
     """(k, minhash, n) of the bins of the table of signatures."""
     return bins.groupBy("k", "minhash").agg(F.count("*").alias("n"))
@@ -193,26 +209,29 @@ def set_density(neighbours: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.groupBy("u").agg((F.sum(F.coalesce("k", F.lit(0.0))) / F.count("*")).alias("density"))
 
 
-def density_centres(neighbours: DataFrame, density: DataFrame, sample: int = 10, overlap: int = 0, top_share: float = 1.0) -> DataFrame:
+def density_centres(neighbours: DataFrame, density: DataFrame, sample: int = 10, overlap: int = 0, top_share: float = 1.0, batch: int = 1000) -> DataFrame:
     """(centre, rank): instances by falling density whose neighbourhoods share at most overlap ids with those taken before.
 
-    Sequential by nature: ids in order of density with their neighbour lists go through one task in batches, which keeps
-    the taken neighbourhoods (sample lists) and stops after sample centres.
+    Sequential by nature: the driver goes down the order in batches, twice as large each time, with the neighbour lists
+    (of bounded length) of one batch and the ids of the taken neighbourhoods, and stops after sample centres.
     """
-    lists = neighbours.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("near")).join(density, "u").where("density IS NOT NULL")
-    keep = int(density.where("density IS NOT NULL").count() * top_share)
-    ordered = lists.select("u", "near", F.round("density", DIGITS).alias("density")).orderBy(F.desc("density"), "u").limit(keep)
-
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taken, seen = [], set()
-        for pdf in batches:
-            for u, near in zip(pdf["u"], pdf["near"], strict=True):
-                if len(taken) < sample and len(seen.intersection(near)) <= overlap:
-                    taken.append(u)
-                    seen.update(near)
-        yield pd.DataFrame({"centre": taken, "rank": range(1, len(taken) + 1)})
-
-    return ordered.coalesce(1).mapInPandas(take, "centre long, rank int")
+    spark = density.sparkSession
+    known = density.where("density IS NOT NULL").select("u", F.round("density", DIGITS).alias("density"))
+    order = materialize(ranks.ranked(known.withColumns({"_all": F.lit(0), "_o": -F.col("density")}), ["_all"], ["_o", "u"], "place").select("u", "place"), "order")
+    keep = int(order.count() * top_share)
+    taken: list = []
+    seen: set = set()
+    at = 0
+    while at < keep and len(taken) < sample:
+        part = order.where(F.col("place").between(at, min(at + batch, keep) - 1))
+        lists = part.join(neighbours.select("u", "v"), "u").groupBy("place", "u").agg(F.collect_list("v").alias("near"))
+        for _, u, near in sorted(lists.collect(), key=lambda r: r[0]):
+            if len(taken) < sample and len(seen.intersection(near)) <= overlap:
+                taken.append(u)
+                seen.update(near)
+        at, batch = at + batch, 2 * batch
+    kind = density.schema["u"].dataType.simpleString()
+    return spark.createDataFrame([(u, i + 1) for i, u in enumerate(taken)], f"centre {kind}, rank int")
 
 
 def clusters(centres: DataFrame, neighbours: DataFrame) -> DataFrame:
@@ -220,17 +239,62 @@ def clusters(centres: DataFrame, neighbours: DataFrame) -> DataFrame:
     return centres.join(neighbours.select(F.col("u").alias("centre"), F.col("v").alias("member"), "k"), "centre")
 
 
-def greedy_centres(neighbours: DataFrame, density: DataFrame, sample: int = 10, restarts: int = 10, seed: int = 1) -> DataFrame:
-    """(centre, rank): of seeded random starts the densest set after swaps of its least dense member.
+def cluster_statistics(centres: DataFrame, density: DataFrame) -> DataFrame:
+    """Statistics of the densities of the centres (of = "centres") and of all instances (of = "all")."""
+    known = density.select(F.lit("all").alias("of"), "density").unionAll(centres.join(density, F.col("centre") == F.col("u")).select(F.lit("centres").alias("of"), "density"))
+    return metrics.statistics(known, "density", ["of"])
+
+
+def greedy_centres(density: DataFrame, vectors: DataFrame, sample: int = 10, restarts: int = 100, seed: int = 1, batch: int = 64, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(centre, rank): of seeded starts, each a random set improved by swaps, the one that is least alike and densest.
 
-    Each start is one small group: sample candidates drawn by a hash, and the next ones as replacements.
+    Each start goes through all instances in an order of its own (a hash of id and start). The first sample ones are its
+    set; a later one that is denser than the set's least dense takes that one's place, if the mean kernel over all
+    ordered pairs of the set (with themselves) falls, or, in early starts, by chance: 1 - (start + 1) / restarts. A later
+    start is better than the best so far if its set is both less alike and denser.
+
+    Only instances denser than the set's least dense one can be swapped in, and that bound never falls, so each round brings
+    every start its next batch of such instances: restarts * batch rows at most come to the driver, which keeps the sets.
     """
-    drawn = density.where("density IS NOT NULL").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
-    place = F.row_number().over(Window.partitionBy("start").orderBy(F.xxhash64("u", "start", F.lit(seed)), "u"))
-    drawn = drawn.withColumn("place", place).where(F.col("place") <= 4 * sample)
-    best = drawn.withColumn("by", F.row_number().over(Window.partitionBy("start").orderBy(F.desc("density"), "u"))).where(F.col("by") <= sample)
-    total = best.groupBy("start").agg(F.sum("density").alias("total")).orderBy(F.desc("total"), "start").limit(1)
-    return best.join(F.broadcast(total), "start").select(F.col("u").alias("centre"), F.col("by").alias("rank"))
+    known = density.where("density IS NOT NULL").select("u", "density").join(vectors.select(F.col(id).alias("u"), F.col(vector).cast("array<double>").alias("x")), "u")
+    known = materialize(known, "known")
+    spark = known.sparkSession
+    sets: dict[int, list[tuple[float, int, np.ndarray]]] = {k: [] for k in range(restarts)}
+    least: dict[int, float] = dict.fromkeys(sets, float("-inf"))
+    passed: dict[int, tuple[int, int] | None] = dict.fromkeys(sets)
+    chance = lambda u, k: (int.from_bytes(hashlib.blake2b(f"{seed} {u} {k}".encode(), digest_size=8).digest()) >> 11) / (1 << 53) < 1 - (k + 1) / restarts
+    alike = lambda rows: float(np.square(np.sum([x for *_, x in rows], 0)).sum() / len(rows) ** 2)
+    open_ = set(sets)
+    while open_:
+        state = spark.createDataFrame([(k, least[k], passed[k] is None, *(passed[k] or (0, 0))) for k in sorted(open_)], "start int, bound double, fresh boolean, h0 long, u0 long")
+        drawn = known.join(F.broadcast(state), F.col("density") > F.col("bound")).withColumn("h", F.xxhash64("u", "start", F.lit(seed)))  # restarts rows
+        drawn = drawn.where("fresh OR h > h0 OR h = h0 AND u > u0")
+        place = F.row_number().over(Window.partitionBy("start").orderBy("h", "u"))
+        rows = drawn.withColumn("place", place).where(F.col("place") <= max(batch, sample)).select("start", "place", "h", "u", "density", "x").collect()
+        coming: dict[int, list] = {k: [] for k in open_}
+        for r in sorted(rows, key=lambda r: (r.start, r.place)):
+            coming[r.start].append(r)
+        for k, found in coming.items():
+            for r in found:
+                one = (r.density, r.u, np.array(r.x))
+                if len(sets[k]) < sample:
+                    sets[k].append(one)
+                elif r.density > (worst := min(sets[k], key=lambda s: s[:2]))[0]:
+                    other = [s for s in sets[k] if s is not worst] + [one]
+                    if chance(r.u, k) or alike(other) < alike(sets[k]):
+                        sets[k] = other
+            if len(found) < max(batch, sample):
+                open_.discard(k)
+            else:
+                passed[k] = found[-1].h, found[-1].u
+            if len(sets[k]) == sample:
+                least[k] = min(s[0] for s in sets[k])
+    best = None
+    for k in range(restarts):
+        if sets[k] and (best is None or alike(sets[k]) < alike(best) and sum(s[0] for s in sets[k]) > sum(s[0] for s in best)):
+            best = sets[k]
+    ordered = sorted(best or [], key=lambda s: (-s[0], s[1]))
+    return spark.createDataFrame([(s[1], i + 1) for i, s in enumerate(ordered)], f"centre {known.schema['u'].dataType.simpleString()}, rank int")
 
 
 def sampled_centres(density: DataFrame, sample: int = 10, thin: int = 4, seed: int = 1) -> DataFrame:
@@ -257,9 +321,27 @@ def balanced_split(ranking: DataFrame, targets: DataFrame, imbalance: float = 1.
     return last.select(F.col("u").alias("centre"), F.col("x.rank").alias("size"), "x.positives", "x.negatives").where(F.col("size") >= least)
 
 
+def split_ids(split: DataFrame, train_ranking: DataFrame, test_ranking: DataFrame) -> DataFrame:
+    """(centre, part, id): for each centre of a balanced split the train and the test instances at least as near as its last one.
+
+    split (centre, size, ...) as of balanced_split; the rankings (u, v, k, rank) are of the centres among either set.
+    """
+    last = split.join(train_ranking, (F.col("centre") == F.col("u")) & (F.col("size") == F.col("rank"))).select("centre", F.col("k").alias("bound"))
+    within = lambda ranking, part: ranking.join(last, F.col("u") == F.col("centre")).where("k >= bound").select("centre", F.lit(part).alias("part"), F.col("v").alias("id"))
+    return within(train_ranking, "train").unionByName(within(test_ranking, "test"))
+
+
+def sparse_kernels(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """(u, v, k): the kernels of the given pairs (u, v), each pair once; pairs that share no feature have no row."""
+    a = features.select(F.col("instance_id").alias("u"), "fid", F.col("val").alias("x"))
+    b = features.select(F.col("instance_id").alias("v"), "fid", F.col("val").alias("y"))
+    met = pairs.select("u", "v").distinct().join(a, "u").join(b, ["v", "fid"])
+    return met.groupBy("u", "v").agg(F.sum(F.col("x") * F.col("y")).alias("k"))
+
+
 def filtered(features: DataFrame, hashes: int = 200, neighbours: int = 10, overlap: int = 1, sample: int = 1000) -> DataFrame:
-    """(instance_id) of low-overlap dense centres among the denser half: a smaller training set."""
+    """(instance_id) of low-overlap dense centres among the denser half: a smaller training set. Kernels are those of neighbours."""
     near = materialize(trimmed(shared_bins(signatures(features, hashes)), neighbours, 1), "near")
-    pairs = materialize(symmetric(kernel(features)), "kernel")
-    dense = materialize(set_density(near, pairs), "density")
+    met = members(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    dense = materialize(set_density(near, sparse_kernels(met, features)), "density")
     return density_centres(near, dense, sample, overlap, 0.5).select(F.col("centre").alias("instance_id"))

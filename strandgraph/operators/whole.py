@@ -95,8 +95,33 @@ def graph_codes(coder: Coder, vids: Sequence[int], labels: Sequence[str], edges:
             yield root, radius, coder.subgraph(tuple(label[x] for x in members), inside, 2 * radius, host)
 
 
-def codes(v: DataFrame, e: DataFrame, radii: Sequence[int], raw: DataFrame | None = None, approximate: bool = False) -> DataFrame:
-    """(graph_id, vid, r, code) of the alive vertices for each of the radii. raw: vertices whose labels count instead of v's."""
+def graph_paths(coder: Coder, vids: Sequence[int], labels: Sequence[str], edges: Sequence[tuple[int, int, str]], distance: int, thickness: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(d, t, src, dst, code) of the thickened shortest paths of a graph.
+
+    A vertex is on a path if it is k from src and d - k from dst, both counted outwards.
+    """
+    label = dict(zip(vids, labels, strict=True))
+    arcs: dict[int, list[tuple[int, str]]] = {x: [] for x in vids}
+    for a, b, text in edges:
+        if a in arcs and b in arcs:
+            arcs[a].append((b, text))
+    out = {a: {b for b, _ in found} for a, found in arcs.items()}
+    seen = {x: _reached(out, x, max(distance, thickness, 1)) for x in vids}
+    for src in vids:
+        for dst, d in seen[src].items():
+            if 0 < d <= distance:
+                from_dst = seen[dst]
+                on = [x for x, k in seen[src].items() if k <= d and from_dst.get(x) == d - k]
+                for t in range(thickness + 1):
+                    members = sorted({y for x in on for y, k in seen[x].items() if k <= t})
+                    if members:
+                        place = {x: i for i, x in enumerate(members)}
+                        inside = tuple((place[a], place[b], text) for a in members for b, text in arcs[a] if b in place)
+                        yield d, t, src, dst, coder.subgraph(tuple(label[x] for x in members), inside, d + 2 * t)
+
+
+def _each_graph(v: DataFrame, e: DataFrame, raw: DataFrame | None, made, names: Sequence[str]) -> DataFrame:
+    """(graph_id, names...): the rows of made(coder, vids, labels, edges) of each graph; "vid", "src" and "dst" have vid's type."""
     importable(v.sparkSession)
     nodes = G.alive(v).select("graph_id", "vid", *([] if raw is not None else ["label"]))
     if raw is not None:
@@ -105,19 +130,31 @@ def codes(v: DataFrame, e: DataFrame, radii: Sequence[int], raw: DataFrame | Non
     of_edges = e.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "label"))).alias("es"))
     whole = of_nodes.join(of_edges, "graph_id", "left").select("graph_id", "vs.vid", "vs.label", *[F.coalesce(f"es.{c}", F.array()).alias(f"e_{c}") for c in ("src", "dst", "label")])
     kind = v.schema["vid"].dataType.simpleString()
-    ids = pa.int64() if kind == "bigint" else pa.int32()
+    types = [(kind, pa.int64() if kind == "bigint" else pa.int32()) if n in ("vid", "src", "dst") else ("bigint", pa.int64()) if n == "code" else ("int", pa.int32()) for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                names, counts, rows = part.column(0), [], []
+                counts, rows = [], []
                 for vids, labels, *edges in zip(*[part.column(k).to_pylist() for k in range(1, 6)], strict=True):
                     before = len(rows)
-                    rows += graph_codes(coder, vids, labels, list(zip(*edges, strict=True)), radii, approximate)
+                    rows += made(coder, vids, labels, list(zip(*edges, strict=True)))
                     counts.append(len(rows) - before)
-                vid, r, code = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(vid, ids), pa.array(r, pa.int32()), pa.array(code, pa.int64())], ["graph_id", "vid", "r", "code"])
+                columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, (_, t) in zip(columns, types, strict=True)]], ["graph_id", *names])
+
+    schema = ", ".join([f"graph_id {v.schema['graph_id'].dataType.simpleString()}", *[f"{n} {t}" for n, (t, _) in zip(names, types, strict=True)]])
+    return whole.mapInArrow(run, schema)
+
+
+def codes(v: DataFrame, e: DataFrame, radii: Sequence[int], raw: DataFrame | None = None, approximate: bool = False) -> DataFrame:
+    """(graph_id, vid, r, code) of the alive vertices for each of the radii. raw: vertices whose labels count instead of v's."""
+    return _each_graph(v, e, raw, lambda *graph: graph_codes(*graph, radii, approximate), ["vid", "r", "code"])
+
 
-    return whole.mapInArrow(run, f"graph_id {v.schema['graph_id'].dataType.simpleString()}, vid {kind}, r int, code long")
+def path_codes(v: DataFrame, e: DataFrame, distance: int, thickness: int = 0) -> DataFrame:
+    """(graph_id, d, t, src, dst, code) of the thickened shortest paths between alive vertices."""
+    return _each_graph(v, e, None, lambda *graph: graph_paths(*graph, distance, thickness), ["d", "t", "src", "dst", "code"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from strandgraph.functions import vectors as V
-from strandgraph.functions.hashing import ap_hash_string
+from strandgraph.functions.hashing import BLOCK_M, ap_hash_string, block_hash_string
 from strandgraph.operators import encode, features, graph
 from strandgraph.plans import inputs as I
 from strandgraph.plans.inputs import table
@@ -88,6 +90,23 @@ QUERIES["q_ap_hash_labels"] = label_hashes
 SQL["q_ap_hash_labels"] = f"SELECT label, {I.ap_text('label')} AS code, {I.ap_text('label', 32767)} AS masked FROM (SELECT p_name AS label FROM part UNION SELECT p_type FROM part UNION SELECT p_brand FROM part)"
 
 
+def block_hashes(spark, d):
+    part = table(spark, d, "part")
+    names = part.select(F.col("p_name").alias("label")).union(part.select("p_type")).union(part.select("p_brand")).distinct()
+    return names.select("label", block_hash_string("label", 7).alias("code"))
+
+
+QUERIES["q_block_hash_labels"] = block_hashes
+_word = "ascii(substr(label, CAST(4 * i + 1 AS INT), 1)) + (ascii(substr(label, CAST(4 * i + 2 AS INT), 1)) << 8) + (ascii(substr(label, CAST(4 * i + 3 AS INT), 1)) << 16) + (CAST(ascii(substr(label, CAST(4 * i + 4 AS INT), 1)) AS BIGINT) << 24)"
+_m = lambda x: f"(({x} * {BLOCK_M}) & 4294967295)"
+SQL["q_block_hash_labels"] = f"""WITH l AS (SELECT p_name AS label FROM part UNION SELECT p_type FROM part UNION SELECT p_brand FROM part),
+    w AS (SELECT label, strlen(label) AS n, list_transform(range(0, strlen(label) // 4), lambda i: CAST({_word} AS BIGINT)) AS words, strlen(label) // 4 AS i FROM l),
+    h AS (SELECT label, n, list_reduce(list_transform(words, lambda k: {_m('xor(' + _m('k') + ', ' + _m('k') + ' >> 24)')}), lambda h, k: xor({_m('h')}, k), CAST(xor(7, n) AS BIGINT)) AS h,
+          CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN ascii(right(label, 1)) WHEN 2 THEN ascii(substr(label, n - 1, 1)) + (ascii(right(label, 1)) << 8) ELSE ascii(substr(label, n - 2, 1)) + (ascii(substr(label, n - 1, 1)) << 8) + (ascii(right(label, 1)) << 16) END AS rest FROM w),
+    t AS (SELECT label, CASE WHEN rest IS NULL THEN h ELSE {_m('xor(h, CAST(rest AS BIGINT))')} END AS h FROM h),
+    e AS (SELECT label, {_m('xor(h, h >> 13)')} AS h FROM t) SELECT label, xor(h, h >> 15) AS code FROM e"""
+
+
 def bounded(spark, d):
     return graph.distances(*I.graphs(spark, d), 2)
 
@@ -177,6 +196,44 @@ SQL["q_path_features"] = I.query(
 )
 
 
+def _renamed(sql: str, suffix: str, names: str) -> str:
+    """sql with the names of its tables changed."""
+    return re.sub(rf"\b({names})\b", rf"\g<1>{suffix}", sql)
+
+
+def soft_paths(spark, d):
+    found = _each(spark, d, lambda v, e: features.graph_vectors(v, e, 0, 2, kind="soft path").withColumnRenamed("instance_id", "graph_id"))
+    return found.select(F.col("graph_id").alias("instance_id"), "fid", F.round("val", 6).alias("val"))
+
+
+QUERIES["q_soft_path_features"] = soft_paths
+CONTENT = f"content AS (SELECT graph_id, vid, p AS predicate, b AS bin FROM {{0}} JOIN (SELECT label, {I.ap_text(chr(39) + 'pred:' + chr(39) + ' || label')} AS p, {I.ap_text(chr(39) + 'bin:0_v:' + chr(39) + ' || label')} AS b FROM (SELECT DISTINCT label FROM {{0}})) USING (label))"
+_soft_paths = " UNION ALL ".join(f"SELECT graph_id, src, dst, vid, {I.ap_text(f'{chr(39)}dt:{d} t:0{chr(39)}')} AS block FROM q{d}" for d in (1, 2))
+_path_ends = "q{0} AS (SELECT DISTINCT a.graph_id, a.src, a.dst, x.dst AS vid FROM dist a JOIN dist x ON x.graph_id = a.graph_id AND x.src = a.src JOIN dist y ON y.graph_id = a.graph_id AND y.src = a.dst AND y.dst = x.dst WHERE a.d = {0} AND x.d + y.d = {0})"
+SQL["q_soft_path_features"] = I.query(
+    *ONCE, *I.distances_sql(2, "v1", "u"), _path_ends.format(1), _path_ends.format(2), I.CODES0.replace(" v ", " v1 ").replace("FROM v)", "FROM v1)"), CONTENT.format("v1"),
+    f"sp AS ({_soft_paths})",
+    "hist AS (SELECT sp.graph_id, block, a.code + b.code AS selector, predicate, bin, CAST(count(*) AS DOUBLE) AS cnt FROM sp JOIN code0 a ON a.graph_id = sp.graph_id AND a.vid = sp.src JOIN code0 b ON b.graph_id = sp.graph_id AND b.vid = sp.dst JOIN content c ON c.graph_id = sp.graph_id AND c.vid = sp.vid GROUP BY ALL)",
+    I.vectors_sql(), final="SELECT peptide_id AS instance_id, fid, round(val, 6) AS val FROM vec JOIN pep ON seq = instance_id",
+)
+
+
+def approximate_soft(spark, d):
+    return _rounded(features.graph_vectors(*I.graphs(spark, d), 1, 1, kind="approximate soft"))
+
+
+QUERIES["q_approximate_soft_features"] = approximate_soft
+_soft_block = f"CASE r * 10 + d {' '.join(f'WHEN {10 * r + d} THEN {I.ap_text(chr(39) + f'd:{d} r:{r}' + chr(39))}' for r in (0, 1) for d in (0, 1))} END"
+SQL["q_approximate_soft_features"] = I.query(
+    *I.GRAPHS, *I.distances_sql(1), I.CODES0, CONTENT.format("v"),
+    "pair AS (SELECT p.*, r, a.code AS a, b.code AS b FROM dist p JOIN code0 a ON a.graph_id = p.graph_id AND a.vid = p.src JOIN code0 b ON b.graph_id = p.graph_id AND b.vid = p.dst, (SELECT unnest([0, 1]) AS r))",
+    f"sel AS (SELECT graph_id, src, dst, r, d, {_soft_block} AS block, CASE WHEN d = 0 THEN {I.ap('[a]')} ELSE {I.ap('[least(a, b), greatest(a, b)]')} END AS selector FROM pair)",
+    "ends AS (SELECT graph_id, r, block, selector, src AS vid FROM sel UNION ALL SELECT graph_id, r, block, selector, dst FROM sel WHERE d > 0)",
+    "hist AS (SELECT e.graph_id, block, selector, predicate, bin, CAST(count(*) AS DOUBLE) AS cnt FROM ends e JOIN dist n ON n.graph_id = e.graph_id AND n.src = e.vid AND n.d <= e.r JOIN content c ON c.graph_id = e.graph_id AND c.vid = n.dst GROUP BY ALL)",
+    I.vectors_sql(), final="SELECT instance_id, fid, round(val, 6) AS val FROM vec",
+)
+
+
 #: Radius and distance of the models' published runs.
 RADIUS, DISTANCE = 3, 5
 
@@ -313,12 +370,29 @@ SQL["q_edge_export"] = I.query(
     "c AS (SELECT e1.graph_id, e1.dst AS a, e1.src AS b, e1.dst || ',' || x.label || ',' || e1.src || ',' || y.label || ',' AS t FROM e1 JOIN v1 x ON x.graph_id = e1.graph_id AND x.vid = e1.dst JOIN v1 y ON y.graph_id = e1.graph_id AND y.vid = e1.src)",
     final="SELECT graph_id, 't # ' || graph_id || chr(10) || string_agg(t, chr(10) ORDER BY o, a, b) AS value, 'gspan' AS form FROM l GROUP BY 1 UNION ALL SELECT graph_id, string_agg(t, chr(10) ORDER BY a, b), 'csv' FROM c GROUP BY 1",
 )
-QUERIES["q_composite_features"] = lambda spark, d: features.composite_vectors(*I.graphs(spark, d), kinds=("hard", "gapped")).select("instance_id", "fid", F.round("val", 8).alias("val"))
-_hard, _gapped = I.histogram_sql(), I.histogram_sql(kind="gapped")
+
+
+def composite(spark, d):
+    """All six sets; the one without labels reaches further."""
+    found = features.composite_vectors(*I.graphs(spark, d), shapes={"abstract": (0, 3)})
+    return found.select("instance_id", "fid", F.round("val", 8).alias("val"))
+
+
+QUERIES["q_composite_features"] = composite
+_tables = "pair|one|hist|vec|code0|sel|ends|content|hard"
+_soft_parts = [x for x in (
+    I.histogram_sql().rsplit(", one AS (", 1)[0], CONTENT.format("v"),
+    f"sel AS (SELECT graph_id, src, dst, d, CASE d WHEN 0 THEN {I.ap_text(chr(39) + 'd:0 r:0' + chr(39))} ELSE {I.ap_text(chr(39) + 'd:1 r:0' + chr(39))} END AS block, CASE WHEN d = 0 THEN {I.ap('[a]')} ELSE {I.ap('[least(a, b), greatest(a, b)]')} END AS selector FROM pair)",
+    "ends AS (SELECT graph_id, block, selector, src AS vid FROM sel UNION ALL SELECT graph_id, block, selector, dst FROM sel WHERE d > 0)",
+    "hist AS (SELECT graph_id, block, selector, predicate, bin, CAST(count(*) AS DOUBLE) AS cnt FROM ends JOIN content USING (graph_id, vid) GROUP BY ALL)", I.vectors_sql(),
+)]
+#: No label is one of a nucleotide alone and no edge is a stem, so these two sets are the plain one again.
 SQL["q_composite_features"] = I.query(
-    *BASE, _hard.replace("hist AS", "hist_a AS"), I.vectors_sql().replace("hist", "hist_a").replace("vec AS", "vec_a AS"),
-    _gapped.split(", one AS (", 1)[1].join(["one_b AS (", ""]).replace("FROM one ", "FROM one_b ").replace("hist AS", "hist_b AS"), I.vectors_sql().replace("hist", "hist_b").replace("vec AS", "vec_b AS"),
-    "t AS (SELECT instance_id, fid, sum(val) AS val FROM (SELECT * FROM vec_a UNION ALL SELECT * FROM vec_b) GROUP BY 1, 2)",
+    *I.GRAPHS, *I.distances_sql(1), *I.distances_sql(3, name="far"), I.CODES0, *[_renamed(x, "_a", "pair|one|hist|vec") for x in (I.histogram_sql(), I.vectors_sql())],
+    *[_renamed(x, "_g", "pair|one|hist|vec") for x in (I.histogram_sql(kind="gapped"), I.vectors_sql())],
+    f"code0_x AS (SELECT graph_id, vid, {I.ap_text(chr(39) + '0' + chr(39))} AS code FROM v)", *[_renamed(x, "_x", "pair|one|hist|vec|code0").replace("FROM dist p", "FROM far p") for x in (I.histogram_sql(3), I.vectors_sql())],
+    "code0_s AS (SELECT * FROM code0)", *[_renamed(x, "_s", _tables) for x in _soft_parts],
+    "t AS (SELECT instance_id, fid, sum(val) AS val FROM (SELECT instance_id, fid, 3 * val AS val FROM vec_a UNION ALL SELECT * FROM vec_g UNION ALL SELECT * FROM vec_x UNION ALL SELECT * FROM vec_s) GROUP BY 1, 2)",
     final="SELECT instance_id, fid, round(val / sum(val * val) OVER (PARTITION BY instance_id), 8) AS val FROM t",
 )
 QUERIES["q_label_colours"] = lambda spark, d: graph.colours(I.graphs(spark, d)[0])

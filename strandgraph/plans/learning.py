@@ -145,9 +145,9 @@ SQL["q_self_training_round"] = I.query(
 )
 
 # Sequential learners have no SQL; tests hold them against a plain loop and a floor of accuracy.
-QUERIES["q_sgd_train_cv"] = lambda spark, d: train.cross_validation(I.letters(spark, d), I.targets(spark, d), train.Options(folds=5)).select("instance_id", "fold", "y", "prediction", F.round("margin", 6).alias("margin"))
-QUERIES["q_learning_curve"] = lambda spark, d: train.learning_curve(I.letters(spark, d), I.targets(spark, d), train.Options(points=5)).select("point", "instance_id", "y", F.round("margin", 6).alias("margin"))
-QUERIES["q_self_training"] = lambda spark, d: train.self_training(I.letters(spark, d), I.targets(spark, d), train.Options(rounds=2, quantile=0.3, epochs=3)).select("model", "fid", F.round("w", 6).alias("w"))
+QUERIES["q_sgd_train_cv"] = lambda spark, d: train.cross_validation(I.letters(spark, d), I.targets(spark, d), train.Options()).select("instance_id", "fold", "y", "prediction", F.round("margin", 6).alias("margin"))
+QUERIES["q_learning_curve"] = lambda spark, d: train.learning_curve(I.letters(spark, d), I.targets(spark, d), train.Options()).select("point", "instance_id", "y", F.round("margin", 6).alias("margin"))
+QUERIES["q_self_training"] = lambda spark, d: train.self_training(I.letters(spark, d), I.targets(spark, d), train.Options(quantile=0.3)).select("model", "fid", F.round("w", 6).alias("w"))
 QUERIES["q_one_class_negatives"] = lambda spark, d: train.one_class_negatives(I.letters(spark, d)).select("instance_id", "fid", F.round("val", 6).alias("val"))
 
 

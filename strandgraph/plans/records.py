@@ -24,7 +24,7 @@ def header_fields(spark, d):
     """The query strings of page addresses as key=value fields of a head."""
     pages = table(spark, d, "pages").select("page_id", F.concat_ws("\t", "url", F.regexp_replace(F.regexp_extract("url", r"\?([^#]*)", 1), "&", "\t")).alias("head"))
     fields = R.head_fields(F.col("head"))
-    pairs = F.map_entries(R.key_values(F.slice(fields, 2, 1000)))
+    pairs = F.map_entries(R.key_values(F.slice(fields, F.lit(2), F.size(fields))))
     return pages.select("page_id", R.head_id(F.col("head")).alias("id"), F.size(fields).alias("n_fields"), F.array_join(F.array_sort(F.transform(pairs, lambda p: F.concat_ws("=", p["key"], p["value"]))), ",").alias("pairs"))
 
 

@@ -88,29 +88,121 @@ SQL["q_set_density"] = I.query(
 
 
 def _centres(spark, d):
+    near = materialize(_knn(spark, d), "near")
+    density = S.neighbourhood_density(near)
+    return near, density, S.density_centres(near, density, 10, 0)
+
+
+def clusters(spark, d):
+    near, _, centres = _centres(spark, d)
+    return S.clusters(centres, near)
+
+
+def cluster_statistics(spark, d):
+    _, density, centres = _centres(spark, d)
+    found = S.cluster_statistics(centres, density)
+    return found.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+
+
+QUERIES["q_density_clusters"] = clusters
+#: Ten centres, one after another: the next in order of density whose neighbourhood meets none of those taken.
+CENTRES = (
+    "dens AS (SELECT u, list(v) AS near, round(sum(k) FILTER (u <> v) / nullif(count(*) - 1, 0), 6) AS density FROM knn GROUP BY 1)",
+    "ord AS (SELECT *, row_number() OVER (ORDER BY density DESC, u) AS place FROM dens)",
+    "pick AS (SELECT 0 AS i, CAST(0 AS BIGINT) AS u, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS seen UNION ALL SELECT i + 1, x.u, x.place, list_concat(seen, x.near) FROM pick, LATERAL (SELECT min({'place': place, 'u': o.u, 'near': near}) AS x FROM ord o WHERE o.place > pick.place AND NOT list_has_any(o.near, pick.seen)) WHERE i < 10 AND x IS NOT NULL)",
+)
+SQL["q_density_clusters"] = I.query(EMB, KNN, *CENTRES, final="SELECT pick.u AS centre, CAST(i AS INTEGER) AS rank, v AS member, k FROM pick JOIN knn ON knn.u = pick.u WHERE i > 0")
+QUERIES["q_cluster_statistics"] = cluster_statistics
+_stats = "SELECT of, density AS x FROM (SELECT 'all' AS of, sum(k) FILTER (u <> v) / (count(*) - 1) AS density FROM knn GROUP BY u UNION ALL SELECT 'centres', sum(k) FILTER (knn.u <> v) / (count(*) - 1) FROM knn JOIN pick ON pick.u = knn.u AND i > 0 GROUP BY knn.u)"
+
+
+def statistics_sql(source: str, by: str) -> tuple[str, ...]:
+    """stat: the descriptive statistics of x in source (by, x)."""
+    at = lambda q, t: f"min(x) FILTER (i = CAST(floor(n * {q}) AS BIGINT)) AS {t}"
+    return (
+        f"val AS ({source})",
+        f"place AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM val)",
+        f"base AS (SELECT {by}, count(*) AS num, sum(x) AS total, avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS least, max(x) AS most, {', '.join(at(q, f'q{round(100 * q)}') for q in (0.05, 0.25, 0.5, 0.75, 0.95))} FROM place GROUP BY 1)",
+        f"apart AS (SELECT {by}, abs(x - q50) AS x FROM val JOIN base USING ({by}))",
+        f"far AS (SELECT {by}, {at(0.5, 'mad')} FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM apart) GROUP BY 1)",
+    )
+
+
+_rounded = "num, round(total, 6) AS total, round(mean, 6) AS mean, round(sd, 6) AS sd, round(least, 6) AS least, round(most, 6) AS most, round(q5, 6) AS q5, round(q25, 6) AS q25, round(q50, 6) AS q50, round(q75, 6) AS q75, round(q95, 6) AS q95, round(mad, 6) AS mad"
+SQL["q_cluster_statistics"] = I.query(EMB, KNN, *CENTRES, *statistics_sql(_stats, "of"), final=f"SELECT of, {_rounded} FROM base JOIN far USING (of)")
+
+
+def bin_statistics(spark, d):
+    found = S.bin_statistics(S.signatures(_items(spark, d), 30))
+    return found.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+
+
+QUERIES["q_bin_statistics"] = bin_statistics
+SQL["q_bin_statistics"] = I.query(ITEMS, MIN.format("item"), *statistics_sql("SELECT 0 AS z, CAST(count(*) OVER (PARTITION BY k, minhash) AS DOUBLE) AS x FROM sig", "z"), final=f"SELECT {_rounded} FROM base JOIN far USING (z)")
+
+
+def approximate_vote(spark, d):
+    """Peptides' classes (the first residue) voted by their approximate neighbours."""
+    labels = I.peptides(spark, d).select(F.col("peptide_id").alias("instance_id"), F.substring("seq", 1, 1).alias("label"))
+    return S.vote(approximate(spark, d), labels)
+
+
+QUERIES["q_approx_knn_vote"] = approximate_vote
+SQL["q_approx_knn_vote"] = I.query(
+    *I.FEATURES, MIN.format("vec"), BINS,
+    "cand AS (SELECT u, v FROM bins QUALIFY row_number() OVER (PARTITION BY u ORDER BY shared DESC, v) <= 15)",
+    "kk AS (SELECT u, v, round(sum(a.val * b.val), 6) AS k FROM cand JOIN vec a ON a.instance_id = u JOIN vec b ON b.instance_id = v AND b.fid = a.fid GROUP BY 1, 2)",
+    "nn AS (SELECT u, v FROM kk QUALIFY row_number() OVER (PARTITION BY u ORDER BY k DESC, v) <= 5)",
+    "c AS (SELECT u, substr(seq, 1, 1) AS label, count(*) AS n FROM nn JOIN pep ON peptide_id = v GROUP BY 1, 2)",
+    final="SELECT u, label AS prediction FROM c QUALIFY row_number() OVER (PARTITION BY u ORDER BY n DESC, label) = 1",
+)
+QUERIES["q_similarity_to_set"] = lambda spark, d: S.similarity_to_set(table(spark, d, "embeddings"), table(spark, d, "embeddings").where("label = 0")).select("vec_id", F.round("similarity", 6).alias("similarity"))
+SQL["q_similarity_to_set"] = I.query(EMB.replace("round(list_dot_product(a.v, b.v), 6)", "list_dot_product(a.v, b.v)"), final="SELECT u AS vec_id, round(avg(k), 6) AS similarity FROM prod JOIN emb ON vec_id = prod.v WHERE label = 0 GROUP BY 1")
+
+
+def greedy(spark, d):
     near = _knn(spark, d)
-    return S.density_centres(near, S.neighbourhood_density(near), 10, 0)
+    return S.greedy_centres(S.neighbourhood_density(near), table(spark, d, "embeddings"))
 
 
-# Greedy and sampled choices have no SQL; tests hold the first against a plain loop.
-QUERIES["q_density_clusters"] = lambda spark, d: S.clusters(_centres(spark, d), _knn(spark, d))
-QUERIES["q_greedy_centres"] = lambda spark, d: S.greedy_centres(_knn(spark, d), S.neighbourhood_density(_knn(spark, d)))
+# Random choices have no SQL; tests hold the first against a plain loop.
+QUERIES["q_greedy_centres"] = greedy
 QUERIES["q_sampled_centres"] = lambda spark, d: S.sampled_centres(S.neighbourhood_density(_knn(spark, d)))
-QUERIES["q_data_filter"] = lambda spark, d: S.filtered(I.letters(spark, d).where("val > 0"), 20, 10, 1, 50)
+QUERIES["q_data_filter"] = lambda spark, d: S.filtered(I.letters(spark, d).where("val > 0"))
+#: Centres of the splits: the first by this key.
+DRAWN, DRAWS = "(vec_id * 7919 + 104729) % 10007, vec_id", 25
 
 
-def split(spark, d):
-    """Vectors of the first label as centres, the parity of labels as classes."""
+def _split(spark, d):
+    """Rankings of drawn vectors among all others, the parity of labels as classes; the split of each."""
     e = table(spark, d, "embeddings")
-    ranking = S.dense_neighbours(e.where("label = 0"), e, 100)
+    first, second = DRAWN.split(", ")
+    centres = e.orderBy(F.expr(first), second).limit(DRAWS)
+    ranking = materialize(S.dense_neighbours(centres, e, 200), "ranking")
     y = e.select(F.col("vec_id").alias("instance_id"), F.when(F.col("label") % 2 == 0, 1).otherwise(-1).alias("y"))
-    return S.balanced_split(ranking, y)
+    return e, centres, ranking, S.balanced_split(ranking, y)
 
 
-QUERIES["q_balanced_split"] = split
-SQL["q_balanced_split"] = I.query(
-    EMB,
-    "rk AS (SELECT p.u, p.v, CAST(row_number() OVER (PARTITION BY p.u ORDER BY p.k DESC, p.v) AS INTEGER) AS rank FROM prod p JOIN emb ON vec_id = p.u WHERE label = 0 QUALIFY rank <= 100)",
-    "cs AS (SELECT u, rank, CAST(sum(CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS positives, CAST(sum(CASE WHEN label % 2 = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS negatives FROM rk JOIN emb ON vec_id = rk.v WINDOW w AS (PARTITION BY u ORDER BY rank))",
-    final="SELECT u AS centre, rank AS size, positives, negatives FROM cs WHERE positives < 1.5 * negatives AND positives * 1.5 > negatives QUALIFY row_number() OVER (PARTITION BY u ORDER BY rank DESC) = 1 AND rank >= 30",
+QUERIES["q_balanced_split"] = lambda spark, d: _split(spark, d)[-1]
+SPLIT = (
+    f"rk AS (SELECT p.u, p.v, p.k, CAST(row_number() OVER (PARTITION BY p.u ORDER BY p.k DESC, p.v) AS INTEGER) AS rank FROM prod p JOIN (SELECT vec_id FROM emb ORDER BY {DRAWN} LIMIT {DRAWS}) c ON c.vec_id = p.u QUALIFY rank <= 200)",
+    "cs AS (SELECT u, rank, k, CAST(sum(CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS positives, CAST(sum(CASE WHEN label % 2 = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS negatives FROM rk JOIN emb ON vec_id = rk.v WINDOW w AS (PARTITION BY u ORDER BY rank))",
+    "sp AS (SELECT u AS centre, rank AS size, positives, negatives, k AS bound FROM cs WHERE positives < 1.5 * negatives AND positives * 1.5 > negatives QUALIFY row_number() OVER (PARTITION BY u ORDER BY rank DESC) = 1 AND rank >= 30)",
 )
+SQL["q_balanced_split"] = I.query(EMB, *SPLIT, final="SELECT centre, size, positives, negatives FROM sp")
+
+
+def split_ids(spark, d):
+    """All vectors are the training set, those of odd ids the test set."""
+    e, centres, ranking, found = _split(spark, d)
+    found = materialize(found, "split")
+    tests = S.dense_neighbours(centres, e.where("vec_id % 2 = 1"), 200)
+    return S.split_ids(found, ranking, tests)
+
+
+QUERIES["q_split_ids"] = split_ids
+SQL["q_split_ids"] = I.query(
+    EMB, *SPLIT,
+    "tk AS (SELECT u, v, k FROM prod WHERE v % 2 = 1 AND u IN (SELECT centre FROM sp) QUALIFY row_number() OVER (PARTITION BY u ORDER BY k DESC, v) <= 200)",
+    final="SELECT centre, 'train' AS part, v AS id FROM sp JOIN rk ON u = centre WHERE k >= bound UNION ALL SELECT centre, 'test', v FROM sp JOIN tk ON u = centre WHERE k >= bound",
+)

@@ -11,10 +11,11 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgraph.functions import residues as R
+from strandgraph.operators.ranks import ranked
 
 
 def is_fasta(spark: SparkSession, path: str) -> bool:
@@ -102,8 +103,8 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
     wide = lines.select(F.max(F.size(F.split(F.trim("value"), r"\s+"))).alias("w")).first()["w"] or 1
     if wide == 1:
         return tokens.select(F.col("line").alias("instance_id"), y.alias("y"))
-    ordered = F.row_number().over(Window.orderBy("line", "k")) - 1  # one long line is one record anyway
-    return tokens.select(ordered.cast("long").alias("instance_id"), y.alias("y"))
+    ordered = ranked(tokens.withColumn("_all", F.lit(0)), ["_all"], ["line", "k"], "instance_id")
+    return ordered.select(F.col("instance_id").cast("long").alias("instance_id"), y.alias("y"))
 
 
 def gspan(spark: SparkSession, path: str, weights: bool = False, viewpoint: bool = False, coordinates: bool = False, absolute_id: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -177,6 +178,39 @@ def sparse_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, vector long, fid long, val double")
 
 
+def sparse_text_strict(spark: SparkSession, path: str) -> DataFrame:
+    """sparse_text() that fails on any token other than "index:value"."""
+    lines = rank(spark.read.text(path), "instance_id")
+    token = lines.select("instance_id", F.explode(F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "")).alias("t"))
+    good = F.col("t").rlike(r"^[0-9]+:[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$")
+    token = token.withColumn("t", F.when(good, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("not index:value: "), "t"))))
+    return token.select("instance_id", F.split_part("t", F.lit(":"), F.lit(1)).cast("long").alias("fid"), F.split_part("t", F.lit(":"), F.lit(2)).cast("double").alias("val"))
+
+
+def dense_text(spark: SparkSession, path: str) -> DataFrame:
+    """(instance_id, vector array<double>) of lines of "index:value": as long as the largest index says, zeros where none is given."""
+    lines = rank(spark.read.text(path), "instance_id")
+    pairs = F.transform(F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t.contains(":")), lambda t: F.struct(F.split_part(t, F.lit(":"), F.lit(1)).cast("int").alias("key"), F.split_part(t, F.lit(":"), F.lit(2)).cast("double").alias("value")))
+    rows = lines.select("instance_id", pairs.alias("p")).withColumn("n", F.coalesce(F.array_max(F.transform("p", lambda x: x["key"])) + 1, F.lit(0)))
+    filled = F.expr("transform(slice(sequence(0, n), 1, n), i -> coalesce(element_at(map_from_entries(p), i), 0D))")
+    return rows.select("instance_id", filled.alias("vector"))
+
+
+def dense_binary(spark: SparkSession, path: str) -> DataFrame:
+    """(file, number, vector array<double>) of native binary vectors: a 32-bit count, then as many 32-bit values."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                at, number = 0, 0
+                while at + 4 <= len(content):
+                    (n,) = struct.unpack_from("=i", content, at)
+                    yield pd.DataFrame({"file": [name], "number": [number], "vector": [list(struct.unpack_from(f"={n}f", content, at + 4))]})
+                    at, number = at + 4 + 4 * n, number + 1
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, number long, vector array<double>")
+
+
 def listed(rows: DataFrame, white: DataFrame | None = None, black: DataFrame | None = None, id: str = "instance_id") -> DataFrame:
     """rows whose 1-based number is on the white list; if there is a black list, it decides alone over both lists' ids."""
     number = rows.withColumn("_n", F.col(id) + 1)
@@ -191,7 +225,7 @@ def model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(models, weights) of one or many model files: the file's name is the model, levels count from 0; keys come in a fixed order."""
     keys = ["bitsize", "instance_parts_threshold", "radius", "distance", "positive_threshold", "negative_threshold", "bias", "wscale"]
     text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("model"), "value")
-    level = text.select("model", F.posexplode(F.expr("slice(split(value, '(?m)^bitsize '), 2, 100000)")).alias("level", "value"))
+    level = text.select("model", F.posexplode(F.expr("slice(split(value, '(?m)^bitsize '), 2, length(value))")).alias("level", "value"))
     level = level.withColumn("value", F.concat(F.lit("bitsize "), "value"))
     wrong = F.raise_error(F.concat(F.lit("model keys out of order: "), "model"))
     pattern = "(?s)" + r"\s+".join(rf"{k}\s+\S+" for k in keys) + r"\s+w\s.*"

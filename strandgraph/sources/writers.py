@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,6 +55,33 @@ def sparse_binary(features: DataFrame) -> DataFrame:
     return rows.mapInPandas(encode, f"instance_id {features.schema['instance_id'].dataType.simpleString()}, content binary")
 
 
+def dense_text(vectors: DataFrame, id: str = "instance_id", vector: str = "vector") -> DataFrame:
+    """(id, value): "index:value" of the components that aren't 0, and of the last one."""
+    kept = F.filter(F.transform(F.col(vector), lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"))), lambda p: (p["x"] != 0) | (p["i"] == F.size(vector) - 1))
+    return vectors.select(id, F.array_join(F.transform(kept, lambda p: F.concat_ws(":", p["i"], _number(p["x"]))), " ").alias("value"))
+
+
+def dense_binary(vectors: DataFrame, id: str = "instance_id", vector: str = "vector") -> DataFrame:
+    """(id, content): native binary vectors, a 32-bit count and then 32-bit values."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({id: pdf[id], "content": [struct.pack(f"=i{len(x)}f", len(x), *x) for x in pdf[vector]]})
+
+    return vectors.select(id, vector).mapInPandas(encode, f"{id} {vectors.schema[id].dataType.simpleString()}, content binary")
+
+
+def save_parts(rows: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Tab-separated rows in a folder for each value of by: learning-curve files by fold, ids of a split by centre and part."""
+    rows.write.partitionBy(*by).csv(path, sep="\t")
+
+
+def save_feature_maps(maps: dict[str, DataFrame], path: str) -> None:
+    """One folder of tab-separated (code, text) for each generator's dictionary(), by its name."""
+    for name, table in maps.items():
+        table.write.csv(f"{path.rstrip('/')}/{name}", sep="\t")
+
+
 def model(models: DataFrame, weights: DataFrame) -> DataFrame:
     """(model, value): every level of each model as text."""
     token = weights.groupBy("model", "level").agg(F.array_sort(F.collect_list(F.struct("fid", F.concat_ws(":", "fid", F.format_string("%.7e", F.col("w"))).alias("t")))).alias("p"))

@@ -54,3 +54,14 @@ def clear(spark: SparkSession) -> int:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return gone
+
+
+#: Rows of a caller's table that are broadcast at most.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most SMALL rows; else Spark joins it as any other table."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df

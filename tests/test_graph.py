@@ -7,8 +7,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from strandgraph.functions.hashing import ap_hash, ap_hash_array, ap_hash_string, feature_mask, hash_values, rolling_hash, rolling_hash_string
-from strandgraph.operators import encode, features, graph
+from strandgraph.functions.hashing import ap_hash, ap_hash_array, ap_hash_string, block_hash, block_hash_string, feature_mask, hash_values, rolling_hash, rolling_hash_string
+from strandgraph.operators import encode, features, graph, whole
 from strandgraph.plans import graphs as plans
 
 GOLDEN = {"": 715827882, "X": 715827858, "r.X": 1444599106, "PCN": 1337354793, "PCA": 1138916586, "PHVL": 850634036, "X:X-": 467710813, "d:0 r:0": 841642360, "d:1 r:1": 657134757}
@@ -35,6 +35,13 @@ def test_hashes_have_known_values(spark):
     assert ap_hash([1, 2, 3], feature_mask(14) & 0x7FFF) == 12235
 
 
+def test_block_hash_of_strings(spark):
+    texts = ["", "a", "ab", "abc", "abcd", "abcde", "é ß", "some longer text 123"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", block_hash_string("t", 5).alias("h")).collect()
+    assert {r.t: r.h for r in rows} == {**{t: block_hash(t.encode(), 5) for t in texts}, None: None}
+    assert block_hash(b"") == 0 and block_hash(b"a", 1) != block_hash(b"a", 2)
+
+
 def test_feature_id_of_a_single_code():
     selector = ap_hash([ap_hash("X")])
     assert selector == 238609360
@@ -103,6 +110,25 @@ def test_larger_codes_against_search(spark, both_ways):
     assert close.keys() == got.keys()
 
 
+def test_whole_graphs_and_joins_agree(spark, monkeypatch):
+    p = spark.createDataFrame([("a", "EPLAK"), ("b", "KF")], "peptide_id string, seq string")
+    v, e = encode.vertices(p, ("any", "charge")), encode.undirected(encode.edges(p, ("any", "charge")))
+    marked = v.withColumn("viewpoint", F.col("vid") % 2 == 0)
+    made = lambda: {
+        "codes": sorted(features.all_codes(v, e, 3).collect()),
+        "approximate": sorted(features.codes(v, e, 2, approximate=True).collect()),
+        "raw": sorted(features.codes(graph.mark_viewpoints(marked), e, 2, raw=marked).collect()),
+        "paths": sorted(features.path_codes(v, e, 2, 1).collect()),
+    }
+    together = made()
+    assert together["raw"] == sorted((r.graph_id, r.vid, r.code) for r in together["codes"] if r.r == 2)  # marks stop at radius 1
+    monkeypatch.setattr(whole, "LARGEST", 10)  # the longer peptide's graph goes by joins
+    assert whole.large(v, e).count() == 1 and made() == together
+    monkeypatch.setattr(whole, "KEPT", 3)
+    monkeypatch.setattr(whole, "LARGEST", 10**6)
+    assert made() == together
+
+
 def test_kinds_of_features_run(spark):
     p = spark.createDataFrame([("a", "EPLA")], "peptide_id string, seq string")
     v, e = encode.vertices(p, ("any", "charge")).cache(), encode.edges(p, ("any", "charge")).cache()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import math
 
 import numpy as np
@@ -217,7 +219,49 @@ def test_neighbours_and_density(spark, points):
             seen |= set(want[r.u])
     assert [r.centre for r in similarity.density_centres(near, local, 5, 0).orderBy("rank").collect()] == taken
     assert similarity.clusters(similarity.density_centres(near, local, 5, 0), near).count() == 4 * len(taken)
-    assert similarity.greedy_centres(near, local, 5, 3).count() == 5 and similarity.sampled_centres(local.withColumn("density", F.abs("density")), 5).count() == 5
+    assert similarity.sampled_centres(local.withColumn("density", F.abs("density")), 5).count() == 5
+
+
+@pytest.mark.parametrize("sample,batch", [(4, 3), (4, 500), (7, 20)])
+def test_greedy_centres_against_a_plain_loop(spark, sample, batch):
+    r = np.random.default_rng(3)
+    x, density = r.normal(size=(90, 5)), r.random(90).round(2)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    known = spark.createDataFrame([(i, float(d)) for i, d in enumerate(density)] + [(90, None)], "u long, density double")
+    restarts, seed = 6, 9
+    orders = spark.range(90).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))).select("id", "start", F.xxhash64("id", "start", F.lit(seed)).alias("h")).collect()
+    alike = lambda ids: np.mean([x[a] @ x[b] for a in ids for b in ids])
+    best = None
+    for k in range(restarts):
+        order = [o.id for o in sorted((o for o in orders if o.start == k), key=lambda o: (o.h, o.id))]
+        ids = order[:sample]
+        for i in order[sample:]:
+            worst = min(ids, key=lambda j: (density[j], j))
+            if density[i] > density[worst]:
+                other = [j for j in ids if j != worst] + [i]
+                draw = (int.from_bytes(hashlib.blake2b(f"{seed} {i} {k}".encode(), digest_size=8).digest()) >> 11) / (1 << 53)
+                if draw < 1 - (k + 1) / restarts or alike(other) < alike(ids):
+                    ids = other
+        if best is None or alike(ids) < alike(best) and density[ids].sum() > density[best].sum():
+            best = ids
+    got = similarity.greedy_centres(known, vectors, sample, restarts, seed, batch).orderBy("rank").collect()
+    assert [g.centre for g in got] == sorted(best, key=lambda j: (-density[j], j))
+
+
+def test_density_centres_in_small_batches(spark):
+    near = spark.createDataFrame([(u, v) for u in range(40) for v in (u, (u + 1) % 40)], "u long, v long")
+    density = spark.createDataFrame([(u, 1.0 - u / 100) for u in range(40)], "u long, density double")
+    for batch in (1, 3, 1000):
+        got = similarity.density_centres(near, density, 6, 0, batch=batch).orderBy("rank").collect()
+        assert [g.centre for g in got] == [0, 2, 4, 6, 8, 10]
+    assert similarity.density_centres(near, density, 100, 0, 0.5).count() == 10
+
+
+def test_one_class_negatives_in_any_ratio(spark):
+    feats = spark.createDataFrame([(i, f, float(f)) for i in range(200) for f in range(3 + i % 2)], "instance_id long, fid long, val double")
+    for ratio, least, most in ((0.25, 30, 70), (1.0, 200, 200), (2.5, 480, 520), (3.0, 600, 600)):
+        made = train.one_class_negatives(feats, ratio)
+        assert least <= made.select("instance_id").distinct().count() <= most and made.where("instance_id >= 0").count() == 0
 
 
 def test_bins_and_candidates(spark):

@@ -189,3 +189,28 @@ def test_annotation_and_colours(spark):
     got = writers.annotated(v, vec, weights)
     assert got.count() == 8 and got.where("score > 0").count() == 8
     assert graph.colours(v).agg(F.max("colour")).first()[0] == v.select("label").distinct().count() - 1
+
+
+def test_dense_vectors_in_both_formats(spark, tmp_path):
+    rows = [(0, [0.0, 1.5, 0.0]), (1, [2.0]), (2, []), (3, [0.0, 0.0, 0.25, 4.0])]
+    vectors = spark.createDataFrame(rows, "instance_id long, vector array<double>")
+    text = writers.dense_text(vectors).orderBy("instance_id").collect()
+    assert [r.value for r in text] == ["1:1.5000000e+00 2:0", "0:2", "", "2:2.5000000e-01 3:4"]
+    (tmp_path / "dense.txt").write_text("".join(r.value + "\n" for r in text))
+    assert [(r.instance_id, r.vector) for r in readers.dense_text(spark, str(tmp_path / "dense.txt")).orderBy("instance_id").collect()] == rows
+    content = [bytes(r.content) for r in writers.dense_binary(vectors).orderBy("instance_id").collect()]
+    (tmp_path / "dense.bin").write_bytes(b"".join(content))
+    assert [(r.number, r.vector) for r in readers.dense_binary(spark, str(tmp_path / "dense.bin")).orderBy("number").collect()] == rows
+
+
+def test_strict_sparse_text_and_files_by_part(spark, tmp_path):
+    (tmp_path / "good.txt").write_text("1:2 3:-4.5e1\n\n7:.5\n")
+    assert [tuple(r) for r in readers.sparse_text_strict(spark, str(tmp_path / "good.txt")).orderBy("instance_id", "fid").collect()] == [(0, 1, 2.0), (0, 3, -45.0), (2, 7, 0.5)]
+    (tmp_path / "bad.txt").write_text("1:2 x\n")
+    with pytest.raises(Exception, match="not index:value"):
+        readers.sparse_text_strict(spark, str(tmp_path / "bad.txt")).collect()
+    ids = spark.createDataFrame([(4, "train", 1), (4, "test", 2), (9, "train", 3)], "centre long, part string, id long")
+    writers.save_parts(ids, str(tmp_path / "split"), ["centre", "part"])
+    assert {p.parent.relative_to(tmp_path / "split").as_posix() for p in (tmp_path / "split").rglob("*.csv")} == {"centre=4/part=train", "centre=4/part=test", "centre=9/part=train"}
+    writers.save_feature_maps({"hard": spark.createDataFrame([(1, "a")], "code long, text string")}, str(tmp_path / "maps"))
+    assert spark.read.csv(str(tmp_path / "maps" / "hard"), sep="\t").first()[:] == ("1", "a")
