@@ -287,6 +287,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dropped = groups.select("_key").join(first.select(F.col("first._key").alias("_key")), "_key", "left_anti").distinct()
     kept = common.matching(keyed, common.materialize(dropped, "dropped"), "_key", anti=True)
     again = common.materialize(groups.groupBy("_key").count().where("count > 1").select("_key"), "again")
-    if not again.isEmpty():  # equal rows
-        kept = common.matching(kept, again, "_key", anti=True).unionByName(common.matching(kept, again, "_key").dropDuplicates(["_key"]))
+    if not again.isEmpty():  # equal rows, or by a rare chance different ones of one key, which stay both
+        kept = common.matching(kept, again, "_key", anti=True).unionByName(common.matching(kept, again, "_key").dropDuplicates(["_key", "doc_id", "text"]))
     return kept.select(*docs.columns)
