@@ -35,13 +35,19 @@ def importable(spark: SparkSession) -> None:
 _written: list[str] = []
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder's path within the shared folder; what is written there stays until clear()."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written and read again: cuts the plan, computes shared parts once, and survives the loss of executors.
 
     What is written stays until clear(): the DataFrames that are returned read it.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
