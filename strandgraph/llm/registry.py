@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandgraph.llm import ann, chat, jaccard, langid, licences, packing, quality, secrets_crf, wordbpe, wrapper
+from strandgraph.llm import ann, audit, chat, jaccard, langid, licences, packing, quality, secrets_crf, tokenfile, wordbpe, wrapper
 
 
 def queries() -> dict:
@@ -19,6 +19,8 @@ def queries() -> dict:
         "op8_secrets": secrets_crf.query,
         "op9_packing": packing.query,
         "op10_chat": chat.query,
+        "op11_filter_audit": audit.query,
+        "op12_token_file": tokenfile.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -27,4 +29,4 @@ def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return pipeline | {"op6_licences": licences.SQL, "op10_chat": chat.SQL}
+    return pipeline | {"op6_licences": licences.SQL, "op10_chat": chat.SQL, "op11_filter_audit": audit.SQL}
