@@ -20,18 +20,18 @@ def cleaned(df: DataFrame, text: str = "text", valid: str = "a-zA-Z") -> DataFra
     return df.withColumn("seq", F.upper(R.clean(F.col(text), valid)))
 
 
-def windows(df: DataFrame, length: int = 15, step: int = 5, by: str = "id") -> DataFrame:
-    """(by, start, end, peptide_id, seq): windows of length residues every step residues; 1-based, end included.
+def windows(df: DataFrame, length: int = 15, step: int = 5, by: str = "id", keep: Sequence[str] = ()) -> DataFrame:
+    """(by, keep..., start, end, peptide_id, seq): windows of length residues every step residues; 1-based, end included.
 
-    Sequences shorter than a window have none.
+    Sequences shorter than a window have none. keep: columns that every window of a sequence carries along.
     """
     # Taking a substring counts characters from the start of a text, so a long text is cut into blocks once, in linear
     # time, and windows are put together from these.
     block = math.gcd(length, step)
-    blocks = df.where(F.length("seq") >= length).select(by, F.length("seq").alias("n"), F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("blocks"))
+    blocks = df.where(F.length("seq") >= length).select(by, *keep, F.length("seq").alias("n"), F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("blocks"))
     window = f"i -> struct(i AS i, array_join(slice(blocks, i DIV {block} + 1, {length // block}), '') AS seq)"
-    cut = blocks.select(by, F.explode(F.expr(f"transform(sequence(0, n - {length}, {step}), {window})")).alias("w")).select(by, "w.i", "w.seq")
-    return cut.select(by, (F.col("i") + 1).alias("start"), (F.col("i") + length).alias("end"), F.concat_ws("-", by, F.col("i") + 1, F.col("i") + length).alias("peptide_id"), "seq")
+    cut = blocks.select(by, *keep, F.explode(F.expr(f"transform(sequence(0, n - {length}, {step}), {window})")).alias("w")).select(by, *keep, "w.i", "w.seq")
+    return cut.select(by, *keep, (F.col("i") + 1).alias("start"), (F.col("i") + length).alias("end"), F.concat_ws("-", by, F.col("i") + 1, F.col("i") + length).alias("peptide_id"), "seq")
 
 
 def grep(df: DataFrame, predicate: str | Column) -> DataFrame:

@@ -7,8 +7,10 @@ compared, so that ties don't hang on the order of a sum.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,26 +101,60 @@ def members(neighbours: DataFrame) -> DataFrame:
     return neighbours.select("u", F.col("v").alias("a")).join(neighbours.select("u", F.col("v").alias("b")), "u").where("a <> b")
 
 
-def dense_density(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(id, density): mean inner product of each vector with all others; null for a single one."""
+def vector_sum(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """One row (n, total): the number of vectors and their sum, added up within tasks first; no row for no vectors."""
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
 
-    def sums(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.Table:
-        itself = np.isin(qids, ids)
-        total = q @ x.sum(0) - np.where(itself, (q * q).sum(1), 0)
-        return pa.table({"u": pa.array(qids, pa.int64()), "s": pa.array(total), "n": pa.array(np.full(len(qids), len(ids)) - itself, pa.int64())})
+    def add(batches):
+        n, total = 0, None
+        for batch in batches:
+            x = _matrix(pa.table({"v": batch.column(0)}), "v") if batch.num_rows else np.empty((0, 0))
+            if len(x):
+                n, total = n + len(x), x.sum(0) if total is None else total + x.sum(0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()])], ["n", "v"])
 
-    parts = _over_blocks(vectors, vectors, id, vector, block, sums, "u long, s double, n long")
-    return parts.groupBy(F.col("u").alias(id)).agg(F.expr("sum(s) / nullif(sum(n), 0)").alias("density"))
+    parts = rows.mapInArrow(add, "n long, v array<double>").select("n", F.posexplode("v").alias("i", "x"))
+    return parts.groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).where("n IS NOT NULL").select("n", F.col("p.x").alias("total"))
 
 
-def similarity_to_set(queries: DataFrame, members: DataFrame, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(id, similarity): the mean inner product of each query with all members, itself included if it is one of them."""
+def dense_density(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, density): mean inner product of each vector with all others; null for a single one.
 
-    def sums(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.Table:
-        return pa.table({"u": pa.array(qids, pa.int64()), "s": pa.array(q @ x.sum(0)), "n": pa.array(np.full(len(qids), len(ids)), pa.int64())})
+    The products of one vector with all are its product with their sum, so no two vectors meet.
+    """
+    x = vectors.where(F.col(vector).isNotNull()).select(id, F.col(vector).cast("array<double>").alias("x"))
+    met = x.crossJoin(F.broadcast(vector_sum(vectors, vector)))  # one row
+    return met.select(id, ((dot(F.col("x"), F.col("total")) - dot(F.col("x"), F.col("x"))) / F.expr("nullif(n - 1, 0)")).alias("density"))
+
+
+def similarity_to_set(queries: DataFrame, members: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, similarity): the mean inner product of each query with all members, itself included if it is one of them; no rows without members."""
+    x = queries.where(F.col(vector).isNotNull()).select(id, F.col(vector).cast("array<double>").alias("x"))
+    met = x.crossJoin(F.broadcast(vector_sum(members, vector)))  # one row
+    return met.select(id, (dot(F.col("x"), F.col("total")) / F.col("n")).alias("similarity"))
+
+
+def kernels_to(centres: DataFrame, vectors: DataFrame, keep: Sequence[str] = (), id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(u, v, k, keep...): the inner product of each of a few centres with every vector, in one pass; nothing is shuffled.
+
+    centres: as many as the caller has drawn; their vectors are sent to the tasks.
+    """
+    few = centres.where(F.col(vector).isNotNull()).select(F.col(id).alias("u"), F.col(vector).cast("array<double>").alias("x")).collect()
+    ids, matrix = np.array([r.u for r in few], np.int64), np.array([r.x for r in few], float)
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("v"), F.col(vector).cast("array<double>").alias("x"), *keep)
 
-    parts = _over_blocks(queries, members, id, vector, block, sums, "u long, s double, n long")
-    return parts.groupBy(F.col("u").alias(id)).agg((F.sum("s") / F.sum("n")).alias("similarity"))
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            products = np.round(_matrix(pa.table({"x": batch.column(1)}), "x") @ matrix.T, DIGITS)
+            at = np.repeat(np.arange(batch.num_rows), len(ids))
+            columns = [pa.array(np.tile(ids, batch.num_rows)), batch.column(0).take(pa.array(at)), pa.array(products.ravel())]
+            yield pa.RecordBatch.from_arrays([*columns, *[batch.column(i + 2).take(pa.array(at)) for i in range(len(keep))]], ["u", "v", "k", *keep])
+
+    kinds = ", ".join(["u long", "v long", "k double", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]])
+    return rows.mapInArrow(run, kinds)
 
 
 # ---- neighbours --------------------------------------------------------------------------------------------------
@@ -209,29 +245,60 @@ def set_density(neighbours: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.groupBy("u").agg((F.sum(F.coalesce("k", F.lit(0.0))) / F.count("*")).alias("density"))
 
 
-def density_centres(neighbours: DataFrame, density: DataFrame, sample: int = 10, overlap: int = 0, top_share: float = 1.0, batch: int = 1000) -> DataFrame:
+#: Rows of neighbour lists that one task walks through at most.
+WALK = 100_000
+
+
+def _walk(marked: DataFrame, overlap: int) -> DataFrame:
+    """(u, place) taken of at most WALK rows (u, place, v, held), in order of place, in one task."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen, out = set(pdf["v"][pdf["held"]]), []
+        for place, near in pdf.sort_values("place").groupby("place", sort=True):
+            if sum(v in seen for v in near["v"]) <= overlap:
+                out.append((near["u"].iloc[0], place))
+                seen.update(near["v"])
+        return pd.DataFrame(out, columns=["u", "place"])
+
+    return marked.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(walk, marked.select("u", "place").schema)
+
+
+def density_centres(neighbours: DataFrame, density: DataFrame, sample: int = 10, overlap: int = 0, top_share: float = 1.0, batch: int = 1000, few: int = WALK) -> DataFrame:
     """(centre, rank): instances by falling density whose neighbourhoods share at most overlap ids with those taken before.
 
-    Sequential by nature: the driver goes down the order in batches, twice as large each time, with the neighbour lists
-    (of bounded length) of one batch and the ids of the taken neighbourhoods, and stops after sample centres.
+    Rounds of parallel choices give what a walk down the order would. The ids of a neighbourhood that taken ones hold can
+    only grow, and with those that denser undecided ones hold they are all it can ever share. So in each round an instance
+    is left out once the former are more than overlap, and taken once both together aren't; the densest undecided one is
+    always decided. Rounds go over the first batch instances, and over twice as many until sample are taken; the last few
+    rows that are open then go to one task, which walks. Lists stay in Spark; the driver sees numbers of rows.
     """
-    spark = density.sparkSession
     known = density.where("density IS NOT NULL").select("u", F.round("density", DIGITS).alias("density"))
     order = materialize(ranks.ranked(known.withColumns({"_all": F.lit(0), "_o": -F.col("density")}), ["_all"], ["_o", "u"], "place").select("u", "place"), "order")
-    keep = int(order.count() * top_share)
-    taken: list = []
-    seen: set = set()
-    at = 0
-    while at < keep and len(taken) < sample:
-        part = order.where(F.col("place").between(at, min(at + batch, keep) - 1))
-        lists = part.join(neighbours.select("u", "v"), "u").groupBy("place", "u").agg(F.collect_list("v").alias("near"))
-        for _, u, near in sorted(lists.collect(), key=lambda r: r[0]):
-            if len(taken) < sample and len(seen.intersection(near)) <= overlap:
-                taken.append(u)
-                seen.update(near)
-        at, batch = at + batch, 2 * batch
-    kind = density.schema["u"].dataType.simpleString()
-    return spark.createDataFrame([(u, i + 1) for i, u in enumerate(taken)], f"centre {kind}, rank int")
+    keep, end = int(order.count() * top_share), 0
+    taken = order.where("false")
+    seen = neighbours.select("v").where("false")
+    while end < keep:
+        start, end = end, min(keep, max(batch, 2 * end))
+        part = order.where(F.col("place").between(start, end - 1))
+        open_ = materialize(part.join(neighbours.select("u", "v").distinct(), "u").select("u", "place", "v"), "open")
+        while n := open_.count():
+            marked = open_.join(seen.withColumn("held", F.lit(True)), "v", "left").select("u", "place", "v", F.coalesce("held", F.lit(False)).alias("held"))
+            if n <= few:
+                won = state = materialize(_walk(marked, overlap), "decided")
+            else:
+                marked = marked.join(open_.groupBy("v").agg(F.min("place").alias("first")), "v")
+                state = marked.groupBy("u", "place").agg(F.count_if("held").alias("least"), F.count_if(F.col("held") | (F.col("first") < F.col("place"))).alias("most"))
+                state = materialize(state.where((F.col("least") > overlap) | (F.col("most") <= overlap)), "decided")
+                won = state.where(F.col("most") <= overlap).select("u", "place")
+            taken = materialize(taken.unionByName(won), "taken")
+            seen = materialize(seen.unionByName(open_.join(won, ["u", "place"], "left_semi").select("v")).distinct(), "seen")
+            if n <= few:
+                break
+            open_ = materialize(open_.join(state, ["u", "place"], "left_anti"), "open")
+        if taken.count() >= sample:
+            break
+    best = taken.orderBy("place").limit(sample)
+    return best.select(F.col("u").alias("centre"), F.row_number().over(Window.orderBy("place")).alias("rank"))  # sample rows
 
 
 def clusters(centres: DataFrame, neighbours: DataFrame) -> DataFrame:
@@ -245,7 +312,32 @@ def cluster_statistics(centres: DataFrame, density: DataFrame) -> DataFrame:
     return metrics.statistics(known, "density", ["of"])
 
 
-def greedy_centres(density: DataFrame, vectors: DataFrame, sample: int = 10, restarts: int = 100, seed: int = 1, batch: int = 64, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+class Swaps:
+    """One start's set on its way through the instances; density falls never below that of its least dense member."""
+
+    def __init__(self, start: int, sample: int, chance: float, seed: int):
+        self.start, self.sample, self.seed, self.limit = start, sample, seed, chance
+        self.rows: list[tuple[float, int, np.ndarray]] = []
+
+    def _lucky(self, u: int) -> bool:
+        draw = int.from_bytes(hashlib.blake2b(f"{self.seed} {u} {self.start}".encode(), digest_size=8).digest())
+        return (draw >> 11) / (1 << 53) < self.limit
+
+    @staticmethod
+    def alike(rows: list) -> float:
+        return float(np.square(np.sum([x for *_, x in rows], 0)).sum() / len(rows) ** 2)
+
+    def meet(self, density: float, u: int, x: np.ndarray) -> None:
+        one = (density, u, x)
+        if len(self.rows) < self.sample:
+            self.rows.append(one)
+        elif density > (worst := min(self.rows, key=lambda s: s[:2]))[0]:
+            other = [s for s in self.rows if s is not worst] + [one]
+            if self._lucky(u) or self.alike(other) < self.alike(self.rows):
+                self.rows = other
+
+
+def greedy_centres(density: DataFrame, vectors: DataFrame, sample: int = 10, restarts: int = 100, seed: int = 1, growth: int = 4, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(centre, rank): of seeded starts, each a random set improved by swaps, the one that is least alike and densest.
 
     Each start goes through all instances in an order of its own (a hash of id and start). The first sample ones are its
@@ -253,48 +345,55 @@ def greedy_centres(density: DataFrame, vectors: DataFrame, sample: int = 10, res
     ordered pairs of the set (with themselves) falls, or, in early starts, by chance: 1 - (start + 1) / restarts. A later
     start is better than the best so far if its set is both less alike and denser.
 
-    Only instances denser than the set's least dense one can be swapped in, and that bound never falls, so each round brings
-    every start its next batch of such instances: restarts * batch rows at most come to the driver, which keeps the sets.
+    The orders are cut at shares of the hashes' range, each growth times the one before. Only instances denser than a
+    start's least dense member can be swapped in, and that bound never falls, so a round shuffles those of the next part of
+    each order that are denser than its bound; they meet the start's set, sorted, in one task that holds the set and a
+    batch of rows. The driver gets each start's bound, and its two measures at the end.
     """
-    known = density.where("density IS NOT NULL").select("u", "density").join(vectors.select(F.col(id).alias("u"), F.col(vector).cast("array<double>").alias("x")), "u")
-    known = materialize(known, "known")
-    spark = known.sparkSession
-    sets: dict[int, list[tuple[float, int, np.ndarray]]] = {k: [] for k in range(restarts)}
-    least: dict[int, float] = dict.fromkeys(sets, float("-inf"))
-    passed: dict[int, tuple[int, int] | None] = dict.fromkeys(sets)
-    chance = lambda u, k: (int.from_bytes(hashlib.blake2b(f"{seed} {u} {k}".encode(), digest_size=8).digest()) >> 11) / (1 << 53) < 1 - (k + 1) / restarts
-    alike = lambda rows: float(np.square(np.sum([x for *_, x in rows], 0)).sum() / len(rows) ** 2)
-    open_ = set(sets)
-    while open_:
-        state = spark.createDataFrame([(k, least[k], passed[k] is None, *(passed[k] or (0, 0))) for k in sorted(open_)], "start int, bound double, fresh boolean, h0 long, u0 long")
-        drawn = known.join(F.broadcast(state), F.col("density") > F.col("bound")).withColumn("h", F.xxhash64("u", "start", F.lit(seed)))  # restarts rows
-        drawn = drawn.where("fresh OR h > h0 OR h = h0 AND u > u0")
-        place = F.row_number().over(Window.partitionBy("start").orderBy("h", "u"))
-        rows = drawn.withColumn("place", place).where(F.col("place") <= max(batch, sample)).select("start", "place", "h", "u", "density", "x").collect()
-        coming: dict[int, list] = {k: [] for k in open_}
-        for r in sorted(rows, key=lambda r: (r.start, r.place)):
-            coming[r.start].append(r)
-        for k, found in coming.items():
-            for r in found:
-                one = (r.density, r.u, np.array(r.x))
-                if len(sets[k]) < sample:
-                    sets[k].append(one)
-                elif r.density > (worst := min(sets[k], key=lambda s: s[:2]))[0]:
-                    other = [s for s in sets[k] if s is not worst] + [one]
-                    if chance(r.u, k) or alike(other) < alike(sets[k]):
-                        sets[k] = other
-            if len(found) < max(batch, sample):
-                open_.discard(k)
-            else:
-                passed[k] = found[-1].h, found[-1].u
-            if len(sets[k]) == sample:
-                least[k] = min(s[0] for s in sets[k])
+    known = density.where("density IS NOT NULL").select("u", F.col("density").cast("double").alias("density"))
+    known = materialize(known.join(vectors.select(F.col(id).alias("u"), F.col(vector).cast("array<double>").alias("x")), "u").where("x IS NOT NULL"), "known")
+    spark, n = known.sparkSession, known.count()
+    kind = known.schema["u"].dataType.simpleString()
+    spread = known.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))).withColumn("h", F.xxhash64("u", "start", F.lit(seed)))
+    sets = known.select(F.lit(0).alias("start"), F.lit(True).alias("own"), F.lit(0).cast("long").alias("h"), "u", "density", "x").where("false")
+    bounds: list[tuple[int, float]] = [(k, float("-inf")) for k in range(restarts)]
+    share, low = min(1.0, 8 * sample / max(n, 1)), -(1 << 63)
+
+    def swap(batches):
+        now = None
+        done = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if now is None or r["start"] != now.start:
+                    if now:
+                        done.append(now)
+                    now = Swaps(r["start"], sample, 1 - (r["start"] + 1) / restarts, seed)
+                one = (r["density"], r["u"], np.array(r["x"]))
+                now.rows.append(one) if r["own"] else now.meet(*one)
+        for s in [*done, *([now] if now else [])]:
+            out = [{"start": s.start, "own": True, "h": i, "u": u, "density": d, "x": x.tolist(), "alike": s.alike(s.rows)} for i, (d, u, x) in enumerate(s.rows)]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("start", pa.int32()), ("own", pa.bool_()), ("h", pa.int64()), ("u", pa.int64()), ("density", pa.float64()), ("x", pa.list_(pa.float64())), ("alike", pa.float64())]))
+
+    while n:
+        high = (1 << 63) - 1 if share >= 1 else -(1 << 63) + int(share * (1 << 64))
+        limit = spark.createDataFrame(bounds, "start int, bound double")
+        part = spread.where(F.col("h").between(low, high)).join(F.broadcast(limit), "start").where("density > bound")  # restarts rows
+        rows = sets.select("start", "own", "h", "u", "density", "x").unionByName(part.select("start", F.lit(False).alias("own"), "h", "u", "density", "x"))
+        rows = rows.repartition("start").sortWithinPartitions("start", F.desc("own"), "h", "u")
+        sets = materialize(rows.mapInArrow(swap, "start int, own boolean, h long, u long, density double, x array<double>, alike double"), "sets")
+        least = {r.start: (r.least, r.size) for r in sets.groupBy("start").agg(F.min("density").alias("least"), F.count("*").alias("size")).collect()}
+        bounds = [(k, least[k][0] if k in least and least[k][1] == sample else float("-inf")) for k in range(restarts)]
+        if share >= 1:
+            break
+        low, share = high + 1, min(1.0, share * growth)
+    if not n:
+        return spark.createDataFrame([], f"centre {kind}, rank int")
     best = None
-    for k in range(restarts):
-        if sets[k] and (best is None or alike(sets[k]) < alike(best) and sum(s[0] for s in sets[k]) > sum(s[0] for s in best)):
-            best = sets[k]
-    ordered = sorted(best or [], key=lambda s: (-s[0], s[1]))
-    return spark.createDataFrame([(s[1], i + 1) for i, s in enumerate(ordered)], f"centre {known.schema['u'].dataType.simpleString()}, rank int")
+    for r in sets.groupBy("start").agg(F.max("alike").alias("alike"), F.sum("density").alias("dense")).orderBy("start").collect():
+        if best is None or r.alike < best.alike and r.dense > best.dense:
+            best = r
+    won = sets.where(F.col("start") == best.start).select(F.col("u").cast(kind).alias("centre"), F.row_number().over(Window.orderBy(F.desc("density"), "u")).alias("rank"))  # sample rows
+    return won
 
 
 def sampled_centres(density: DataFrame, sample: int = 10, thin: int = 4, seed: int = 1) -> DataFrame:
@@ -308,27 +407,52 @@ def sampled_centres(density: DataFrame, sample: int = 10, thin: int = 4, seed: i
     return ranked_.where((F.col("place") - 1) % thin == 0).select(F.col("u").alias("centre"), (F.floor((F.col("place") - 1) / thin) + 1).cast("int").alias("rank"))
 
 
-def balanced_split(ranking: DataFrame, targets: DataFrame, imbalance: float = 1.5, least: int = 30) -> DataFrame:
-    """(centre, size, positives, negatives): for each centre the longest run of its ranking whose classes stay in balance.
+def balanced_runs(kernels: DataFrame, imbalance: float = 1.5) -> DataFrame:
+    """(u, size, k, positives, negatives): for each centre the longest run of its ranking whose classes stay in balance.
 
-    ranking: (u, v, rank) of the centres; the ratio of positives to negatives lies in (1 / imbalance, imbalance).
+    kernels: rows (u, v, k, y) of every centre with all instances, ranked by falling k, then v. In balance: the ratio of
+    positives to negatives lies in (1 / imbalance, imbalance); others count in neither class but take a place. k is that of the run's last
+    instance. Rankings are dealt by ranges, so a centre's may be of any length; only its last place in balance goes on.
     """
-    w = Window.partitionBy("u").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranking.join(targets.select(F.col("instance_id").alias("v"), "y"), "v")
-    rows = rows.select("u", "rank", F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).over(w).alias("positives"), F.sum(F.when(F.col("y") < 0, 1).otherwise(0)).over(w).alias("negatives"))
-    even = rows.where((F.col("positives") < F.lit(imbalance) * F.col("negatives")) & (F.col("positives") * F.lit(imbalance) > F.col("negatives")))
-    last = even.groupBy("u").agg(F.max(F.struct("rank", "positives", "negatives")).alias("x"))
-    return last.select(F.col("u").alias("centre"), F.col("x.rank").alias("size"), "x.positives", "x.negatives").where(F.col("size") >= least)
-
-
-def split_ids(split: DataFrame, train_ranking: DataFrame, test_ranking: DataFrame) -> DataFrame:
-    """(centre, part, id): for each centre of a balanced split the train and the test instances at least as near as its last one.
-
-    split (centre, size, ...) as of balanced_split; the rankings (u, v, k, rank) are of the centres among either set.
+    running = {"p": (F.col("y") > 0).cast("long"), "m": (F.col("y") < 0).cast("long")}
+    rows = kernels.select("u", "v", "k", F.coalesce("y", F.lit(0)).alias("y"), (-F.col("k")).alias("_o"))
+    placed = ranks.ranked(rows, ["u"], ["_o", "v"], "place", running)
+    placed = placed.withColumns({"p": F.col("p") + (F.col("y") > 0).cast("long"), "m": F.col("m") + (F.col("y") < 0).cast("long")})
+    even = placed.where((F.col("p") < F.lit(imbalance) * F.col("m")) & (F.col("p") * F.lit(imbalance) > F.col("m")))
+    last = even.groupBy("u").agg(F.max(F.struct("place", "k", "p", "m")).alias("x"))
+    return last.select("u", (F.col("x.place") + 1).alias("size"), "x.k", F.col("x.p").alias("positives"), F.col("x.m").alias("negatives"))
+
+
+def dataset_splits(train: DataFrame, tests: DataFrame, drawn: Sequence[str], centres: int = 10, threshold: int = 30, imbalance: float = 1.5, batch: int = 32, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(centre, rank, size, bound, positives, negatives, tests): splits around centres that are drawn from the test set.
+
+    train (id, vector, y), tests (id, vector); drawn: SQL expressions over tests that order the draw, ties by id. A centre is
+    valid if the longest run in balance of its ranking of the whole training set is longer than threshold and more than
+    threshold tests are as near as the run's last instance (k >= bound). Centres are tried batch by batch, in the order
+    of the draw, until so many are valid or all have been tried; twice as many at once each time, 256 at most.
     """
-    last = split.join(train_ranking, (F.col("centre") == F.col("u")) & (F.col("size") == F.col("rank"))).select("centre", F.col("k").alias("bound"))
-    within = lambda ranking, part: ranking.join(last, F.col("u") == F.col("centre")).where("k >= bound").select("centre", F.lit(part).alias("part"), F.col("v").alias("id"))
-    return within(train_ranking, "train").unionByName(within(test_ranking, "test"))
+    keyed = tests.where(F.col(vector).isNotNull()).select(id, vector, F.lit(0).alias("_all"), *[F.expr(x).alias(f"_d{i}") for i, x in enumerate(drawn)])
+    order = materialize(ranks.ranked(keyed, ["_all"], [*[f"_d{i}" for i in range(len(drawn))], id], "draw").select(id, vector, "draw"), "draw")
+    found, at, n, total = None, 0, 0, order.count()
+    while n < centres and (at < total or found is None):
+        part = order.where(F.col("draw").between(at, at + batch - 1))
+        runs = materialize(balanced_runs(kernels_to(part, train, ["y"], id, vector), imbalance).where(F.col("size") > threshold), "runs")
+        able = part.join(F.broadcast(runs.select(F.col("u").alias(id))), id, "left_semi")  # batch rows at most
+        near = kernels_to(able, tests, (), id, vector).join(F.broadcast(runs.select("u", F.col("k").alias("bound"))), "u").where("k >= bound").groupBy("u").agg(F.count("*").alias("tests"))
+        valid = runs.join(near, "u").where(F.col("tests") > threshold).join(part.select(F.col(id).alias("u"), "draw"), "u")
+        valid = materialize(valid.select(F.col("u").alias("centre"), "draw", "size", F.col("k").alias("bound"), "positives", "negatives", "tests"), "valid")
+        found, n = valid if found is None else found.unionByName(valid), n + valid.count()
+        at, batch = at + batch, min(2 * batch, 256)
+    best = found.orderBy("draw").limit(centres)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy("draw"))).select("centre", "rank", "size", "bound", "positives", "negatives", "tests")  # centres rows
+
+
+def split_ids(splits: DataFrame, train: DataFrame, tests: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(centre, part, id): for each split all training and all test instances that are as near as its bound; ties of the bound stay in."""
+    centres = tests.join(F.broadcast(splits.select(F.col("centre").alias(id))), id, "left_semi")
+    bounds = F.broadcast(splits.select(F.col("centre").alias("u"), "bound"))  # one row for each split
+    within = lambda vectors, part: kernels_to(centres, vectors, (), id, vector).join(bounds, "u").where("k >= bound").select(F.col("u").alias("centre"), F.lit(part).alias("part"), F.col("v").alias("id"))
+    return within(train, "train").unionByName(within(tests, "test"))
 
 
 def sparse_kernels(pairs: DataFrame, features: DataFrame) -> DataFrame:

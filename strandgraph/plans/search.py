@@ -169,40 +169,35 @@ def greedy(spark, d):
 QUERIES["q_greedy_centres"] = greedy
 QUERIES["q_sampled_centres"] = lambda spark, d: S.sampled_centres(S.neighbourhood_density(_knn(spark, d)))
 QUERIES["q_data_filter"] = lambda spark, d: S.filtered(I.letters(spark, d).where("val > 0"))
-#: Centres of the splits: the first by this key.
-DRAWN, DRAWS = "(vec_id * 7919 + 104729) % 10007, vec_id", 25
+#: The order in which centres of splits are drawn.
+DRAWN = "(vec_id * 7919 + 104729) % 10007"
 
 
 def _split(spark, d):
-    """Rankings of drawn vectors among all others, the parity of labels as classes; the split of each."""
-    e = table(spark, d, "embeddings")
-    first, second = DRAWN.split(", ")
-    centres = e.orderBy(F.expr(first), second).limit(DRAWS)
-    ranking = materialize(S.dense_neighbours(centres, e, 200), "ranking")
-    y = e.select(F.col("vec_id").alias("instance_id"), F.when(F.col("label") % 2 == 0, 1).otherwise(-1).alias("y"))
-    return e, centres, ranking, S.balanced_split(ranking, y)
+    """All vectors are the training set, the first three labels against the rest the classes, and those of odd ids the test set."""
+    e = table(spark, d, "embeddings").withColumn("y", F.when(F.col("label") < 3, 1).otherwise(-1))
+    tests = e.where("vec_id % 2 = 1")
+    return e, tests, S.dataset_splits(e, tests, [DRAWN])
 
 
 QUERIES["q_balanced_split"] = lambda spark, d: _split(spark, d)[-1]
 SPLIT = (
-    f"rk AS (SELECT p.u, p.v, p.k, CAST(row_number() OVER (PARTITION BY p.u ORDER BY p.k DESC, p.v) AS INTEGER) AS rank FROM prod p JOIN (SELECT vec_id FROM emb ORDER BY {DRAWN} LIMIT {DRAWS}) c ON c.vec_id = p.u QUALIFY rank <= 200)",
-    "cs AS (SELECT u, rank, k, CAST(sum(CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS positives, CAST(sum(CASE WHEN label % 2 = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS negatives FROM rk JOIN emb ON vec_id = rk.v WINDOW w AS (PARTITION BY u ORDER BY rank))",
-    "sp AS (SELECT u AS centre, rank AS size, positives, negatives, k AS bound FROM cs WHERE positives < 1.5 * negatives AND positives * 1.5 > negatives QUALIFY row_number() OVER (PARTITION BY u ORDER BY rank DESC) = 1 AND rank >= 30)",
+    "cen AS (SELECT vec_id AS u FROM emb WHERE vec_id % 2 = 1)",
+    "cs AS (SELECT p.u, p.k, row_number() OVER w AS size, CAST(sum(CASE WHEN label < 3 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS positives, CAST(sum(CASE WHEN label < 3 THEN 0 ELSE 1 END) OVER w AS BIGINT) AS negatives FROM prod p JOIN cen USING (u) JOIN emb ON vec_id = p.v WINDOW w AS (PARTITION BY p.u ORDER BY p.k DESC, p.v ROWS UNBOUNDED PRECEDING))",
+    "ru AS (SELECT u, size, k AS bound, positives, negatives FROM cs WHERE positives < 1.5 * negatives AND positives * 1.5 > negatives QUALIFY row_number() OVER (PARTITION BY u ORDER BY size DESC) = 1)",
+    "te AS (SELECT p.u, count(*) AS tests FROM prod p JOIN ru USING (u) WHERE p.v % 2 = 1 AND p.k >= bound GROUP BY 1)",
+    f"sp AS (SELECT u AS centre, CAST(row_number() OVER (ORDER BY {DRAWN.replace('vec_id', 'u')}, u) AS INTEGER) AS rank, size, bound, positives, negatives, tests FROM ru JOIN te USING (u) WHERE size > 30 AND tests > 30 QUALIFY rank <= 10)",
 )
-SQL["q_balanced_split"] = I.query(EMB, *SPLIT, final="SELECT centre, size, positives, negatives FROM sp")
+SQL["q_balanced_split"] = I.query(EMB, *SPLIT, final="SELECT centre, rank, size, bound, positives, negatives, tests FROM sp")
 
 
 def split_ids(spark, d):
-    """All vectors are the training set, those of odd ids the test set."""
-    e, centres, ranking, found = _split(spark, d)
-    found = materialize(found, "split")
-    tests = S.dense_neighbours(centres, e.where("vec_id % 2 = 1"), 200)
-    return S.split_ids(found, ranking, tests)
+    e, tests, found = _split(spark, d)
+    return S.split_ids(materialize(found, "splits"), e, tests)
 
 
 QUERIES["q_split_ids"] = split_ids
 SQL["q_split_ids"] = I.query(
     EMB, *SPLIT,
-    "tk AS (SELECT u, v, k FROM prod WHERE v % 2 = 1 AND u IN (SELECT centre FROM sp) QUALIFY row_number() OVER (PARTITION BY u ORDER BY k DESC, v) <= 200)",
-    final="SELECT centre, 'train' AS part, v AS id FROM sp JOIN rk ON u = centre WHERE k >= bound UNION ALL SELECT centre, 'test', v FROM sp JOIN tk ON u = centre WHERE k >= bound",
+    final="SELECT centre, 'train' AS part, v AS id FROM sp JOIN prod ON u = centre WHERE k >= bound UNION ALL SELECT centre, 'test', v FROM sp JOIN prod ON u = centre WHERE v % 2 = 1 AND k >= bound",
 )

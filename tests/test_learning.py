@@ -127,10 +127,51 @@ def test_self_training_and_negatives(points):
             train.Options(**wrong)
 
 
-def test_linear_svc(points):
-    _, y, feats, targets = points
-    fitted = train.linear_svc(feats.where("fid < 8"), targets, bits=2)
-    assert fitted.coefficients[0] > 0
+def test_averaged_descent_over_shards(spark, points):
+    x, y, feats, targets = points
+    opts = train.Options(epochs=30, lam=0.05)
+    rows = targets.select(F.lit("m").alias("model"), "instance_id", "y", F.col("instance_id").alias("slot"))
+    got = {r.fid: r.w for r in train.sgd(feats, rows, options=opts, shard=30).collect()}
+    cost = lambda w, b: opts.lam / 2 * w @ w + np.maximum(0, 1 - y * (x @ w + b)).mean()
+    w, b, best = np.zeros(5), 0.0, np.inf
+    for t in range(1, 20_000):  # the optimum, by subgradients of the whole cost
+        off = y * (x @ w + b) < 1
+        w, b = w - (opts.lam * w - (y[off, None] * x[off]).sum(0) / 120) / (opts.lam * t), b + y[off].sum() / 120 / (100 * opts.lam * t)
+        best = min(best, cost(w, b))
+    assert cost(np.array([got[k] for k in range(5)]), got[-1]) < 1.05 * best
+    plain = {r.fid: r.w for r in train.sgd(feats, rows, options=opts).collect()}
+    assert plain.keys() == got.keys() and plain != got
+    with pytest.raises(ValueError):
+        old, train.LARGEST = train.LARGEST, 4
+        try:
+            train.sgd(feats, rows, options=opts)
+        finally:
+            train.LARGEST = old
+
+
+def test_averages_weigh_shards_by_their_items(spark):
+    r = np.random.default_rng(8)
+    x, y = r.normal(size=(50, 3)), np.where(r.random(50) < 0.5, 1, -1)
+    feats = spark.createDataFrame([(i, k, float(v)) for i, row in enumerate(x) for k, v in enumerate(row) if k < 2 or i % 7 == 0], "instance_id long, fid long, val double")
+    rows = spark.createDataFrame([(m, "a", i, int(y[i]), 49 - i) for m in (1, 2) for i in range(50) if m == 1 or i < 9], "m int, n string, instance_id long, y int, slot int")
+    opts = train.Options(epochs=3)
+    got = {}
+    for v in train.sgd(feats, rows, ["m", "n"], opts, shard=20).collect():
+        got.setdefault((v.m, v.n), {})[v.fid] = v.w
+    place = {i: s for i, s in rows.where("m = 1").select("instance_id", F.pmod(F.xxhash64("instance_id", F.lit(opts.seed)), F.lit(3))).collect()}
+    for model, items, shards in ((1, range(50), 3), (2, range(9), 1)):
+        w, b = np.zeros(3), 0.0
+        for epoch in range(3):
+            parts = []
+            for s in range(shards):
+                mine = [i for i in reversed(items) if shards == 1 or place[i] == s]
+                d = train.Descent(w.copy(), b, epoch * len(items) / shards, opts)
+                for i in mine:
+                    kept = np.array([0, 1, 2] if i % 7 == 0 else [0, 1])
+                    d.step(kept, x[i][kept], float(y[i]))
+                parts.append((len(mine), d.fold(), d.bias))
+            w, b = sum(n * v for n, v, _ in parts) / len(items), sum(n * c for n, _, c in parts) / len(items)
+        assert [got[model, "a"][k] for k in range(3)] == pytest.approx(list(w)) and got[model, "a"][-1] == pytest.approx(b)
 
 
 def test_scoring_decisions_and_cascade(spark):
@@ -205,7 +246,7 @@ def test_neighbours_and_density(spark, points):
     for r in near.orderBy("u", "rank").collect():
         again.setdefault(r.u, []).append(r.v)
     assert again == want
-    density = {r.vec_id: r.density for r in similarity.dense_density(dense, block=50).collect()}
+    density = {r.vec_id: r.density for r in similarity.dense_density(dense).collect()}
     full = x @ x.T
     assert density == pytest.approx({i: (full[i].sum() - full[i, i]) / 119 for i in range(120)})
     alone = similarity.dense_density(dense.limit(1)).first()
@@ -222,8 +263,8 @@ def test_neighbours_and_density(spark, points):
     assert similarity.sampled_centres(local.withColumn("density", F.abs("density")), 5).count() == 5
 
 
-@pytest.mark.parametrize("sample,batch", [(4, 3), (4, 500), (7, 20)])
-def test_greedy_centres_against_a_plain_loop(spark, sample, batch):
+@pytest.mark.parametrize("sample,growth", [(4, 2), (4, 100), (7, 3)])
+def test_greedy_centres_against_a_plain_loop(spark, sample, growth):
     r = np.random.default_rng(3)
     x, density = r.normal(size=(90, 5)), r.random(90).round(2)
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -244,7 +285,7 @@ def test_greedy_centres_against_a_plain_loop(spark, sample, batch):
                     ids = other
         if best is None or alike(ids) < alike(best) and density[ids].sum() > density[best].sum():
             best = ids
-    got = similarity.greedy_centres(known, vectors, sample, restarts, seed, batch).orderBy("rank").collect()
+    got = similarity.greedy_centres(known, vectors, sample, restarts, seed, growth).orderBy("rank").collect()
     assert [g.centre for g in got] == sorted(best, key=lambda j: (-density[j], j))
 
 
@@ -275,3 +316,55 @@ def test_bins_and_candidates(spark):
     assert [r.v for r in near] == [0, 1]
     labels = spark.createDataFrame([(0, "b"), (1, "a"), (2, "a"), (3, "c")], "instance_id long, label string")
     assert {r.u: r.prediction for r in similarity.vote(similarity.true_neighbours(feats, 2), labels).collect()}[0] == "a"
+
+
+def test_dataset_splits_against_a_plain_loop(spark):
+    r = np.random.default_rng(4)
+    x, label = r.normal(size=(80, 4)).round(1), r.integers(0, 10, 80)
+    rows = [(i, v.tolist(), None if i % 11 == 0 else 1 if label[i] < 2 else -1) for i, v in enumerate(x)]
+    train_set = spark.createDataFrame(rows + [(900, None, 1)], "vec_id long, embedding array<double>, y int").repartition(5)
+    tests = train_set.where("vec_id % 2 = 1").drop("y").unionByName(spark.createDataFrame([(901, None)], "vec_id long, embedding array<double>"))
+    k = np.round(x @ x.T, 6)
+    want = []
+    for c in sorted((i for i in range(80) if i % 2), key=lambda i: (-i % 13, i)):
+        order = np.lexsort((np.arange(80), -k[c]))
+        run, p, m = None, 0, 0
+        for place, v in enumerate(order, 1):
+            p, m = p + (rows[v][2] == 1), m + (rows[v][2] == -1)
+            if p < 1.5 * m and 1.5 * p > m:
+                run = place, float(k[c][v]), p, m
+        near = [i for i in range(1, 80, 2) if run and k[c][i] >= run[1]]
+        if run and run[0] > 6 and len(near) > 6:
+            want.append((c, len(want) + 1, *run, len(near)))
+    assert 5 < len(want) < 40 and len({w[2] for w in want}) > 3
+    for centres, batch in ((5, 2), (5, 100), (100, 3)):
+        got = similarity.dataset_splits(train_set, tests, ["pmod(-vec_id, 13)"], centres, 6, batch=batch)
+        assert sorted(map(tuple, got.collect()), key=lambda g: g[1]) == want[:centres]
+    ids = {}
+    for g in similarity.split_ids(got, train_set, tests).collect():
+        ids.setdefault((g.centre, g.part), set()).add(g.id)
+    assert ids == {(w[0], part): {i for i in range(start, 80, step) if k[w[0]][i] >= w[3]} for w in want for part, start, step in (("train", 0, 1), ("test", 1, 2))}
+    assert similarity.dataset_splits(train_set, tests, ["vec_id"], 5, 1000).count() == 0 and similarity.dataset_splits(train_set, tests.limit(0), ["vec_id"]).count() == 0
+
+
+def test_density_centres_against_the_walk(spark):
+    r = np.random.default_rng(6)
+    near = {u: {u, *map(int, r.integers(0, 150, 4)), *([7] if u % 3 == 0 else [])} for u in range(150)}
+    density = r.random(150).round(2)
+    lists = spark.createDataFrame([(u, v) for u, vs in near.items() for v in vs], "u long, v long")
+    known = spark.createDataFrame([(u, float(d)) for u, d in enumerate(density)] + [(500, None), (501, 2.0)], "u long, density double")
+    for sample, overlap, batch, few in ((12, 0, 10, 200), (12, 1, 40, 0), (1000, 2, 1000, 100)):
+        taken, seen = [], set()
+        for u in sorted(range(150), key=lambda u: (-density[u], u)):
+            if len(taken) < sample and len(seen & near[u]) <= overlap:
+                taken.append(u)
+                seen |= near[u]
+        got = similarity.density_centres(lists, known, sample, overlap, batch=batch, few=few).orderBy("rank").collect()
+        assert [(g.centre, g.rank) for g in got] == [(u, i + 1) for i, u in enumerate(taken)]
+
+
+def test_sums_of_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, -2.0]), (3, None)], "vec_id long, embedding array<double>").repartition(3)
+    assert similarity.vector_sum(rows).first()[:] == (2, [4.0, 0.0])
+    assert {r.vec_id: r.similarity for r in similarity.similarity_to_set(rows, rows.where("vec_id = 2")).collect()} == {1: -1.0, 2: 13.0}
+    assert similarity.similarity_to_set(rows, rows.limit(0)).count() == 0 and similarity.vector_sum(rows.limit(0)).count() == 0
