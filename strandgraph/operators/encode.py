@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.functions import residues as R
-from strandgraph.storage import small
+from strandgraph.storage import materialize
 
 LAYERS = ("any", "polarity", "charge", "hydrophobicity", "identity")
 DRIVER_LAYERS = ("any", "charge", "hydrophobicity", "identity")
@@ -82,12 +82,49 @@ def undirected(e: DataFrame) -> DataFrame:
     return e.select("graph_id", "src", "dst", "label").unionByName(e.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "label"))
 
 
+def _literal(pattern: Column) -> Column:
+    """The longest text that every match of a pattern holds, as far as it is told here; empty for groups, classes, escapes.
+
+    A character before "*" or "?" may be absent, so it ends a run, as any special character does.
+    """
+    runs = F.split(F.regexp_replace(pattern, r".[*?][+?]?|[.^$+]", "\n"), "\n")
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    return F.when(pattern.rlike(r"[|()\[\]{}\\]"), "").otherwise(longest)
+
+
+#: Letters of the pieces that names are indexed by, and names in a block for patterns that hold none.
+GRAM, NAMES = 3, 10_000
+
+
+def _grams(text: Column) -> Column:
+    return F.expr(f"array_distinct(transform(sequence(1, length({text}) - {GRAM - 1}), i -> substring({text}, i, {GRAM})))")
+
+
+def matches(patterns: DataFrame, names: DataFrame, block: int = NAMES) -> DataFrame:
+    """(pattern, names...) of all rows of names (name, ...) in which a pattern (pattern) is found; each distinct pattern once.
+
+    A pattern that holds a literal of GRAM letters meets only the names that hold the rarest of its grams: an equi-join on
+    grams. One without meets the names block by block, an equi-join on the block's number. Null patterns and names match nothing.
+    """
+    found = patterns.where("pattern IS NOT NULL").select("pattern").distinct().withColumn("_l", _literal(F.col("pattern")))
+    names = materialize(names.where("name IS NOT NULL"), "names")
+    index = names.where(f"length(name) >= {GRAM}").withColumn("_g", F.explode(_grams("name")))
+    grams = found.where(f"length(_l) >= {GRAM}").select("pattern", F.explode(_grams("_l")).alias("_g"))
+    often = index.groupBy("_g").agg(F.count("*").alias("_c"))
+    rarest = grams.join(often, "_g", "left").groupBy("pattern").agg(F.min_by("_g", F.coalesce("_c", F.lit(0))).alias("_g"))
+    hit = rarest.join(index, "_g").where("name RLIKE pattern").drop("_g")
+    blocks = max(1, -(-names.count() // block))
+    rest = found.where(f"length(_l) < {GRAM}").select("pattern", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    met = rest.join(names.withColumn("_b", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")), "_b").where("name RLIKE pattern").drop("_b")
+    return hit.unionByName(met)
+
+
 def with_domain(peptides: DataFrame, domains: DataFrame) -> DataFrame:
     """peptides (peptide_id, seq) with aligned: the sequence of the first domain whose name matches peptide_id as a pattern.
 
-    domains: (ord, name, aligned_seq), a lookup table, broadcast for the pattern test if it is small; the first row by ord
-    counts. Unmatched peptides have no domain (null).
+    domains: (ord, name, aligned_seq), a lookup table of any size; the first row by ord counts. Unmatched peptides have no
+    domain (null).
     """
-    hit = peptides.select("peptide_id").distinct().join(small(domains), F.expr("name RLIKE peptide_id"), "inner")
-    first = hit.groupBy("peptide_id").agg(F.min_by("aligned_seq", "ord").alias("aligned"))
+    hit = matches(peptides.select(F.col("peptide_id").alias("pattern")), domains.select("ord", "name", "aligned_seq"))
+    first = hit.groupBy(F.col("pattern").alias("peptide_id")).agg(F.min_by("aligned_seq", "ord").alias("aligned"))
     return peptides.join(first, "peptide_id", "left")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from strandgraph.functions.hashing import minhash_family
 from strandgraph.functions.vectors import dot
 from strandgraph.operators import metrics, ranks
-from strandgraph.storage import materialize
+from strandgraph.storage import materialize, small
 
 DIGITS = 6
 #: Rows of a block of vectors held against another block.
@@ -28,11 +28,56 @@ BLOCK = 4096
 # ---- kernels -----------------------------------------------------------------------------------------------------
 
 
+#: Rows of one list that meet those of another in one group of a join.
+LIST = 2000
+
+
+def meetings(rows: DataFrame, key: Sequence[str], id: str, value: str | None = None, size: int | None = None) -> DataFrame:
+    """(key, u, v, x, y) of every two rows of one key, each unordered pair once and each row with itself; x, y are their values.
+
+    A key's rows are its list. Lists of more than size rows are cut into blocks by a hash of the id; every two blocks of a
+    list meet in a group of their own, so a list of any length is spread over as many groups as it has pairs of blocks,
+    and no group holds more than about size rows of each side. u <= v where value is None; else x belongs to u and y to v.
+    """
+    size = size or LIST
+    rows = materialize(rows.select(*key, id, *([value] if value else [])), "lists")
+    long = small(rows.groupBy(*key).agg(F.ceil(F.count("*") / size).cast("int").alias("_n")).where("_n > 1"))  # one row for size rows
+    value = F.col(value) if value else F.lit(None).cast("double")
+    cut = rows.select(*key, F.col(id).alias("_id"), value.alias("_v")).join(long, list(key), "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    cut = cut.withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
+    a = cut.select(*key, F.col("_id").alias("u"), F.col("_v").alias("x"), F.col("_b").alias("_i"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("_j"))
+    b = cut.select(*key, F.col("_id").alias("v"), F.col("_v").alias("y"), F.col("_b").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"))
+    met = a.join(b, [*key, "_i", "_j"]).where("_i < _j OR u <= v")
+    turned = F.col("u") > F.col("v")
+    return met.select(*key, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y"))
+
+
 def kernel(features: DataFrame) -> DataFrame:
     """(u, v, k) of all pairs u <= v that share a feature; pairs without have kernel 0."""
-    a = features.select(F.col("instance_id").alias("u"), "fid", F.col("val").alias("x"))
-    b = features.select(F.col("instance_id").alias("v"), "fid", F.col("val").alias("y"))
-    return a.join(b, "fid").where("u <= v").groupBy("u", "v").agg(F.sum(F.col("x") * F.col("y")).alias("k"))
+    return meetings(features, ["fid"], "instance_id", "val").groupBy("u", "v").agg(F.sum(F.col("x") * F.col("y")).alias("k"))
+
+
+def kernel_candidates(features: DataFrame, threshold: float) -> DataFrame:
+    """(u, v), u <= v: a superset of the pairs whose kernel is threshold or more, found without the commonest features.
+
+    Features are ordered by falling frequency. The products of an instance's first features with the largest weight that each has
+    anywhere add up to a bound of what they can give to any kernel; as long as it stays below threshold they aren't
+    indexed. The rarest feature that a pair of such a kernel shares is then indexed for both: were it not for one of
+    them, no shared feature would be, and the kernel would stay below. threshold must be positive; values may be negative.
+    """
+    if threshold <= 0:
+        raise ValueError("threshold must be positive")
+    known = features.groupBy("fid").agg(F.count("*").alias("_c"), F.max(F.abs("val")).alias("_m"))
+    rows = features.where("val <> 0").join(small(known), "fid")
+    order = Window.partitionBy("instance_id").orderBy(F.desc("_c"), "fid").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_bound", F.sum(F.abs("val") * F.col("_m")).over(order)).where(F.col("_bound") >= threshold - 10**-DIGITS)
+    return meetings(rows, ["fid"], "instance_id").select("u", "v").distinct()
+
+
+def kernel_above(features: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, k) of all pairs u <= v whose kernel, rounded, is threshold or more: exact, from kernel_candidates()."""
+    found = sparse_kernels(kernel_candidates(features, threshold), features)
+    return found.withColumn("k", F.round("k", DIGITS)).where(F.col("k") >= threshold)
 
 
 def symmetric(k: DataFrame) -> DataFrame:
@@ -40,38 +85,19 @@ def symmetric(k: DataFrame) -> DataFrame:
     return k.select("u", "v", "k").unionByName(k.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "k"))
 
 
-def _blocks(vectors: DataFrame, id: str, vector: str, block: int) -> tuple[DataFrame, int]:
-    """(id, v, b): vectors of doubles dealt into blocks by a hash; the number of blocks."""
-    n = max(1, -(-vectors.count() // block))
-    return vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id), F.lit(n)).cast("int").alias("b")), n
-
-
 def _matrix(t: pa.Table, column: str) -> np.ndarray:
     return t[column].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
 
 
-def _over_blocks(queries: DataFrame, vectors: DataFrame, id: str, vector: str, block: int, f, schema: str) -> DataFrame:
-    """f(query ids, query matrix, ids, matrix) for every block of queries and block of vectors: bounded work for each task."""
-    q, nq = _blocks(queries, id, vector, block)
-    d, nd = _blocks(vectors, id, vector, block)
-    q = q.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).alias("j"))
-    d = d.select("id", "v", F.col("b").alias("l"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("k"))
+def _nearest(k: int):
+    """For cogrouped queries (qid, qv) and vectors (id, v): each query's k vectors of largest rounded product."""
+    target = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("k", pa.float64())])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def top(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_pylist([], schema=target)
-        return f(left["qid"].to_numpy(), _matrix(left, "qv"), right["id"].to_numpy(), _matrix(right, "v"))
-
-    kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
-    target = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
-    return q.groupBy("i", "j").cogroup(d.groupBy("k", "l")).applyInArrow(run, schema)
-
-
-def dense_neighbours(queries: DataFrame, vectors: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(u, v, k, rank): for each query its k vectors of largest inner product, the query itself among them."""
-
-    def top(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.Table:
-        products = np.round(q @ x.T, DIGITS)
+        qids, ids = left["qid"].to_numpy(), right["id"].to_numpy()
+        products = np.round(_matrix(left, "qv") @ _matrix(right, "v").T, DIGITS)
         out = ([], [], [])
         for i, row in enumerate(products):
             if len(row) > k:
@@ -82,10 +108,104 @@ def dense_neighbours(queries: DataFrame, vectors: DataFrame, k: int, id: str = "
             near = near[np.lexsort((ids[near], -row[near]))][:k]
             for o, v in zip(out, (np.full(len(near), qids[i]), ids[near], row[near]), strict=True):
                 o.append(v)
-        return pa.table({"u": pa.array(np.concatenate(out[0]), pa.int64()), "v": pa.array(np.concatenate(out[1]), pa.int64()), "k": pa.array(np.concatenate(out[2]), pa.float64())})
+        return pa.table([pa.array(np.concatenate(o), f.type) for o, f in zip(out, target, strict=True)], schema=target)
+
+    return top
+
+
+#: Pivots at most: what a task holds each vector against to find its cell.
+PIVOTS = 1024
 
-    found = _over_blocks(queries, vectors, id, vector, block, top, "u long, v long, k double")
-    return ranked(found, k)
+
+class Cells:
+    """Vectors dealt to their nearest pivot, with what each cell can hold for a query.
+
+    By Cauchy and Schwarz the product of a query q with a vector at distance d from pivot c is at most q·c + |q| d, so a cell's
+    bound is q·c + |q| radius. Pivots are vectors taken by a hash of the id; the driver holds them and, for each, the
+    cell's size and radius. Cells are cut into parts of about block vectors.
+    """
+
+    def __init__(self, vectors: DataFrame, block: int, cells: int | None = None):
+        n = vectors.count()
+        few = vectors.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, cells or max(1, -(-n // block)))).collect()
+        self.pivots = pivots = np.array([r.v for r in few], float)
+        self.block = block
+
+        def assign(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    apart = _apart(_matrix(pa.table({"v": batch.column(1)}), "v"), pivots)
+                    near = apart.argmin(1)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(apart[np.arange(len(near)), near])], ["id", "v", "cell", "apart"])
+
+        dealt = materialize(vectors.mapInArrow(assign, f"id {vectors.schema['id'].dataType.simpleString()}, v array<double>, cell int, apart double"), "cells")
+        stats = {r.cell: (r.n, r.radius) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect()}  # PIVOTS rows at most
+        self.radius = np.array([stats.get(i, (0, -np.inf))[1] for i in range(len(few))])
+        self.parts = {i: -(-m // block) for i, (m, _) in stats.items()}
+        self.sizes = {i: m for i, (m, _) in stats.items()}
+        self.dealt = dealt
+
+    def visits(self, queries: DataFrame, own: bool) -> DataFrame:
+        """(qid, qv, cell): the cells that queries (qid, qv, least) go to; own: the cell they lie in themselves, else all others that may hold a product of least."""
+        pivots, radius = self.pivots, self.radius
+
+        def choose(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                q = _matrix(pa.table({"q": batch.column(1)}), "q")
+                apart = _apart(q, pivots)
+                apart[:, np.isinf(radius)] = np.inf
+                home = np.zeros(apart.shape, bool)
+                home[np.arange(len(q)), apart.argmin(1)] = True
+                if own:
+                    go = home
+                else:
+                    with np.errstate(invalid="ignore"):
+                        most = q @ pivots.T + np.linalg.norm(q, axis=1)[:, None] * radius
+                    least = np.array([-np.inf if x is None else x for x in batch.column(2).to_pylist()])
+                    go = ~home & ~np.isinf(radius) & (most >= least[:, None] - 2 * 10**-DIGITS)
+                at, cell = np.nonzero(go)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(cell.astype(np.int32))], ["qid", "qv", "cell"])
+
+        return queries.mapInArrow(choose, "qid long, qv array<double>, cell int")
+
+    def meet(self, visits: DataFrame, k: int) -> DataFrame:
+        """(u, v, k): of every visit the k vectors of largest product in the cell, part by part."""
+        spark = visits.sparkSession
+        asked = {r.cell: r["count"] for r in visits.groupBy("cell").count().collect()}  # PIVOTS rows at most
+        plan = spark.createDataFrame([(c, self.parts[c], -(-n // self.block)) for c, n in asked.items()], "cell int, parts int, groups int")
+        q = visits.join(F.broadcast(plan), "cell").select("qid", "qv", "cell", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+        d = self.dealt.join(F.broadcast(plan), "cell").select("id", "v", F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("h"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("l"))
+        return q.groupBy("cell", "g", "p").cogroup(d.groupBy("c", "h", "l")).applyInArrow(_nearest(k), "u long, v long, k double")
+
+
+def _apart(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows to pivots, with a little added for what rounding may have lost."""
+    squares = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T
+    return np.sqrt(np.maximum(squares, 0)) + 1e-6
+
+
+def dense_neighbours(queries: DataFrame, vectors: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK, cells: int | None = None) -> DataFrame:
+    """(u, v, k, rank): for each query its k vectors of largest inner product, the query itself among them; exact.
+
+    Queries first meet the cell they lie in. The k-th product found there bounds what they still look for: they go on to
+    those cells alone that may hold as much, and what no cell can give them isn't computed. Vectors without any structure have cells
+    that hold all of it, and then every query meets every cell. Null vectors take no part.
+    """
+    x = materialize(vectors.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")), "vectors")
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("qv"))
+    parted = Cells(x, block, cells)
+    if not len(parted.pivots):
+        return ranked(q.select(F.col("qid").alias("u"), F.col("qid").alias("v"), F.lit(0.0).alias("k")).where("false"), k)
+    q = materialize(q, "queries") if len(parted.pivots) > 1 else q
+    first = parted.meet(parted.visits(q.withColumn("least", F.lit(None).cast("double")), True), k)
+    if len(parted.pivots) == 1:
+        return ranked(first, k)
+    first = materialize(ranked(first, k), "home")
+    least = first.where(F.col("rank") == k).select(F.col("u").alias("qid"), F.col("k").alias("least"))
+    more = materialize(parted.visits(q.join(least, "qid", "left"), False), "visits")
+    return ranked(first.drop("rank").unionByName(parted.meet(more, k)), k)
 
 
 def dense_kernels(pairs: DataFrame, vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -171,11 +291,16 @@ def true_neighbours(features: DataFrame, k: int) -> DataFrame:
     return ranked(symmetric(kernel(features)), k)
 
 
+def _counted(met: DataFrame, least: int) -> DataFrame:
+    """Both orders of the pairs that have met at least so often."""
+    pairs = met.groupBy("u", "v").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    turned = F.explode(F.when(F.col("u") == F.col("v"), F.array(F.struct("u", "v"))).otherwise(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+    return pairs.select("shared", turned.alias("p")).select("p.u", "p.v", "shared")
+
+
 def shared_features(features: DataFrame, least: int = 2) -> DataFrame:
     """(u, v, shared): pairs by the inverted index of features, with at least so many in common."""
-    a = features.select(F.col("instance_id").alias("u"), "fid").distinct()
-    b = a.select(F.col("u").alias("v"), "fid")
-    return a.join(b, "fid").groupBy("u", "v").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return _counted(meetings(features.select("instance_id", "fid").distinct(), ["fid"], "instance_id"), least)
 
 
 def trimmed(candidates: DataFrame, k: int, factor: int = 3) -> DataFrame:
@@ -214,9 +339,7 @@ def bin_sizes(bins: DataFrame) -> DataFrame:
 
 def shared_bins(bins: DataFrame, least: int = 2) -> DataFrame:
     """(u, v, shared): pairs that fall into at least so many common bins."""
-    a = bins.select(F.col("instance_id").alias("u"), "k", "minhash")
-    b = bins.select(F.col("instance_id").alias("v"), "k", "minhash")
-    return a.join(b, ["k", "minhash"]).groupBy("u", "v").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return _counted(meetings(bins, ["k", "minhash"], "instance_id"), least)
 
 
 def approximate_neighbours(features: DataFrame, k: int, hashes: int = 30, factor: int = 3, rerank: bool = True) -> DataFrame:

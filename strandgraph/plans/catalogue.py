@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandgraph.plans import graphs, learning, records, search
+from strandgraph.plans import files, graphs, learning, records, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (records, graphs, learning, search)
+MODULES = (records, graphs, learning, search, files)
 
 
 def queries() -> dict[str, Query]:

@@ -7,10 +7,11 @@ rank().
 
 from __future__ import annotations
 
-import struct
+import sys
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,24 +24,29 @@ def is_fasta(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where("value LIKE '>%'").limit(1).isEmpty()
 
 
-def fasta(spark: SparkSession, paths: str | list[str], valid: str = "-a-zA-Z", separator: str = "\t") -> DataFrame:
+def fasta(spark: SparkSession, paths: str | list[str], valid: str = "-a-zA-Z", separator: str = "\t", layout: bool = False) -> DataFrame:
     """(head, head_fields, id, comment, seq) of records; lines of "#" within a record are its comment.
 
     A head without a sequence is an error when its record is read.
     """
     chunks = spark.read.option("lineSep", "\n>").text(paths if isinstance(paths, list) else [paths])
-    return parsed_fasta(chunks, valid, separator)
+    return parsed_fasta(chunks, valid, separator, layout)
 
 
-def parsed_fasta(chunks: DataFrame, valid: str = "-a-zA-Z", separator: str = "\t") -> DataFrame:
-    """Records of rows (value) that were cut before each ">"; also for streams. The part before the first head is dropped."""
+def parsed_fasta(chunks: DataFrame, valid: str = "-a-zA-Z", separator: str = "\t", layout: bool = False) -> DataFrame:
+    """Records of rows (value) that were cut before each ">"; also for streams. The part before the first head is dropped.
+
+    layout: with n_lines and width, the number of the sequence's lines and the length of the longest.
+    """
     body = F.expr("CASE WHEN value LIKE '>%' THEN substring(value, 2) WHEN value LIKE '#%' AND instr(value, '\\n>') > 0 THEN substring(value, instr(value, '\\n>') + 2) ELSE value END")
     rows = chunks.where("NOT (value LIKE '#%' AND instr(value, '\\n>') = 0) AND trim(value) <> ''").select(F.split(body, "\n").alias("lines"))
     rows = rows.select(F.col("lines")[0].alias("head"), F.expr("slice(lines, 2, size(lines))").alias("rest"))
     comment = F.array_join(F.filter("rest", lambda x: x.startswith("#")), "\n")
     seq = R.clean(F.array_join(F.filter("rest", lambda x: ~x.startswith("#")), ""), valid)
+    body = F.filter("rest", lambda x: ~x.startswith("#") & (x != ""))
+    shape = F.size(body).alias("n_lines"), F.coalesce(F.array_max(F.transform(body, F.length)), F.lit(0)).alias("width")
     seq = F.when(F.exists("rest", lambda x: ~x.startswith("#")), seq).otherwise(F.raise_error(F.concat(F.lit("no sequence after head: "), "head")))
-    return rows.select("head", R.head_fields(F.col("head"), separator).alias("head_fields"), R.head_id(F.col("head")).alias("id"), comment.alias("comment"), seq.alias("seq"))
+    return rows.select("head", R.head_fields(F.col("head"), separator).alias("head_fields"), R.head_id(F.col("head")).alias("id"), comment.alias("comment"), seq.alias("seq"), *(shape if layout else ()))
 
 
 def stream_comment(spark: SparkSession, path: str) -> str:
@@ -163,19 +169,31 @@ def sparse_text(spark: SparkSession, path: str) -> DataFrame:
 
 def sparse_binary(spark: SparkSession, path: str) -> DataFrame:
     """(file, vector, fid, val) of native binary vectors: a 32-bit count, then pairs of 32-bit index and value."""
+    return decoded_sparse(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"))
+
+
+def decoded_sparse(contents: DataFrame) -> DataFrame:
+    """(file, vector, fid, val) of rows (file, content), each one or many vectors; vectors count from 0 in each."""
+    kind = contents.schema["file"].dataType.simpleString()
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for number, at, n in _places(content, 8):
+                    pairs = np.frombuffer(content, [("fid", "=i4"), ("val", "=f4")], n, at)
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * n, name.type), pa.array(np.full(n, number)), pa.array(pairs["fid"].astype(np.int64)), pa.array(pairs["val"].astype(float))], ["file", "vector", "fid", "val"])
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                at, number = 0, 0
-                while at + 4 <= len(content):
-                    (n,) = struct.unpack_from("=i", content, at)
-                    flat = struct.unpack_from("=" + "if" * n, content, at + 4)
-                    at += 4 + 8 * n
-                    yield pd.DataFrame({"file": name, "vector": number, "fid": flat[::2], "val": flat[1::2]})
-                    number += 1
+    return contents.select("file", "content").mapInArrow(decode, f"file {kind}, vector long, fid long, val double")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, vector long, fid long, val double")
+
+def _places(content: bytes, width: int) -> Iterator[tuple[int, int, int]]:
+    """(number, offset, entries) of the vectors of a content whose entries have so many bytes; a cut last vector is an error."""
+    at = number = 0
+    while at < len(content):
+        if at + 4 > len(content) or at + 4 + (n := int.from_bytes(content[at : at + 4], sys.byteorder, signed=True)) * width > len(content) or n < 0:
+            raise ValueError(f"vector {number} goes beyond the end of its content")
+        yield number, at + 4, n
+        at, number = at + 4 + width * n, number + 1
 
 
 def sparse_text_strict(spark: SparkSession, path: str) -> DataFrame:
@@ -198,17 +216,20 @@ def dense_text(spark: SparkSession, path: str) -> DataFrame:
 
 def dense_binary(spark: SparkSession, path: str) -> DataFrame:
     """(file, number, vector array<double>) of native binary vectors: a 32-bit count, then as many 32-bit values."""
+    return decoded_dense(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"))
+
+
+def decoded_dense(contents: DataFrame) -> DataFrame:
+    """(file, number, vector array<double>) of rows (file, content), each one or many vectors; they count from 0 in each."""
+    kind = contents.schema["file"].dataType.simpleString()
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                at, number = 0, 0
-                while at + 4 <= len(content):
-                    (n,) = struct.unpack_from("=i", content, at)
-                    yield pd.DataFrame({"file": [name], "number": [number], "vector": [list(struct.unpack_from(f"={n}f", content, at + 4))]})
-                    at, number = at + 4 + 4 * n, number + 1
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = [(number, np.frombuffer(content, "=f4", n, at).astype(float)) for number, at, n in _places(content, 4)]
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(found), name.type), pa.array([i for i, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.float64()))], ["file", "number", "vector"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, number long, vector array<double>")
+    return contents.select("file", "content").mapInArrow(decode, f"file {kind}, number long, vector array<double>")
 
 
 def listed(rows: DataFrame, white: DataFrame | None = None, black: DataFrame | None = None, id: str = "instance_id") -> DataFrame:
@@ -222,9 +243,14 @@ def listed(rows: DataFrame, white: DataFrame | None = None, black: DataFrame | N
 
 
 def model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(models, weights) of one or many model files: the file's name is the model, levels count from 0; keys come in a fixed order."""
+    """(models, weights) of one or many model files: levels count from 0; keys come in a fixed order.
+
+    The file's name is the model, or in what save_models() has written the folder's value.
+    """
     keys = ["bitsize", "instance_parts_threshold", "radius", "distance", "positive_threshold", "negative_threshold", "bias", "wscale"]
-    text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("model"), "value")
+    files = spark.read.text(path, wholetext=True)
+    name = F.col("model").cast("string") if "model" in files.columns else F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    text = files.select(name.alias("model"), "value")
     level = text.select("model", F.posexplode(F.expr("slice(split(value, '(?m)^bitsize '), 2, length(value))")).alias("level", "value"))
     level = level.withColumn("value", F.concat(F.lit("bitsize "), "value"))
     wrong = F.raise_error(F.concat(F.lit("model keys out of order: "), "model"))

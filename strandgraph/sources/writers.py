@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 from strandgraph.functions import residues as R
 
 
-def fasta(records: DataFrame, line_length: int | None = None) -> DataFrame:
-    """(value): head, comment and wrapped sequence of records (head, comment, seq)."""
-    seq = R.wrap(F.col("seq"), line_length) if line_length else F.col("seq")
+def fasta(records: DataFrame, line_length: int | str | None = None) -> DataFrame:
+    """(value): head, comment and wrapped sequence of records (head, comment, seq).
+
+    line_length "input" takes the layout of the records (n_lines, width): what had one line gets one, all others the
+    length of the longest line of any.
+    """
+    if line_length == "input":
+        records = records.crossJoin(F.broadcast(records.agg(F.greatest(F.max("width"), F.lit(1)).alias("_w"))))  # one row
+        wrapped = F.regexp_replace("seq", F.concat(F.lit("(.{"), F.col("_w").cast("string"), F.lit("})(?=.)")), F.lit("$1\n"))
+        seq = F.when(F.col("n_lines") > 1, wrapped).otherwise(F.col("seq"))
+    else:
+        seq = R.wrap(F.col("seq"), line_length) if line_length else F.col("seq")
     head = F.concat(F.lit(">"), "head")
     comment = F.when(F.coalesce("comment", F.lit("")) != "", F.col("comment")) if "comment" in records.columns else F.lit(None).cast("string")
     return records.select(F.concat_ws("\n", head, comment, seq).alias("value"))
@@ -92,6 +101,11 @@ def model(models: DataFrame, weights: DataFrame) -> DataFrame:
     return levels.select("model", F.concat(F.lit("num_levels "), F.size("p").cast("string"), F.lit("\n"), F.array_join(F.col("p.t"), "\n"), F.lit("\n")).alias("value"))
 
 
+def save_models(models: DataFrame, weights: DataFrame, path: str) -> None:
+    """A folder for each model, with its text in one file."""
+    model(models, weights).repartition("model").write.partitionBy("model").text(path)
+
+
 # ---- graphs ------------------------------------------------------------------------------------------------------
 
 

@@ -368,3 +368,63 @@ def test_sums_of_vectors(spark):
     assert similarity.vector_sum(rows).first()[:] == (2, [4.0, 0.0])
     assert {r.vec_id: r.similarity for r in similarity.similarity_to_set(rows, rows.where("vec_id = 2")).collect()} == {1: -1.0, 2: 13.0}
     assert similarity.similarity_to_set(rows, rows.limit(0)).count() == 0 and similarity.vector_sum(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [3, 1000])
+def test_meetings_of_long_lists(spark, size):
+    r = np.random.default_rng(2)
+    rows = [(int(k), int(i), float(k * 100 + i)) for k, n in ((1, 40), (2, 5), (3, 1)) for i in r.permutation(60)[:n]] + [(None, 1, 0.0)]
+    met = similarity.meetings(spark.createDataFrame(rows, "k long, id long, v double"), ["k"], "id", "v", size).collect()
+    of = {k: sorted(i for kk, i, _ in rows if kk == k) for k in (1, 2, 3)}
+    want = sorted((k, a, b) for k, ids in of.items() for x, a in enumerate(ids) for b in ids[x:])
+    assert sorted((m.k, m.u, m.v) for m in met) == want
+    assert all(m.x == m.k * 100 + m.u and m.y == m.k * 100 + m.v for m in met)
+
+
+def test_long_lists_are_spread(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(old, ("8", "false", "-1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        met = similarity.meetings(rows, ["k"], "id", size=50)
+        sizes = sorted(r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert len(sizes) == 8 and sum(sizes) == 1000 * 1001 // 2 + 2000 and sizes[-1] < 2 * sizes[4]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.9, 2.0])
+def test_kernels_above_a_threshold(spark, threshold):
+    r = np.random.default_rng(7)
+    rows = [(i, int(f), float(r.normal() if f % 2 else r.random())) for i in range(60) for f in {0, *map(int, r.zipf(1.5, 6) % 40)}] + [(99, 1, 0.0)]
+    feats = spark.createDataFrame(rows, "instance_id long, fid long, val double")
+    x = np.zeros((100, 40))
+    for i, f, v in rows:
+        x[i, f] = v
+    k = np.round(x @ x.T, 6)
+    got = {(g.u, g.v): g.k for g in similarity.kernel_above(feats, threshold).collect()}
+    assert got == {(u, v): k[u, v] for u in range(100) for v in range(u, 100) if k[u, v] >= threshold}
+    with pytest.raises(ValueError):
+        similarity.kernel_above(feats, 0.0)
+
+
+def test_cells_spare_queries_what_cannot_be_near(spark):
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(12, 6)) * 10
+    x = (centres[r.integers(0, 12, 300)] + r.normal(size=(300, 6)) * 0.3).round(3)
+    x[7] = x[8] = x[9]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "vec_id long, embedding array<double>")
+    k = np.round(x @ x.T, 6)
+    for cells, block, most in ((12, 50, 0.5), (40, 7, 0.5), (1, 1000, 1.0)):
+        got = {}
+        for g in similarity.dense_neighbours(vectors, vectors, 5, block=block, cells=cells).collect():
+            got.setdefault(g.u, {})[g.rank] = (g.v, g.k)
+        assert got == {u: {n + 1: (int(v), k[u, v]) for n, v in enumerate(np.lexsort((np.arange(300), -k[u]))[:5])} for u in range(300)}
+        parted = similarity.Cells(vectors.where("embedding IS NOT NULL").withColumnsRenamed({"vec_id": "id", "embedding": "v"}), block, cells)
+        kth = np.sort(k, 1)[:, -5]
+        asked = spark.createDataFrame([(i, v.tolist(), float(kth[i])) for i, v in enumerate(x)], "qid long, qv array<double>, least double")
+        met = sum(parted.sizes[v.cell] for own in (True, False) for v in parted.visits(asked, own).collect())
+        assert met <= most * 300 * 300
+    assert similarity.dense_neighbours(vectors, vectors.limit(0), 5).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 import pytest
@@ -214,3 +215,28 @@ def test_strict_sparse_text_and_files_by_part(spark, tmp_path):
     assert {p.parent.relative_to(tmp_path / "split").as_posix() for p in (tmp_path / "split").rglob("*.csv")} == {"centre=4/part=train", "centre=4/part=test", "centre=9/part=train"}
     writers.save_feature_maps({"hard": spark.createDataFrame([(1, "a")], "code long, text string")}, str(tmp_path / "maps"))
     assert spark.read.csv(str(tmp_path / "maps" / "hard"), sep="\t").first()[:] == ("1", "a")
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_patterns_meet_names_without_a_nested_loop(spark, block):
+    names = ["alpha beta", "alphabet", "beta.gamma", "xyz", "", "aaab", "a?b", "(x)", "abcabd", None, "xyz"]
+    patterns = ["alpha", "^beta", "a+b", "xy*z", "abc?", "b.ta", "al|xy", "(alpha )?beta", "[xy]+z", r"a\?b", "", "zz", "never there", "a*?aab", "t$", "gam+a", "ab", None]
+    table = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ord int")
+    found = encode.matches(spark.createDataFrame([(p,) for p in [*patterns, "alpha"]], "pattern string"), table, block)
+    want = sorted((p, i) for p in patterns if p is not None for i, n in enumerate(names) if n is not None and re.search(p, n))
+    assert sorted((r.pattern, r.ord) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_layout_of_the_input(spark):
+    chunks = spark.createDataFrame([(">a\nABC\nDEFGH\nIJ",), (">b\nABCDEFGHIJKLMNOP",), ("c\n# note\nAB\nC",)], "value string")
+    out = sorted(r.value for r in writers.fasta(readers.parsed_fasta(chunks, layout=True), "input").collect())
+    assert out == [">a\nABCDEFGHIJ", ">b\nABCDEFGHIJKLMNOP", ">c\n# note\nABC"]
+    assert [tuple(r) for r in readers.parsed_fasta(chunks, layout=True).orderBy("id").select("n_lines", "width").collect()] == [(3, 5), (1, 16), (2, 2)]
+
+
+def test_cut_binary_vectors_are_an_error(spark):
+    for content, read in ((b"\x02\0\0\0" + b"\0" * 8, readers.decoded_sparse), (b"\x02\0\0\0" + b"\0" * 4, readers.decoded_dense), (b"\x01", readers.decoded_dense)):
+        with pytest.raises(Exception, match="beyond the end"):
+            read(spark.createDataFrame([("f", bytearray(content))], "file string, content binary")).collect()
