@@ -106,7 +106,7 @@ def link(messages: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool
     links to a call of its own or an earlier turn. Columns: conv_id, turn, role, n_calls, n_answered (calls with a
     result), n_valid (calls whose arguments fit their schema), call_turn (of the call a result links to, null if none),
     level (order among messages: calls 0, their results 1, calls that need those 2, ...; null in a cycle; 0 for
-    other messages and unlinked results), json. Null texts have no content; repeated rows get equal results; messages
+    other messages and unlinked results), json (arguments that are no JSON stay as a text there). Null texts have no content; repeated rows get equal results; messages
     without a conversation or turn are linked with nothing, and none of their calls counts as answered.
     """
     rows = messages.select("conv_id", "turn", "role", "text")
@@ -130,7 +130,7 @@ def link(messages: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     level = F.when(F.col("_linked"), F.col("r_level")).when(F.col("n_calls") > 0, F.when(F.col("c_levels") == F.col("n_calls"), F.col("c_level"))).otherwise(0)
     canonical = F.expr("""to_json(named_struct('content', text, 'role', role, 'tool_call_id', _answers,
-        'tool_calls', transform(_calls, c -> named_struct('arguments', try_parse_json(c.arguments), 'id', c.id, 'name', c.name))))""")
+        'tool_calls', transform(_calls, c -> named_struct('arguments', coalesce(try_parse_json(c.arguments), CAST(c.arguments AS VARIANT)), 'id', c.id, 'name', c.name))))""")
     return out.select("conv_id", "turn", "role", count("n_calls"), count("n_answered"), count("n_valid"), "call_turn", level.cast("int").alias("level"), canonical.alias("json"))
 
 

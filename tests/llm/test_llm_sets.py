@@ -364,3 +364,10 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
             assert sorted(x.doc_id for x in docs.select("doc_id").collect()) == list(range(120))
     assert {x.doc_id for x in out.select("doc_id").distinct().collect()} == set(range(120))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()
+
+
+def test_arguments_that_are_no_json_stay(spark):
+    rows = [(1, 1, "assistant", '{"tool_calls":[{"id":"a","name":"reply","arguments":"not json"},{"id":"b","name":"reply","arguments":"{\\"text\\":\\"x\\"}"},{"id":"c","name":"reply"}]}')]
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).first()
+    made = json.loads(got.json)["tool_calls"]
+    assert [c.get("arguments") for c in made] == ["not json", {"text": "x"}, None] and got.n_calls == 3
