@@ -43,16 +43,19 @@ def score(v: DataFrame, e: DataFrame, models: DataFrame, weights: DataFrame, opt
     return model.cascade(out)
 
 
-def explain(v: DataFrame, e: DataFrame, models: DataFrame, weights: DataFrame, options: Options = Options(), level: int = 0) -> DataFrame:
-    """(instance_id, vid, model, margin) of each vertex; in doubled graphs a vertex and its twin are one."""
-    r, d = options.levels[level]
-    vec = features.vertex_vectors(v, e, r, d, options.bits)
-    scored = model.margins(vec, weights.where(F.col("level") == level), models.where(F.col("level") == level), by=("instance_id", "vid"))
+def explain(v: DataFrame, e: DataFrame, models: DataFrame, weights: DataFrame, options: Options = Options(), level: int | None = None) -> DataFrame:
+    """(instance_id, vid, model, level, margin) of each vertex at every level (or one); in doubled graphs a vertex and its twin are one."""
+    scored = None
+    for k, (r, d) in enumerate(options.levels):
+        if level in (None, k):
+            vec = features.vertex_vectors(v, e, r, d, options.bits)
+            here = model.margins(vec, weights.where(F.col("level") == k), models.where(F.col("level") == k), by=("instance_id", "vid"))
+            scored = here if scored is None else scored.unionByName(here)
     if not options.directed:
-        return scored.select("instance_id", "vid", "model", "margin")
+        return scored.select("instance_id", "vid", "model", "level", "margin")
     half = v.groupBy(F.col("graph_id").alias("instance_id")).agg((F.max("vid") / 2).cast("int").alias("_h"))
     own = F.when(F.col("vid") > F.col("_h"), F.col("vid") - F.col("_h")).otherwise(F.col("vid"))
-    return scored.join(half, "instance_id").select("instance_id", own.alias("vid"), "model", "margin").groupBy("instance_id", "vid", "model").agg(F.sum("margin").alias("margin"))
+    return scored.join(half, "instance_id").select("instance_id", own.alias("vid"), "model", "level", "margin").groupBy("instance_id", "vid", "model", "level").agg(F.sum("margin").alias("margin"))
 
 
 def validate(v: DataFrame, e: DataFrame, targets: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:

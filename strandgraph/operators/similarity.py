@@ -76,6 +76,7 @@ def kernel_candidates(features: DataFrame, threshold: float) -> DataFrame:
 
 def kernel_above(features: DataFrame, threshold: float) -> DataFrame:
     """(u, v, k) of all pairs u <= v whose kernel, rounded, is threshold or more: exact, from kernel_candidates()."""
+    features = materialize(features.select("instance_id", "fid", "val"), "features")
     found = sparse_kernels(kernel_candidates(features, threshold), features)
     return found.withColumn("k", F.round("k", DIGITS)).where(F.col("k") >= threshold)
 

@@ -109,6 +109,24 @@ SQL["q_gspan_columns"] = """WITH l AS (SELECT *, CAST(row_number() OVER (PARTITI
         CASE WHEN vid < last THEN vid + 1 END AS dst, CASE WHEN vid < last THEN 'next' END AS edge, CASE WHEN vid < last THEN l_tax END AS weight FROM l"""
 
 
+def gspan_nominal(spark, d):
+    """Orders as stars whose vertices have names: the first line is bound to all others."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("graph_id")).agg(F.array_sort(F.collect_list(line)).alias("p"))
+    name = lambda x, i: F.concat(F.lit("part"), x["l_partkey"].cast("string"), F.lit("/"), (i * 7 % 10).cast("string"))
+    v = F.transform("p", lambda x, i: F.concat_ws(" ", F.lit("v"), name(x, i), x["l_returnflag"]))
+    e = F.transform(F.expr("slice(p, 2, size(p))"), lambda x, i: F.concat_ws(" ", F.lit("e"), name(F.col("p")[0], F.lit(0)), name(x, i + 1), x["l_linenumber"]))
+    text = F.concat(F.array_join(v, "\n"), F.lit("\n"), F.array_join(e, "\n"))
+    vertices, edges = readers.parsed_gspan(rows.select("graph_id", text.alias("value")), nominal=True)
+    ends = edges.select("graph_id", F.col("dst").alias("vid"), "src", F.col("label").alias("edge"))
+    return vertices.join(ends, ["graph_id", "vid"], "left")
+
+
+QUERIES["q_gspan_nominal"] = gspan_nominal
+SQL["q_gspan_nominal"] = """SELECT l_orderkey AS graph_id, vid, l_returnflag AS label, CASE WHEN vid > 0 THEN 0 END AS src, CASE WHEN vid > 0 THEN CAST(l_linenumber AS VARCHAR) END AS edge
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag) - 1 AS INTEGER) AS vid FROM lineitem)"""
+
+
 def sdf(spark, d):
     """Orders as molecules: lines are atoms, those that follow one another are bound."""
     line = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("p")).withColumn("n", F.size("p"))

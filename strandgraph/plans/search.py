@@ -30,7 +30,7 @@ QUERIES["q_kernel_matrix"] = kernel
 SQL["q_kernel_matrix"] = I.query(*I.FEATURES, final="SELECT a.instance_id AS u, b.instance_id AS v, round(sum(a.val * b.val), 6) AS k FROM vec a JOIN vec b USING (fid) WHERE a.instance_id <= b.instance_id GROUP BY 1, 2")
 
 #: Kernels from here on are alike.
-ALIKE = 0.8
+ALIKE = 0.95
 QUERIES["q_kernel_above"] = lambda spark, d: S.kernel_above(I.vectors(spark, d), ALIKE)
 SQL["q_kernel_above"] = I.query(*I.FEATURES, final=f"SELECT a.instance_id AS u, b.instance_id AS v, round(sum(a.val * b.val), 6) AS k FROM vec a JOIN vec b USING (fid) WHERE a.instance_id <= b.instance_id GROUP BY 1, 2 HAVING round(sum(a.val * b.val), 6) >= {ALIKE}")
 

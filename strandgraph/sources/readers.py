@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandgraph.functions import residues as R
@@ -113,7 +113,7 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
     return ordered.select(F.col("instance_id").cast("long").alias("instance_id"), y.alias("y"))
 
 
-def gspan(spark: SparkSession, path: str, weights: bool = False, viewpoint: bool = False, coordinates: bool = False, absolute_id: bool = False) -> tuple[DataFrame, DataFrame]:
+def gspan(spark: SparkSession, path: str, weights: bool = False, viewpoint: bool = False, coordinates: bool = False, absolute_id: bool = False, nominal: bool = False) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of graphs that begin with a "t" line or after a blank line; other markers are ignored.
 
     Options name further columns: viewpoint (0 or 1) after the label, x y z, a second label, a weight after an edge's
@@ -121,13 +121,19 @@ def gspan(spark: SparkSession, path: str, weights: bool = False, viewpoint: bool
     """
     records = spark.read.option("lineSep", "\nt").text(path)
     graphs = rank(records.select(F.explode(F.split("value", r"\n[ \t]*\n")).alias("value")).where("value RLIKE '(?m)^v '"), "graph_id")
-    return parsed_gspan(graphs, weights, viewpoint, coordinates, absolute_id)
+    return parsed_gspan(graphs, weights, viewpoint, coordinates, absolute_id, nominal)
 
 
-def parsed_gspan(graphs: DataFrame, weights: bool = False, viewpoint: bool = False, coordinates: bool = False, absolute_id: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) of rows (graph_id, value)."""
-    lines = graphs.select("graph_id", F.explode(F.split("value", "\n")).alias("line")).select("graph_id", F.split(F.trim("line"), r"\s+").alias("f"))
-    v = lines.where("f[0] = 'v' AND size(f) > 2").select("graph_id", F.col("f")[1].cast("int").alias("vid"), F.col("f")[2].alias("label"), "f")
+def parsed_gspan(graphs: DataFrame, weights: bool = False, viewpoint: bool = False, coordinates: bool = False, absolute_id: bool = False, nominal: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of rows (graph_id, value).
+
+    nominal: ids may be any text; vertices are numbered from 0 in the order of their lines and edges' ends are mapped to
+    these numbers (of a repeated id the last one counts). An end that no vertex has is an error. Else ids are numbers.
+    """
+    lines = graphs.select("graph_id", F.posexplode(F.split("value", "\n")).alias("at", "line")).select("graph_id", "at", F.split(F.trim("line"), r"\s+").alias("f"))
+    v = lines.where("f[0] = 'v' AND size(f) > 2")
+    vid = (F.row_number().over(Window.partitionBy("graph_id").orderBy("at")) - 1) if nominal else F.col("f")[1].cast("int")
+    v = v.select("graph_id", vid.alias("vid"), F.col("f")[2].alias("label"), "f")
     at = 3
     if absolute_id:
         v = v.withColumn("absolute_id", F.get("f", F.lit(at)))
@@ -137,7 +143,15 @@ def parsed_gspan(graphs: DataFrame, weights: bool = False, viewpoint: bool = Fal
         at += 1
     if coordinates:
         v = v.withColumn("coord", F.transform(F.slice("f", at + 1, 3), lambda x: x.cast("double")))
-    e = lines.where("f[0] = 'e' AND size(f) > 2").select("graph_id", F.col("f")[1].cast("int").alias("src"), F.col("f")[2].cast("int").alias("dst"), F.coalesce(F.get("f", F.lit(3)), F.lit("")).alias("label"), "f")
+    e = lines.where("f[0] = 'e' AND size(f) > 2")
+    if nominal:
+        known = v.groupBy("graph_id", F.col("f")[1].alias("_id")).agg(F.max("vid").alias("_vid"))
+        for side, place in (("src", 1), ("dst", 2)):
+            e = e.withColumn("_id", F.col("f")[place]).join(known, ["graph_id", "_id"], "left")
+            e = e.withColumn(side, F.coalesce("_vid", F.raise_error(F.concat_ws(" ", F.lit("edge without vertex:"), "graph_id", "_id")).cast("int"))).drop("_id", "_vid")
+    else:
+        e = e.withColumns({"src": F.col("f")[1].cast("int"), "dst": F.col("f")[2].cast("int")})
+    e = e.select("graph_id", "src", "dst", F.coalesce(F.get("f", F.lit(3)), F.lit("")).alias("label"), "f")
     if weights:
         e = e.withColumn("weight", F.get("f", F.lit(4)).cast("double"))
     return v.drop("f"), e.drop("f")

@@ -184,7 +184,7 @@ def test_train_score_and_explain(spark):
     models, weights = models.cache(), weights.cache()
     got = api.score(v2, e2, models, weights, options).join(targets, "instance_id")
     assert got.count() == 16 and got.where("prediction <> y").count() == 0
-    parts = api.explain(v2, e2, models, weights, options).groupBy("instance_id").agg(F.count("*").alias("n"))
+    parts = api.explain(v2, e2, models, weights, options).groupBy("instance_id", "level").agg(F.count("*").alias("n"))
     assert parts.join(v2.groupBy(F.col("graph_id").alias("instance_id")).agg((F.count("*") / 2).alias("m")), "instance_id").where("n <> m").count() == 0
     rows, measures = api.validate(v2, e2, targets, Options(levels=((0, 0),), folds=2, epochs=3))
     assert rows.count() == 16 and measures.first().balanced_f > 0.9

@@ -77,6 +77,19 @@ def test_a_repeated_batch_counts_once(spark, tmp_path, mild):
     assert got.count() == len(_all(got)) and {r.batch for r in got.collect()} == {4}
 
 
+def test_a_batch_that_failed_half_way_is_taken_again(spark, tmp_path, mild, monkeypatch):
+    rows = [(i, t, "en", "x") for i, t in enumerate(_texts(20, 4))]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/in")
+    where = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp", mild
+    monkeypatch.setattr(screen, "read", lambda *_: 1 / 0)  # after the batch's folders are written, before it is committed
+    with pytest.raises(Exception, match="ZeroDivision"):
+        screen.run(spark, *where)
+    monkeypatch.undo()
+    assert screen.run(spark, *where) == 1
+    got = screen.read(spark, f"{tmp_path}/out")
+    assert _all(got) == _hits([r[:3] for r in rows], mild) and got.count() == len(_all(got)) and {r.batch for r in got.collect()} == {0}
+
+
 def test_files_are_split_into_batches(spark, tmp_path, mild):
     for k in range(3):
         spark.createDataFrame([(k, "PRKPRKPRKPRKPRK", "en", "x")], DOCS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")

@@ -139,6 +139,8 @@ def test_averaged_descent_over_shards(spark, points):
         w, b = w - (opts.lam * w - (y[off, None] * x[off]).sum(0) / 120) / (opts.lam * t), b + y[off].sum() / 120 / (100 * opts.lam * t)
         best = min(best, cost(w, b))
     assert cost(np.array([got[k] for k in range(5)]), got[-1]) < 1.05 * best
+    with pytest.raises(Exception, match="no target"):
+        train.sgd(feats, rows.withColumn("y", F.lit(0)), options=opts)
     plain = {r.fid: r.w for r in train.sgd(feats, rows, options=opts).collect()}
     assert plain.keys() == got.keys() and plain != got
     with pytest.raises(ValueError):
