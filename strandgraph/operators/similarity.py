@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from strandgraph.functions.hashing import minhash_family
 from strandgraph.functions.vectors import dot
 from strandgraph.operators import metrics, ranks
+from strandgraph.operators.train import SHUFFLE, shuffle_key
 from strandgraph.storage import materialize, small
 
 DIGITS = 6
@@ -523,9 +524,11 @@ def greedy_centres(density: DataFrame, vectors: DataFrame, sample: int = 10, res
 def sampled_centres(density: DataFrame, sample: int = 10, thin: int = 4, seed: int = 1) -> DataFrame:
     """(centre, rank): a sample with chances by density, of which every thin-th by density stays.
 
-    Weighted sampling by keys: the largest log(random) / density win, in one pass.
+    Weighted sampling by keys: the largest log(random) / density win, in one pass. Whole ids are shuffled by the portable
+    key of the trainer, others by a hash.
     """
-    unit = (F.pmod(F.xxhash64("u", F.lit(seed)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    whole = density.schema["u"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    unit = (shuffle_key("u", seed) + 1) / float(SHUFFLE + 1) if whole else (F.pmod(F.xxhash64("u", F.lit(seed)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
     won = density.where("density > 0").withColumn("key", F.log(unit) / F.col("density")).orderBy(F.desc("key"), "u").limit(sample * thin)
     ranked_ = won.withColumn("place", F.row_number().over(Window.orderBy(F.desc("density"), "u")))  # sample * thin rows
     return ranked_.where((F.col("place") - 1) % thin == 0).select(F.col("u").alias("centre"), (F.floor((F.col("place") - 1) / thin) + 1).cast("int").alias("rank"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandgraph.functions import hashing
 from strandgraph.functions import residues as R
 from strandgraph.functions import vectors as V
-from strandgraph.operators import encode, features, metrics, model, train
+from strandgraph.operators import encode, features, graph, metrics, model, train
 from strandgraph.plans import inputs as I
-from strandgraph.plans.inputs import MODELS
+from strandgraph.plans.inputs import MODELS, table
 
 QUERIES, SQL = {}, {}
 
@@ -144,13 +145,108 @@ SQL["q_self_training_round"] = I.query(
     final="SELECT instance_id, side AS y FROM s JOIN t USING (side) WHERE side > 0 AND margin >= hold OR side < 0 AND margin <= hold",
 )
 
-# Sequential learners have no SQL; tests hold them against a plain loop and a floor of accuracy.
+#: Documents as dense lists of the shares of A to Z.
+DENSE = "dense AS (SELECT instance_id, [" + ", ".join(f"coalesce(sum(val) FILTER (fid = {k}), 0)" for k in range(65, 91)) + "] AS x FROM letters GROUP BY 1)"
+
+
+def sgd_sql(name: str, items: str, by: str = "model", epochs: int = 10, lam: float = 1e-4) -> tuple[str, ...]:
+    """{name} (by, w, b): linear models by the plain loop over items (by, instance_id, y, slot, x), step by step.
+
+    Hinge loss: the weights shrink, then move towards an item on the wrong side of its margin; the first count of steps
+    is that of the trainer.
+    """
+    first = 1 / ((1 / lam**0.5) ** 0.5 * lam)
+    rate = f"(1e0 / ({lam!r} * ({first!r} + step)))"
+    shrink = f"(1 - {rate} * {lam!r})"
+    move = f"CASE WHEN y * (list_dot_product(w, x) * {shrink} + b) < 1 THEN {rate} * y ELSE 0e0 END"
+    return (
+        f"{name}_i AS MATERIALIZED (SELECT {by}, x, y, row_number() OVER (PARTITION BY {by} ORDER BY slot, instance_id) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM ({items}))",
+        f"{name}_w AS (SELECT DISTINCT {by}, CAST(0 AS BIGINT) AS step, n, list_transform(range(26), lambda k: 0e0) AS w, 0e0 AS b FROM {name}_i UNION ALL SELECT {by}, step + 1, n, list_transform(range(1, 27), lambda k: w[k] * shrink + move * x[k]), b + 0.01 * move "
+        f"FROM (SELECT r.{by}, step, r.n, w, b, x, {shrink} AS shrink, {move} AS move FROM {name}_w r JOIN {name}_i i ON i.{by} = r.{by} AND i.i = r.step % r.n WHERE step < {epochs} * r.n))",
+        f"{name} AS (SELECT {by}, w, b FROM {name}_w WHERE step = {epochs} * n)",
+    )
+
+
+SLOT = KEY.replace("doc_id", "instance_id")
 QUERIES["q_sgd_train_cv"] = lambda spark, d: train.cross_validation(I.letters(spark, d), I.targets(spark, d), train.Options()).select("instance_id", "fold", "y", "prediction", F.round("margin", 6).alias("margin"))
+SQL["q_sgd_train_cv"] = I.query(
+    I.SEQ, I.TGT, I.LETTERS, DENSE,
+    f"fo AS (SELECT instance_id, y, x, {SLOT} AS slot, CAST(row_number() OVER (PARTITION BY y ORDER BY {SLOT}, instance_id) % 10 AS INTEGER) AS fold FROM tgt LEFT JOIN dense USING (instance_id) WHERE y <> 0)",
+    *sgd_sql("cv", "SELECT CAST(held AS INTEGER) AS held, instance_id, y, slot, x FROM fo, (SELECT unnest(range(0, 10)) AS held) WHERE fold <> held AND x IS NOT NULL", "held"),
+    "m AS (SELECT instance_id, fold, y, coalesce(list_dot_product(w, x), 0) + b AS margin FROM fo JOIN cv ON held = fold)",
+    final="SELECT instance_id, fold, y, CASE WHEN margin >= 0 THEN 1 ELSE -1 END AS prediction, round(margin, 6) AS margin FROM m",
+)
 QUERIES["q_learning_curve"] = lambda spark, d: train.learning_curve(I.letters(spark, d), I.targets(spark, d), train.Options()).select("point", "instance_id", "y", F.round("margin", 6).alias("margin"))
+SQL["q_learning_curve"] = I.query(
+    I.SEQ, I.TGT, I.LETTERS, DENSE,
+    f"pl AS (SELECT instance_id, y, x, {SLOT} AS slot, row_number() OVER (ORDER BY {SLOT}, instance_id) - 1 AS i, count(*) OVER () AS n FROM tgt LEFT JOIN dense USING (instance_id) WHERE y <> 0)",
+    "pt AS (SELECT *, CAST(unnest(range(1, 10)) AS INTEGER) AS point FROM pl)",
+    *sgd_sql("lc", "SELECT point, instance_id, y, slot, x FROM pt WHERE i >= n // 10 AND i < n * (point + 1) // 10 AND x IS NOT NULL", "point"),
+    final="SELECT pt.point, instance_id, y, round(coalesce(list_dot_product(w, x), 0) + b, 6) AS margin FROM pt JOIN lc USING (point) WHERE i < n // 10",
+)
 QUERIES["q_self_training"] = lambda spark, d: train.self_training(I.letters(spark, d), I.targets(spark, d), train.Options(quantile=0.3)).select("model", "fid", F.round("w", 6).alias("w"))
+
+
+def _self_training_sql(rounds: int = 3, quantile: float = 0.3) -> str:
+    """Each round learns from the labelled and from those unlabelled that the round before was sure of."""
+    parts = [f"al AS (SELECT instance_id, y, x, {SLOT} AS slot FROM tgt LEFT JOIN dense USING (instance_id))"]
+    more = "SELECT 0 AS model, instance_id, y, slot, x FROM al WHERE y <> 0 AND x IS NOT NULL"
+    for k in range(rounds):
+        parts += sgd_sql(f"st{k}", more)
+        parts += [
+            f"fr{k} AS (SELECT instance_id, slot, x, coalesce(list_dot_product(w, x), 0) + b AS margin FROM al, st{k} WHERE y = 0)",
+            f"ra{k} AS (SELECT *, CASE WHEN margin > 0 THEN 1 ELSE -1 END AS side, row_number() OVER (PARTITION BY margin > 0 ORDER BY margin) - 1 AS i, count(*) OVER (PARTITION BY margin > 0) AS n FROM fr{k})",
+            f"li{k} AS (SELECT side, min(margin) AS hold FROM ra{k} WHERE i = CAST(floor((n - 1) * CASE WHEN side > 0 THEN {1 - quantile} ELSE {quantile} END) AS BIGINT) GROUP BY side)",
+            f"su{k} AS (SELECT instance_id, side AS y, slot, x FROM ra{k} JOIN li{k} USING (side) WHERE side > 0 AND margin >= hold OR side < 0 AND margin <= hold)",
+        ]
+        more = f"SELECT 0 AS model, instance_id, y, slot, x FROM al WHERE y <> 0 AND x IS NOT NULL UNION ALL SELECT 0, instance_id, y, slot, x FROM su{k} WHERE x IS NOT NULL"
+    last = f"st{rounds - 1}"
+    return I.query(I.SEQ, I.TGT, I.LETTERS, DENSE, *parts, final=f"SELECT 0 AS model, CAST(k + 64 AS BIGINT) AS fid, round(w[k], 6) AS w FROM {last}, (SELECT unnest(range(1, 27)) AS k) WHERE w[k] <> 0 UNION ALL SELECT 0, -1, round(b, 6) FROM {last}")
+
+
+SQL["q_self_training"] = _self_training_sql()
+
+
+def cascade_training(spark, d):
+    """Weights and thresholds (fid -2 and -3) of two levels, the second learned from what the first leaves undecided."""
+    found, limits = train.cascade_train([I.letters(spark, d)] * 2, I.targets(spark, d), train.Options())
+    marks = limits.select("level", F.explode(F.array(F.struct(F.lit(-2).alias("fid"), F.col("pos_thr").alias("w")), F.struct(F.lit(-3).alias("fid"), F.col("neg_thr").alias("w")))).alias("x"))
+    rows = found.select("level", "fid", "w").unionByName(marks.select("level", F.col("x.fid").cast("long").alias("fid"), F.col("x.w").alias("w")))
+    return rows.select("level", "fid", F.round("w", 6).alias("w"))
+
+
+def balance_sql(name: str, source: str) -> tuple[str, ...]:
+    """{name}: the rows of source (instance_id, y, x) in balanced copies with slot."""
+    return (
+        f"{name}_k AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {SLOT}, instance_id) - 1 AS i FROM {source}), {name}_s AS (SELECT count(*) FILTER (y > 0) AS p, count(*) FILTER (y < 0) AS m FROM {source})",
+        f"{name}_o AS (SELECT *, CASE WHEN y > 0 THEN p ELSE m END AS own, CASE WHEN y > 0 THEN m ELSE p END AS other FROM {name}_k, {name}_s)",
+        f"{name}_c AS (SELECT *, CASE WHEN own < other THEN other // own + CASE WHEN i < other % own THEN 1 ELSE 0 END ELSE 1 END AS copies FROM {name}_o)",
+        f"{name} AS (SELECT 0 AS model, instance_id, y, x, 2 * (copy_no * own + i) + CASE WHEN y > 0 THEN 0 ELSE 1 END AS slot FROM (SELECT *, unnest(range(0, copies)) AS copy_no FROM {name}_c))",
+    )
+
+
+QUERIES["q_cascade_train"] = cascade_training
+SQL["q_cascade_train"] = I.query(
+    I.SEQ, I.TGT, I.LETTERS, DENSE, "l0 AS (SELECT instance_id, y, x FROM tgt LEFT JOIN dense USING (instance_id) WHERE y <> 0)",
+    *balance_sql("b0", "l0"), *sgd_sql("c0", "SELECT * FROM b0 WHERE x IS NOT NULL"),
+    "m0 AS (SELECT instance_id, y, x, coalesce(list_dot_product(w, x), 0) + b AS margin FROM l0, c0)",
+    "z0 AS (SELECT count(*) AS n, count(*) FILTER (margin < 0) AS z, min(margin) AS low, max(margin) AS high FROM m0), r0 AS (SELECT margin, row_number() OVER (ORDER BY margin) - 1 AS i FROM m0)",
+    "t0 AS (SELECT CASE WHEN z = n THEN high WHEN z = 0 THEN low ELSE (SELECT margin FROM r0 WHERE i = CAST(floor(n - (n - z) * 0.5) AS BIGINT)) END AS p, CASE WHEN z = n THEN high WHEN z = 0 THEN low ELSE (SELECT margin FROM r0 WHERE i = CAST(floor(z * 0.5) AS BIGINT)) END AS q FROM z0)",
+    "l1 AS (SELECT instance_id, y, x FROM m0, t0 WHERE margin < p AND margin >= q)", *balance_sql("b1", "l1"), *sgd_sql("c1", "SELECT * FROM b1 WHERE x IS NOT NULL"),
+    "w AS (SELECT 0 AS level, w, b FROM c0 UNION ALL SELECT 1, w, b FROM c1)",
+    final="SELECT level, CAST(k + 64 AS BIGINT) AS fid, round(w[k], 6) AS w FROM w, (SELECT unnest(range(1, 27)) AS k) WHERE w[k] <> 0 UNION ALL SELECT level, -1, round(b, 6) FROM w UNION ALL SELECT 0, -2, round(p, 6) FROM t0 UNION ALL SELECT 0, -3, round(q, 6) FROM t0 UNION ALL SELECT 1, unnest([-2, -3]), 0e0",
+)
 QUERIES["q_one_class_negatives"] = lambda spark, d: train.one_class_negatives(I.letters(spark, d)).select("instance_id", "fid", F.round("val", 6).alias("val"))
 
 
+SQL["q_one_class_negatives"] = I.query(
+    I.SEQ, I.LETTERS, "pl AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY fid) AS i FROM letters)",
+    "dl AS (SELECT *, ((instance_id * 131 + i * 17) % 1000003 * 7921 + 104729) % 1000003 AS h FROM pl)",
+    "dn AS (SELECT i, fid, val, row_number() OVER (PARTITION BY i ORDER BY h, instance_id) AS place FROM dl), tk AS (SELECT i, instance_id, row_number() OVER (PARTITION BY i ORDER BY instance_id) AS place FROM dl)",
+    final="SELECT -instance_id - 1 AS instance_id, fid, round(max(val), 6) AS val FROM tk JOIN dn USING (i, place) GROUP BY 1, 2",
+)
+
+
 def losses(spark, d):
     """All losses and slopes over the margins of labelled documents."""
     rows = _letter_margin(spark, d).where("y <> 0").withColumn("z", F.col("y") * F.col("margin") * 10)
@@ -187,6 +283,70 @@ QUERIES["q_sparse_dot"] = lambda spark, d: V.sparse_dot(I.letters(spark, d), I.l
 SQL["q_sparse_dot"] = I.query(I.SEQ, I.LETTERS, final="SELECT instance_id, round(coalesce(sum(val * val) FILTER (fid % 2 = 1), 0), 6) AS dot FROM letters GROUP BY 1")
 
 
+def sparse_pairs(spark, d):
+    """Single components, ranges, thresholds and products of packed letter shares, in thousandths."""
+    p = V.pack(I.letters(spark, d).withColumn("val", F.round(F.col("val") * 1000)), "instance_id")
+    ramp = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: i / 100)
+    x, without = F.col("pairs"), V.with_component(F.col("pairs"), 69, 0.0)
+    return p.select(
+        "instance_id", V.component(x, F.lit(69)).alias("e"), F.size(without).alias("others"), F.size(V.with_component(without, 3, 1.5)).alias("more"), F.size(V.between(x, 70, 80)).alias("middle"),
+        F.size(V.trimmed(x, 50.0)).alias("common"), F.round(V.sparse_dense_dot(x, ramp), 6).alias("dot"), F.round(V.sparse_dense_dot(x, F.slice(ramp, 1, 75)), 6).alias("short"),
+    )
+
+
+QUERIES["q_sparse_pairs"] = sparse_pairs
+SQL["q_sparse_pairs"] = I.query(
+    I.SEQ, I.LETTERS, "sh AS (SELECT instance_id, fid, round(val * 1000) AS val FROM letters WHERE round(val * 1000) <> 0)",
+    final="SELECT instance_id, coalesce(sum(val) FILTER (fid = 69), 0) AS e, CAST(count(*) FILTER (fid <> 69) AS INTEGER) AS others, CAST(count(*) FILTER (fid <> 69) + 1 AS INTEGER) AS more, CAST(count(*) FILTER (fid BETWEEN 70 AND 80) AS INTEGER) AS middle, CAST(count(*) FILTER (val >= 50) AS INTEGER) AS common, round(sum(val * fid / 1e2), 6) AS dot, round(coalesce(sum(val * fid / 1e2) FILTER (fid < 75), 0), 6) AS short FROM sh GROUP BY 1",
+)
+
+
+def average_direction(spark, d):
+    """The mean of the first three components of each ten embeddings, zero where they cancel."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("g"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("x"))
+    mean = e.groupBy("g").agg(V.average_direction(F.collect_list("x")).alias("m"))
+    return mean.select("g", *[F.round(F.col("m")[k], 6).alias(f"x{k}") for k in range(3)])
+
+
+QUERIES["q_average_direction"] = average_direction
+SQL["q_average_direction"] = """WITH e AS (SELECT vec_id // 10 AS g, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
+    m AS (SELECT g, avg(a) AS a, avg(b) AS b, avg(c) AS c, max(a * a + b * b + c * c) AS most FROM e GROUP BY 1), z AS (SELECT *, CASE WHEN a * a + b * b + c * c >= 0.05 * most AND most > 0 THEN 1 ELSE 0 END AS ok FROM m)
+    SELECT g, CASE WHEN ok = 1 THEN round(a, 6) ELSE 0e0 END AS x0, CASE WHEN ok = 1 THEN round(b, 6) ELSE 0e0 END AS x1, CASE WHEN ok = 1 THEN round(c, 6) ELSE 0e0 END AS x2 FROM z"""
+
+
+def labels(spark, d):
+    """Values cast where they can be, labels joined, rolling hashes and order of pairs of parts and lines."""
+    parts = table(spark, d, "part")
+    code = F.split_part("p_type", F.lit(" "), F.lit(1))
+    low, high = R.ordered_pair(F.col("p_brand"), F.col("p_type"))
+    mixed = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("string")).otherwise(code)
+    out = parts.select("p_partkey", R.cast_or_null(mixed, "int").alias("number"), graph.joined_label(F.array("p_brand", "p_type")).alias("hard"), graph.joined_label(F.array("p_brand", "p_type"), True).alias("soft"), low.alias("low"), high.alias("high"), hashing.rolling_hash_string("p_type").alias("rolling"))
+    return out
+
+
+QUERIES["q_label_functions"] = labels
+SQL["q_label_functions"] = f"""WITH RECURSIVE t AS (SELECT DISTINCT p_type AS text FROM part),
+    r AS (SELECT text, 0 AS i, CAST(0 AS HUGEINT) AS h, CAST({hashing.ROLL_A} AS HUGEINT) AS a FROM t UNION ALL SELECT text, i + 1, (h * a + ascii(substr(text, i + 1, 1))) % 4294967296, (a * {hashing.ROLL_B}) % 4294967296 FROM r WHERE i < len(text))
+    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS INTEGER) END AS number, p_brand || '.' || p_type AS hard, p_brand AS soft, least(p_brand, p_type) AS low, greatest(p_brand, p_type) AS high, CAST(h % 2147483648 AS BIGINT) AS rolling FROM part JOIN r ON text = p_type AND i = len(text)"""
+
+
+def norms(spark, d):
+    """Lengths of models of the languages' letters, and of one that has none."""
+    docs = I.sequences(spark, d).select(F.col("id").alias("instance_id"), "lang")
+    n = I.letters(spark, d).join(docs, "instance_id").groupBy(F.col("lang").alias("model"), "fid").agg(F.avg("val").alias("w")).withColumn("level", F.lit(0))
+    heads = n.select("model", "level").distinct().unionByName(spark.createDataFrame([("none", 0)], "model string, level int")).withColumn("wscale", F.lit(2.0))
+    return model.model_norms(n, heads).select("model", "level", F.round("norm", 6).alias("norm"), "good")
+
+
+QUERIES["q_model_norms"] = norms
+SQL["q_model_norms"] = I.query(
+    I.SEQ, I.LETTERS, "w AS (SELECT lang, fid, avg(val) AS w FROM letters JOIN seqs ON id = instance_id GROUP BY 1, 2)",
+    final="SELECT lang AS model, 0 AS level, round(2 * sqrt(sum(w * w)), 6) AS norm, true AS good FROM w GROUP BY 1 UNION ALL SELECT 'none', 0, 0e0, false",
+)
+QUERIES["q_out_edges"] = lambda spark, d: graph.out_edge(table(spark, d, "lineitem").select((F.col("l_orderkey") % 100).alias("graph_id"), (F.col("l_suppkey") % 20).alias("src"), (F.col("l_partkey") % 20).alias("dst"), F.concat("l_returnflag", "l_linestatus").alias("label")))
+SQL["q_out_edges"] = "SELECT l_orderkey % 100 AS graph_id, l_suppkey % 20 AS src, l_partkey % 20 AS dst, min(l_returnflag || l_linestatus) AS label FROM lineitem GROUP BY 1, 2, 3"
+
+
 def dense(spark, d):
     """Arithmetic of dense vectors over embeddings."""
     e = I.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))

@@ -170,10 +170,25 @@ def greedy(spark, d):
     return S.greedy_centres(S.neighbourhood_density(near), table(spark, d, "embeddings"))
 
 
-# Random choices have no SQL; tests hold the first against a plain loop.
+# The swaps' random choices have no SQL; a test holds them against a plain loop.
 QUERIES["q_greedy_centres"] = greedy
 QUERIES["q_sampled_centres"] = lambda spark, d: S.sampled_centres(S.neighbourhood_density(_knn(spark, d)))
+SQL["q_sampled_centres"] = I.query(
+    EMB, KNN, "de AS (SELECT u, sum(k) FILTER (u <> v) / nullif(count(*) - 1, 0) AS density FROM knn GROUP BY 1)",
+    "wo AS (SELECT u, density FROM de WHERE density > 0 ORDER BY ln((((u % 1000003) * 7921 + 104729) % 1000003 + 1) / 1000004e0) / density DESC, u LIMIT 40)",
+    "pl AS (SELECT u, row_number() OVER (ORDER BY density DESC, u) - 1 AS i FROM wo)",
+    final="SELECT u AS centre, CAST(i // 4 + 1 AS INTEGER) AS rank FROM pl WHERE i % 4 = 0",
+)
 QUERIES["q_data_filter"] = lambda spark, d: S.filtered(I.letters(spark, d).where("val > 0"))
+SQL["q_data_filter"] = I.query(
+    I.SEQ, I.LETTERS, "ls AS (SELECT * FROM letters WHERE val > 0)", MIN.format("ls").replace("range(0, 30)", "range(0, 200)"), BINS,
+    "nn AS (SELECT u, v FROM bins QUALIFY row_number() OVER (PARTITION BY u ORDER BY shared DESC, v) <= 10)",
+    "pr AS (SELECT DISTINCT a.v AS a, b.v AS b FROM nn a JOIN nn b USING (u) WHERE a.v <> b.v), kk AS (SELECT a, b, sum(x.val * y.val) AS k FROM pr JOIN ls x ON x.instance_id = a JOIN ls y ON y.instance_id = b AND y.fid = x.fid GROUP BY 1, 2)",
+    "de AS (SELECT a.u, round(sum(coalesce(k, 0)) / count(*), 6) AS density FROM nn a JOIN nn b USING (u) LEFT JOIN kk ON kk.a = a.v AND kk.b = b.v WHERE a.v <> b.v GROUP BY 1)",
+    "po AS (SELECT u, row_number() OVER (ORDER BY density DESC, u) AS place, count(*) OVER () AS n FROM de), half AS (SELECT po.u, place, list(v) AS near FROM po JOIN nn USING (u) WHERE place <= floor(n * 0.5) GROUP BY 1, 2)",
+    "pick AS (SELECT 0 AS i, CAST(0 AS BIGINT) AS u, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS seen UNION ALL SELECT i + 1, x.u, x.place, list_concat(seen, x.near) FROM pick, LATERAL (SELECT min({'place': place, 'u': o.u, 'near': near}) AS x FROM half o WHERE o.place > pick.place AND len(list_intersect(o.near, pick.seen)) <= 1) WHERE i < 1000 AND x IS NOT NULL)",
+    final="SELECT u AS instance_id FROM pick WHERE i > 0",
+)
 #: The order in which centres of splits are drawn.
 DRAWN = "(vec_id * 7919 + 104729) % 10007"
 

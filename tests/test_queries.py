@@ -15,7 +15,7 @@ TABLES = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 #: These run over the graphs of a few items, made from the driver's table; all others over whole tables.
 FEW = {"q_kernel_matrix", "q_lsh_candidates", "q_approx_knn", "q_min_kernel", "q_vertex_margin", "q_extreme_vertices", "q_cascade_predict", "q_score_pivot", "q_bounded_distances", "q_shortest_path_union"}
 FEW |= {"q_alias_features", "q_gapped_features", "q_viewpoint_features", "q_features_unnormalised", "q_feature_collisions", "q_approx_knn_vote"}
-FEW |= {"q_composite_features", "q_features_r3_d5", "q_path_features", "q_soft_path_features", "q_approximate_soft_features", "q_radius2_codes", "q_approximate_codes"}
+FEW |= {"q_kernel_above", "q_composite_features", "q_features_r3_d5", "q_path_features", "q_soft_path_features", "q_approximate_soft_features", "q_radius2_codes", "q_approximate_codes"}
 
 pytestmark = pytest.mark.skipif(not TABLES.is_dir(), reason="no driver tables")
 
