@@ -54,7 +54,7 @@ def screen_batch(batch: DataFrame, number: int, output: str, settings: dict) ->
     counted = rows.groupBy("part", "profile").agg(F.count("*").alias("windows"), F.count_if(F.col("decision") == 1).alias("hits"), F.count_if(F.col("decision") == 0).alias("undecided"))
     counted.write.mode("overwrite").partitionBy("part").parquet(totals)
     wrote = read(batch.sparkSession, output, "totals").where(F.col("batch") == number).agg(F.sum("windows"), F.sum("hits")).first()
-    log.info("screen: batch %d read %d records, scored %d windows, wrote %d hits to %s", number, records.count(), wrote[0] or 0, wrote[1] or 0, hits)
+    log.info("screen: batch %d read %d records, made %d scores of windows, wrote %d hits to %s", number, records.count(), wrote[0] or 0, wrote[1] or 0, hits)
 
 
 def read(spark: SparkSession, output: str, name: str = "hits") -> DataFrame:
