@@ -83,7 +83,7 @@ def codes(v: DataFrame, e: DataFrame, radius: int, dist: DataFrame | None = None
 
 def _wide_codes(v: DataFrame, e: DataFrame, radii: list[int], approximate: bool = False, raw: DataFrame | None = None, dist: DataFrame | None = None) -> DataFrame:
     """(graph_id, vid, r, code) of radii from 2 on: graph by graph, by joins for graphs too large for one place."""
-    large = materialize(W.large(v, e), "large")
+    large = materialize(W.large(v, e, max(radii) * (2 if approximate else 1)), "large")
     if large.isEmpty():
         return W.codes(v, e, radii, raw, approximate)
     small = lambda rows: rows.join(large, "graph_id", "left_anti")
@@ -242,7 +242,7 @@ def _path_blocks(distance: int, thickness: int) -> Column:
 
 def path_codes(v: DataFrame, e: DataFrame, distance: int, thickness: int = 0) -> DataFrame:
     """(graph_id, d, t, src, dst, code) of the union of shortest paths of each pair, thickened by balls."""
-    large = materialize(W.large(v, e), "large")
+    large = materialize(W.large(v, e, max(distance, thickness, 1)), "large")
     if large.isEmpty():
         return W.path_codes(v, e, distance, thickness)
     small = lambda rows: rows.join(large, "graph_id", "left_anti")

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +18,20 @@ from strandgraph.functions.hashing import ap_hash
 from strandgraph.operators import graph as G
 from strandgraph.storage import importable
 
-#: Vertices and edges of a graph that is worked on in one place; codes that a worker remembers.
-LARGEST, KEPT = 50_000, 500_000
+#: Vertices and edges of a graph that is worked on in one place, the members of all its neighbourhoods, rows handed on at
+#: once, and codes that a worker remembers.
+LARGEST, REACH, ROWS, KEPT = 50_000, 4_000_000, 50_000, 500_000
 
 
-def large(v: DataFrame, e: DataFrame) -> DataFrame:
-    """(graph_id) of graphs beyond LARGEST."""
-    both = v.select("graph_id").unionAll(e.select("graph_id"))
-    return both.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > LARGEST).select("graph_id")
+def large(v: DataFrame, e: DataFrame, far: int = 2) -> DataFrame:
+    """(graph_id) of graphs beyond LARGEST, or whose neighbourhoods of so many steps may have over REACH members in all.
+
+    A neighbourhood has no more members than the graph, or than the largest number of ways out of any vertex allows.
+    """
+    nodes = v.groupBy("graph_id").agg(F.count("*").alias("n"))
+    ways = e.groupBy("graph_id", "src").agg(F.count("*").alias("w")).groupBy("graph_id").agg(F.max("w").alias("w"), F.sum("w").alias("m"))
+    sizes = nodes.join(ways, "graph_id", "left").fillna(0, ["w", "m"])
+    return sizes.where((F.col("n") + F.col("m") > LARGEST) | (F.col("n") * F.least("n", F.pow(F.col("w") + 1, F.lit(far))) > REACH)).select("graph_id")
 
 
 class Coder:
@@ -135,16 +140,24 @@ def _each_graph(v: DataFrame, e: DataFrame, raw: DataFrame | None, made, names:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                counts, rows = [], []
-                for vids, labels, *edges in zip(*[part.column(k).to_pylist() for k in range(1, 6)], strict=True):
-                    before = len(rows)
-                    rows += made(coder, vids, labels, list(zip(*edges, strict=True)))
-                    counts.append(len(rows) - before)
+            whose, rows = [], []
+
+            def told(batch: pa.RecordBatch = batch, whose: list = whose, rows: list = rows) -> pa.RecordBatch:
                 columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-                keys = part.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-                yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, (_, t) in zip(columns, types, strict=True)]], ["graph_id", *names])
+                keys = batch.column(0).take(pa.array(whose, pa.int64()))
+                out = pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, (_, t) in zip(columns, types, strict=True)]], ["graph_id", *names])
+                whose.clear()
+                rows.clear()
+                return out
+
+            for i in range(batch.num_rows):
+                vids, labels, *edges = (batch.column(k)[i].as_py() for k in range(1, 6))
+                for row in made(coder, vids, labels, list(zip(*edges, strict=True))):
+                    whose.append(i)
+                    rows.append(row)
+                    if len(rows) >= ROWS:
+                        yield told()
+            yield told()
 
     schema = ", ".join([f"graph_id {v.schema['graph_id'].dataType.simpleString()}", *[f"{n} {t}" for n, (t, _) in zip(names, types, strict=True)]])
     return whole.mapInArrow(run, schema)

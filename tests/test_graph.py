@@ -125,6 +125,7 @@ def test_whole_graphs_and_joins_agree(spark, monkeypatch):
     monkeypatch.setattr(whole, "LARGEST", 10)  # the longer peptide's graph goes by joins
     assert whole.large(v, e).count() == 1 and made() == together
     monkeypatch.setattr(whole, "KEPT", 3)
+    monkeypatch.setattr(whole, "ROWS", 3)  # rows are handed on in the midst of a graph
     monkeypatch.setattr(whole, "LARGEST", 10**6)
     assert made() == together
 
@@ -202,3 +203,12 @@ def test_costlier_codes_cover_every_peptide(spark, tmp_path):
         assert set(codes) == ids and all(sorted(c) == list(range(1, 61)) for c in codes.values())
         assert codes["a-1-15"] == codes["b-1-15"] != codes["a-6-20"]
     assert {r.instance_id for r in plans.QUERIES["q_path_features"](spark, str(tmp_path)).collect()} == ids
+
+
+def test_stars_go_by_joins(spark):
+    star = lambda name, n: ([(name, i, "x") for i in range(n)], [(name, a, b, "") for i in range(1, n) for a, b in ((0, i), (i, 0))])
+    (v1, e1), (v2, e2) = star("small", 50), star("wide", 2500)
+    v = spark.createDataFrame(v1 + v2, "graph_id string, vid int, label string")
+    e = spark.createDataFrame(e1 + e2, "graph_id string, src int, dst int, label string")
+    assert [r.graph_id for r in whole.large(v, e, 2).collect()] == ["wide"]
+    assert whole.large(v, e, 1).count() == 1 and whole.large(v, e.limit(0), 2).count() == 0
