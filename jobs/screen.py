@@ -73,12 +73,16 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, settings
     kind = {"id": "long", "text": "string", "group": "string"}
     schema = ", ".join(f"`{name}` {kind[key]}" for key, name in settings["columns"].items())
     stream = spark.readStream.schema(schema).format(settings["format"]).option("maxFilesPerTrigger", settings["files_per_batch"]).load(source)
-    write = stream.writeStream.foreachBatch(lambda df, n: screen_batch(df, n, output, settings))
-    query = write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    made = sum(p.numInputRows > 0 for p in query.recentProgress)
-    log.info("screen: %d batches with new records from %s", made, source)
-    return made
+    made: list[int] = []
+
+    def take(batch: DataFrame, number: int) -> None:
+        screen_batch(batch, number, output, settings)
+        made.append(number)
+
+    write = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    write.trigger(availableNow=True).start().awaitTermination()
+    log.info("screen: %d batches of new records from %s", len(made), source)
+    return len(made)
 
 
 def main(arguments: list[str] | None = None) -> None:
