@@ -34,17 +34,24 @@ def class_sizes(df: DataFrame, target: str = "y") -> DataFrame:
     return n.crossJoin(F.broadcast(top)).select(target, "n", (F.col("top") / F.col("n")).alias("factor"))  # one row
 
 
-def statistics(df: DataFrame, value: str, by: Sequence[str] = (), null: float | None = -1.0, orders: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+def statistics(df: DataFrame, value: str, by: Sequence[str] = (), null: float | None = -1.0, orders: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95), weight: str | None = None) -> DataFrame:
     """num, total, mean, sd, least, most, the order statistics at floor(n * q), and mad, the median distance to the median.
 
-    Values equal to null don't count. Order statistics come from ranks, so no group is gathered in memory.
+    Values equal to null don't count. Order statistics come from ranks, so no group is gathered in memory. A row counts as often as
+    its weight, a whole number from 1, says.
     """
     rows = df.where(F.col(value).isNotNull() & (F.lit(null is None) | (F.col(value) != F.lit(null))))
-    rows = rows.select(*by, F.col(value).cast("double").alias("x"))
-    base = rows.groupBy(*by).agg(F.count("*").alias("num"), F.sum("x").alias("total"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("least"), F.max("x").alias("most"))
+    rows = rows.select(*by, F.col(value).cast("double").alias("x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+    if weight is None:
+        base = rows.groupBy(*by).agg(F.count("*").alias("num"), F.sum("x").alias("total"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("least"), F.max("x").alias("most"))
+    else:
+        sums = rows.groupBy(*by).agg(F.sum("_w").alias("num"), F.sum(F.col("x") * F.col("_w")).alias("total"), F.min("x").alias("least"), F.max("x").alias("most"))
+        sums = sums.withColumn("mean", F.col("total") / F.col("num"))
+        apart = (rows.join(sums, list(by)) if by else rows.crossJoin(F.broadcast(sums))).groupBy(*by).agg(F.sum(F.col("_w") * F.pow(F.col("x") - F.col("mean"), F.lit(2))).alias("_far"))
+        base = (sums.join(apart, list(by)) if by else sums.crossJoin(F.broadcast(apart))).withColumn("sd", F.sqrt(F.expr("_far / nullif(num - 1, 0)"))).select(*by, "num", "total", "mean", "sd", "least", "most")
     found = _ordered(rows, base.select(*by, "num"), by, orders, "q")
     median = found.select(*by, F.col("q50").alias("_median"))
-    apart = (rows.join(median, list(by)) if by else rows.crossJoin(F.broadcast(median))).select(*by, F.abs(F.col("x") - F.col("_median")).alias("x"))
+    apart = (rows.join(median, list(by)) if by else rows.crossJoin(F.broadcast(median))).select(*by, F.abs(F.col("x") - F.col("_median")).alias("x"), "_w")
     mad = _ordered(apart, base.select(*by, "num"), by, [0.5], "m").withColumnRenamed("m50", "mad")
     for more in (found, mad):
         base = base.join(more, list(by)) if by else base.crossJoin(F.broadcast(more))
@@ -53,7 +60,7 @@ def statistics(df: DataFrame, value: str, by: Sequence[str] = (), null: float |
 
 def _ordered(rows: DataFrame, sizes: DataFrame, by: Sequence[str], orders: Sequence[float], name: str) -> DataFrame:
     """The values at 0-based places floor(n * q): equal values are counted first, so a place is found among distinct values."""
-    counted = rows.groupBy(*by, "x").agg(F.count("*").alias("_c"))
+    counted = rows.groupBy(*by, "x").agg(F.sum("_w").alias("_c"))
     keyed = counted if by else counted.withColumn("_all", F.lit(0))
     counted = ranked(keyed, by or ["_all"], ["x"], "_i", {"_less": F.col("_c")}).withColumn("_upto", F.col("_less") + F.col("_c"))
     counted = counted.join(sizes, list(by)) if by else counted.crossJoin(F.broadcast(sizes))

@@ -320,18 +320,20 @@ def reranked(candidates: DataFrame, features: DataFrame, k: int) -> DataFrame:
 
 
 def signatures(features: DataFrame, hashes: int = 30, compact: int = 1) -> DataFrame:
-    """(instance_id, k, minhash): the least hash of an instance's features for each hash function; groups of compact added up."""
-    spread = features.select("instance_id", "fid").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
-    least = spread.groupBy("instance_id", "k").agg(F.min(minhash_family(F.col("k"), F.col("fid"))).alias("minhash"))
-    if compact == 1:
-        return least
-    return least.groupBy("instance_id", F.floor(F.col("k") / compact).cast("int").alias("k")).agg(F.sum("minhash").alias("minhash"))
+    """(instance_id, k, minhash): the least hash of an instance's features for each hash function; groups of compact added up.
+
+    Features are shuffled once, before they are hashed; an instance's hashes are least values of one row. Repeated features count once.
+    """
+    dealt = features.select("instance_id", "fid").repartition("instance_id")
+    least = dealt.groupBy("instance_id").agg(*[F.min(minhash_family(F.lit(k), F.col("fid"))).alias(f"_{k}") for k in range(hashes)])
+    sums = [sum((F.col(f"_{k}") for k in range(i + 1, min(i + compact, hashes))), F.col(f"_{i}")) for i in range(0, hashes, compact)]
+    return least.select("instance_id", F.posexplode(F.array(*sums)).alias("k", "minhash"))
 
 
 def bin_statistics(bins: DataFrame) -> DataFrame:
     """Statistics of the sizes of the bins, each bin counted once for every instance in it."""
-    sizes = bin_sizes(bins).withColumnRenamed("n", "size")
-    return metrics.statistics(bins.join(sizes, ["k", "minhash"]), "size", null=None)
+    sizes = bin_sizes(bins).groupBy(F.col("n").alias("size")).agg(F.sum("n").alias("times"))
+    return metrics.statistics(materialize(sizes, "sizes"), "size", null=None, weight="times")
 
 
 def bin_sizes(bins: DataFrame) -> DataFrame:

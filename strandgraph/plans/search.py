@@ -17,6 +17,11 @@ def _items(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("instance_id"), F.col("l_partkey").alias("fid")).agg(F.lit(1.0).alias("val"))
 
 
+def _lines(spark, d):
+    """(instance_id, fid) of every line, repeated parts too: a set's least hashes don't need them apart."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("instance_id"), F.col("l_partkey").alias("fid"))
+
+
 ITEMS = "item AS (SELECT DISTINCT l_orderkey AS instance_id, l_partkey AS fid FROM lineitem)"
 SHARED = "shared AS (SELECT a.instance_id AS u, b.instance_id AS v, count(*) AS shared FROM item a JOIN item b USING (fid) GROUP BY 1, 2 HAVING count(*) >= 2)"
 
@@ -51,11 +56,11 @@ QUERIES["q_inverted_index_candidates"] = lambda spark, d: S.trimmed(S.shared_fea
 SQL["q_inverted_index_candidates"] = I.query(ITEMS, SHARED, final="SELECT u, v, shared FROM shared QUALIFY row_number() OVER (PARTITION BY u ORDER BY shared DESC, v) <= 30")
 MIN = "sig AS (SELECT instance_id, CAST(k AS INTEGER) AS k, min(((fid % 2147483647) * (96542 * k + 16807) + (69621 * k + 12345)) % 2147483647) AS minhash FROM {}, (SELECT unnest(range(0, 30)) AS k) GROUP BY 1, 2)"
 BINS = "bins AS (SELECT a.instance_id AS u, b.instance_id AS v, count(*) AS shared FROM sig a JOIN sig b USING (k, minhash) GROUP BY 1, 2 HAVING count(*) >= 2)"
-QUERIES["q_minhash_signature"] = lambda spark, d: S.signatures(_items(spark, d), 30)
+QUERIES["q_minhash_signature"] = lambda spark, d: S.signatures(_lines(spark, d), 30)
 SQL["q_minhash_signature"] = I.query(ITEMS, MIN.format("item"), final="SELECT instance_id, k, minhash FROM sig")
-QUERIES["q_minhash_compact"] = lambda spark, d: S.signatures(_items(spark, d), 30, 3)
+QUERIES["q_minhash_compact"] = lambda spark, d: S.signatures(_lines(spark, d), 30, 3)
 SQL["q_minhash_compact"] = I.query(ITEMS, MIN.format("item"), final="SELECT instance_id, CAST(k // 3 AS INTEGER) AS k, CAST(sum(minhash) AS BIGINT) AS minhash FROM sig GROUP BY ALL")
-QUERIES["q_bin_sizes"] = lambda spark, d: S.bin_sizes(S.signatures(_items(spark, d), 30))
+QUERIES["q_bin_sizes"] = lambda spark, d: S.bin_sizes(S.signatures(_lines(spark, d), 30))
 SQL["q_bin_sizes"] = I.query(ITEMS, MIN.format("item"), final="SELECT k, minhash, count(*) AS n FROM sig GROUP BY ALL")
 QUERIES["q_lsh_candidates"] = lambda spark, d: S.shared_bins(S.signatures(I.vectors(spark, d), 30))
 SQL["q_lsh_candidates"] = I.query(*I.FEATURES, MIN.format("vec"), BINS, final="SELECT u, v, shared FROM bins")
@@ -138,7 +143,7 @@ SQL["q_cluster_statistics"] = I.query(EMB, KNN, *CENTRES, *statistics_sql(_stats
 
 
 def bin_statistics(spark, d):
-    found = S.bin_statistics(S.signatures(_items(spark, d), 30))
+    found = S.bin_statistics(S.signatures(_lines(spark, d), 30))
     return found.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
 
 

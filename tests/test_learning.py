@@ -430,3 +430,21 @@ def test_cells_spare_queries_what_cannot_be_near(spark):
         met = sum(parted.sizes[v.cell] for own in (True, False) for v in parted.visits(asked, own).collect())
         assert met <= most * 300 * 300
     assert similarity.dense_neighbours(vectors, vectors.limit(0), 5).count() == 0
+
+
+def test_least_hashes_shuffle_features_once(spark):
+    """The hashes of an instance are made after the one shuffle, not thirty rows for each feature before it (q_minhash_signature, q_bin_sizes)."""
+    feats = spark.createDataFrame([(i, f) for i in range(20) for f in (i, i + 1, i % 3, i)], "instance_id long, fid long")
+    made = similarity.signatures(feats, 30)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert made.count() == 600
+
+
+def test_statistics_of_weighted_values(spark):
+    """A value counts as often as its weight says: what the values one by one give (q_bin_statistics)."""
+    values = [(1.5, 3), (2.0, 1), (7.0, 5), (9.25, 2)]
+    one = spark.createDataFrame([(v,) for v, n in values for _ in range(n)], "x double")
+    got = metrics.statistics(spark.createDataFrame(values, "x double, n long"), "x", weight="n").first().asDict()
+    want = metrics.statistics(one, "x").first().asDict()
+    assert got == pytest.approx(want)
