@@ -448,3 +448,16 @@ def test_statistics_of_weighted_values(spark):
     got = metrics.statistics(spark.createDataFrame(values, "x double, n long"), "x", weight="n").first().asDict()
     want = metrics.statistics(one, "x").first().asDict()
     assert got == pytest.approx(want)
+
+
+def test_runs_go_on_from_one_another(spark):
+    """A model of many runs is the plain loop's, item by item (q_sgd_train_cv and q_learning_curve beyond 100,000 items)."""
+    rng = np.random.default_rng(3)
+    x, y = rng.random((95, 4)), rng.choice([-1, 1], 95)
+    feats = spark.createDataFrame([(i, f, float(x[i, f])) for i in range(95) for f in range(4)], "instance_id long, fid long, val double")
+    rows = spark.createDataFrame([(m, i, int(y[i]), (i * 37) % 95) for m, n in ((0, 95), (1, 41)) for i in range(n)], "model int, instance_id long, y int, slot int")
+    got = {(r.model, r.fid): r.w for r in train.sgd(feats, rows, options=train.Options(epochs=3), run=20).collect()}
+    for m, n in ((0, 95), (1, 41)):
+        order = np.array(sorted(range(n), key=lambda i: (i * 37) % 95))
+        w, b, _ = train.descend([np.arange(4)] * n, list(x[:n]), y[:n], order, 4, train.Options(epochs=3))
+        assert [got[m, f] for f in range(4)] == pytest.approx(list(w)) and got[m, -1] == pytest.approx(b)
