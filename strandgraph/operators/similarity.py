@@ -22,8 +22,8 @@ from strandgraph.operators.train import SHUFFLE, shuffle_key
 from strandgraph.storage import materialize, small
 
 DIGITS = 6
-#: Rows of a block of vectors held against another block.
-BLOCK = 4096
+#: Rows of a block of vectors held against another block, and rows of it whose products are in memory at once.
+BLOCK, AT_ONCE = 16384, 256
 
 
 # ---- kernels -----------------------------------------------------------------------------------------------------
@@ -88,27 +88,30 @@ def symmetric(k: DataFrame) -> DataFrame:
 
 
 def _matrix(t: pa.Table, column: str) -> np.ndarray:
-    return t[column].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    return t[column].combine_chunks().flatten().to_numpy().astype(float, copy=False).reshape(t.num_rows, -1)
 
 
 def _nearest(k: int):
-    """For cogrouped queries (qid, qv) and vectors (id, v): each query's k vectors of largest rounded product."""
+    """For cogrouped queries (qid, qv, least) and vectors (id, v): each query's k vectors of largest rounded product, of least or more."""
     target = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("k", pa.float64())])
 
     def top(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_pylist([], schema=target)
-        qids, ids = left["qid"].to_numpy(), right["id"].to_numpy()
-        products = np.round(_matrix(left, "qv") @ _matrix(right, "v").T, DIGITS)
-        out = ([], [], [])
-        for i, row in enumerate(products):
-            if len(row) > k:
-                edge = np.partition(row, len(row) - k)[len(row) - k]
-                near = np.flatnonzero(row >= edge)
-            else:
-                near = np.arange(len(row))
-            near = near[np.lexsort((ids[near], -row[near]))][:k]
-            for o, v in zip(out, (np.full(len(near), qids[i]), ids[near], row[near]), strict=True):
+        qids, ids, least = left["qid"].to_numpy(), right["id"].to_numpy(), left["least"].to_numpy().astype(float)
+        q, x, out = _matrix(left, "qv"), _matrix(right, "v").T, ([], [], [])
+        for start in range(0, len(q), AT_ONCE):
+            part = q[start : start + AT_ONCE] @ x
+            edge = least[start : start + AT_ONCE]
+            if len(ids) > k and np.isnan(edge).any():
+                edge = np.fmax(np.partition(part, len(ids) - k, axis=1)[:, len(ids) - k], edge)
+            # What rounds to the edge or more lies no further below it than two roundings.
+            at, near = np.nonzero(part >= np.where(np.isnan(edge), -np.inf, edge)[:, None] - 2 * 10**-DIGITS)
+            found = np.round(part[at, near], DIGITS)
+            order = np.lexsort((ids[near], -found, at))
+            at, near, found = at[order], near[order], found[order]
+            first = np.arange(len(at)) - np.searchsorted(at, at) < k
+            for o, v in zip(out, (qids[start + at[first]], ids[near[first]], found[first]), strict=True):
                 o.append(v)
         return pa.table([pa.array(np.concatenate(o), f.type) for o, f in zip(out, target, strict=True)], schema=target)
 
@@ -131,7 +134,7 @@ class Cells:
         n = vectors.count()
         few = vectors.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, cells or max(1, -(-n // block)))).collect()
         self.pivots = pivots = np.array([r.v for r in few], float)
-        self.block = block
+        self.block, self.kind = block, vectors.schema["v"].dataType.simpleString()
 
         def assign(batches):
             for batch in batches:
@@ -140,7 +143,7 @@ class Cells:
                     near = apart.argmin(1)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(apart[np.arange(len(near)), near])], ["id", "v", "cell", "apart"])
 
-        dealt = materialize(vectors.mapInArrow(assign, f"id {vectors.schema['id'].dataType.simpleString()}, v array<double>, cell int, apart double"), "cells")
+        dealt = materialize(vectors.mapInArrow(assign, f"id {vectors.schema['id'].dataType.simpleString()}, v {self.kind}, cell int, apart double"), "cells")
         stats = {r.cell: (r.n, r.radius) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect()}  # PIVOTS rows at most
         self.radius = np.array([stats.get(i, (0, -np.inf))[1] for i in range(len(few))])
         self.parts = {i: -(-m // block) for i, (m, _) in stats.items()}
@@ -148,7 +151,7 @@ class Cells:
         self.dealt = dealt
 
     def visits(self, queries: DataFrame, own: bool) -> DataFrame:
-        """(qid, qv, cell): the cells that queries (qid, qv, least) go to; own: the cell they lie in themselves, else all others that may hold a product of least."""
+        """(qid, qv, least, cell): the cells that queries (qid, qv, least) go to; own: the cell they lie in themselves, else all others that may hold a product of least."""
         pivots, radius = self.pivots, self.radius
 
         def choose(batches):
@@ -167,17 +170,18 @@ class Cells:
                         most = q @ pivots.T + np.linalg.norm(q, axis=1)[:, None] * radius
                     least = np.array([-np.inf if x is None else x for x in batch.column(2).to_pylist()])
                     go = ~home & ~np.isinf(radius) & (most >= least[:, None] - 2 * 10**-DIGITS)
-                at, cell = np.nonzero(go)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(cell.astype(np.int32))], ["qid", "qv", "cell"])
+                for cell in np.flatnonzero(go.any(0)):  # one batch for each cell: no more rows at once than came in
+                    here = pa.array(np.flatnonzero(go[:, cell]))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).take(here) for i in range(3)], pa.array(np.full(len(here), cell, np.int32))], ["qid", "qv", "least", "cell"])
 
-        return queries.mapInArrow(choose, "qid long, qv array<double>, cell int")
+        return queries.select("qid", "qv", "least").mapInArrow(choose, f"qid long, qv {queries.schema['qv'].dataType.simpleString()}, least double, cell int")
 
     def meet(self, visits: DataFrame, k: int) -> DataFrame:
         """(u, v, k): of every visit the k vectors of largest product in the cell, part by part."""
         spark = visits.sparkSession
         asked = {r.cell: r["count"] for r in visits.groupBy("cell").count().collect()}  # PIVOTS rows at most
         plan = spark.createDataFrame([(c, self.parts[c], -(-n // self.block)) for c, n in asked.items()], "cell int, parts int, groups int")
-        q = visits.join(F.broadcast(plan), "cell").select("qid", "qv", "cell", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+        q = visits.join(F.broadcast(plan), "cell").select("qid", "qv", "least", "cell", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
         d = self.dealt.join(F.broadcast(plan), "cell").select("id", "v", F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("h"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("l"))
         return q.groupBy("cell", "g", "p").cogroup(d.groupBy("c", "h", "l")).applyInArrow(_nearest(k), "u long, v long, k double")
 
@@ -193,10 +197,12 @@ def dense_neighbours(queries: DataFrame, vectors: DataFrame, k: int, id: str = "
 
     Queries first meet the cell they lie in. The k-th product found there bounds what they still look for: they go on to
     those cells alone that may hold as much, and what no cell can give them isn't computed. Vectors without any structure have cells
-    that hold all of it, and then every query meets every cell. Null vectors take no part.
+    that hold all of it, and then every query meets every cell. Null vectors take no part. Single-precision vectors are
+    shuffled as they are; products are made in double precision.
     """
-    x = materialize(vectors.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")), "vectors")
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("qv"))
+    kind = lambda df: "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    x = materialize(vectors.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast(kind(vectors)).alias("v")), "vectors")
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("qid"), F.col(vector).cast(kind(queries)).alias("qv"))
     parted = Cells(x, block, cells)
     if not len(parted.pivots):
         return ranked(q.select(F.col("qid").alias("u"), F.col("qid").alias("v"), F.lit(0.0).alias("k")).where("false"), k)

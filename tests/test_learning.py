@@ -461,3 +461,18 @@ def test_runs_go_on_from_one_another(spark):
         order = np.array(sorted(range(n), key=lambda i: (i * 37) % 95))
         w, b, _ = train.descend([np.arange(4)] * n, list(x[:n]), y[:n], order, 4, train.Options(epochs=3))
         assert [got[m, f] for f in range(4)] == pytest.approx(list(w)) and got[m, -1] == pytest.approx(b)
+
+
+def test_visits_hand_on_no_more_rows_than_came_in(spark):
+    """A query's visits go cell by cell, its vector in the input's precision (q_knn_vote: batches times cells in a worker)."""
+    rng = np.random.default_rng(1)
+    made = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=3).astype(np.float32)]) for i in range(60)], "vec_id long, embedding array<float>")
+    parted = similarity.Cells(made.withColumnsRenamed({"vec_id": "id", "embedding": "v"}), 10, 6)
+    asked = made.selectExpr("vec_id AS qid", "embedding AS qv", "CAST(NULL AS DOUBLE) AS least").coalesce(1)
+    visits = parted.visits(asked, False)
+    assert visits.schema["qv"].dataType.simpleString() == "array<float>"
+    cells = [r.cell for r in visits.collect()]
+    assert cells == sorted(cells) and len(cells) == 5 * 60
+    rows = {r.vec_id: np.array(r.embedding, float) for r in made.collect()}
+    for g in similarity.dense_neighbours(made, made, 4, block=10, cells=6).groupBy("u").agg(F.sort_array(F.collect_list(F.struct("rank", "v"))).alias("n")).collect():
+        assert [n.v for n in g.n] == sorted(rows, key=lambda v: (-round(rows[g.u] @ rows[v], 6), v))[:4]
