@@ -10,6 +10,7 @@ from strandgraph.functions import vectors as V
 from strandgraph.operators import encode, features, graph, metrics, model, train
 from strandgraph.plans import inputs as I
 from strandgraph.plans.inputs import MODELS, table
+from strandgraph.storage import materialize, small
 
 QUERIES, SQL = {}, {}
 
@@ -267,10 +268,11 @@ SQL["q_losses"] = I.query(
 
 def sparse_combine(spark, d):
     """Each document's letters minus half of the shares over all documents' language."""
-    own = I.letters(spark, d)
-    docs = I.sequences(spark, d).select(F.col("id").alias("instance_id"), "lang")
-    mean = own.join(docs, "instance_id").groupBy("lang", "fid").agg(F.avg("val").alias("val"))
-    other = docs.join(mean, "lang").select("instance_id", "fid", "val")
+    own = materialize(I.letters(spark, d), "letters")
+    docs = I.table(spark, d, "documents").select(F.col("doc_id").alias("instance_id"), "lang")
+    mean = materialize(own.join(docs, "instance_id").groupBy("lang", "fid").agg(F.avg("val").alias("val")), "mean")
+    # A language has more rows than one task should sort: its few means go to the documents, not both to one place.
+    other = docs.join(small(mean), "lang").select("instance_id", "fid", "val")
     return V.sparse_combine(own, 1.0, other, -0.5).select("instance_id", "fid", F.round("val", 6).alias("val"))
 
 
