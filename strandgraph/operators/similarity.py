@@ -352,9 +352,33 @@ def shared_bins(bins: DataFrame, least: int = 2) -> DataFrame:
     return _counted(meetings(bins, ["k", "minhash"], "instance_id"), least)
 
 
+def alike(features: DataFrame) -> DataFrame:
+    """(instance_id, class): class is the least id of the instances that have the same set of features, whose least hashes are equal."""
+    sets = features.select("instance_id", "fid").distinct().groupBy("instance_id").agg(F.array_sort(F.collect_list("fid")).alias("_set"))
+    keyed = sets.withColumn("_h", F.sha2(F.concat_ws(",", F.col("_set").cast("array<string>")), 256)).select("instance_id", "_h")
+    least = keyed.groupBy("_h").agg(F.min("instance_id").alias("class"))
+    return materialize(keyed.join(least, "_h").select("instance_id", "class"), "alike")
+
+
+def nearest_bins(features: DataFrame, k: int, hashes: int = 30) -> DataFrame:
+    """(u, v, shared, place): what trimmed(shared_bins(signatures(features, hashes)), k, 1) gives, without a pair of two copies.
+
+    Instances of the same features have the same bins, and so the same candidates: those are found between classes, and of each
+    class only its k least ids can be among the first k.
+    """
+    known = alike(features)
+    few = features.join(known.where("instance_id = class"), "instance_id", "left_semi")
+    met = shared_bins(signatures(few, hashes)).select(F.col("u").alias("class"), F.col("v").alias("_other"), "shared")
+    first = known.withColumn("_i", F.row_number().over(Window.partitionBy("class").orderBy("instance_id"))).where(F.col("_i") <= k)
+    first = materialize(first.select(F.col("class").alias("_other"), F.col("instance_id").alias("v")), "first")
+    near = trimmed(met.join(first, "_other").select(F.col("class").alias("u"), "v", "shared"), k, 1)
+    near = materialize(near.select(F.col("u").alias("class"), "v", "shared", "place"), "classes")
+    return known.select(F.col("instance_id").alias("u"), "class").join(near, "class").select("u", "v", "shared", "place")
+
+
 def approximate_neighbours(features: DataFrame, k: int, hashes: int = 30, factor: int = 3, rerank: bool = True) -> DataFrame:
     """Candidates by common bins, trimmed, then ranked by kernel unless rerank is off."""
-    near = trimmed(shared_bins(signatures(features, hashes)), k, factor)
+    near = nearest_bins(features, factor * k, hashes) if factor else trimmed(shared_bins(signatures(features, hashes)), k, factor)
     return reranked(near, features, k) if rerank else near
 
 
@@ -600,7 +624,8 @@ def sparse_kernels(pairs: DataFrame, features: DataFrame) -> DataFrame:
 
 def filtered(features: DataFrame, hashes: int = 200, neighbours: int = 10, overlap: int = 1, sample: int = 1000) -> DataFrame:
     """(instance_id) of low-overlap dense centres among the denser half: a smaller training set. Kernels are those of neighbours."""
-    near = materialize(trimmed(shared_bins(signatures(features, hashes)), neighbours, 1), "near")
+    features = materialize(features.select("instance_id", "fid", "val"), "features")
+    near = materialize(nearest_bins(features, neighbours, hashes), "near")
     met = members(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
     dense = materialize(set_density(near, sparse_kernels(met, features)), "density")
     return density_centres(near, dense, sample, overlap, 0.5).select(F.col("centre").alias("instance_id"))

@@ -476,3 +476,12 @@ def test_visits_hand_on_no_more_rows_than_came_in(spark):
     rows = {r.vec_id: np.array(r.embedding, float) for r in made.collect()}
     for g in similarity.dense_neighbours(made, made, 4, block=10, cells=6).groupBy("u").agg(F.sort_array(F.collect_list(F.struct("rank", "v"))).alias("n")).collect():
         assert [n.v for n in g.n] == sorted(rows, key=lambda v: (-round(rows[g.u] @ rows[v], 6), v))[:4]
+
+
+def test_copies_of_sets_meet_as_one(spark):
+    """Candidates of equal sets are found once: what all pairs of shared bins give, trimmed (q_data_filter, q_approx_knn)."""
+    rows = [(i, f) for i in range(90) for f in range(i % 7, i % 7 + 4)] + [(90, 2), (90, 40)]
+    feats = spark.createDataFrame(rows, "instance_id long, fid long").withColumn("val", F.lit(0.5))
+    key = lambda df: sorted(tuple(r) for r in df.select("u", "v", "shared", "place").collect())
+    assert key(similarity.nearest_bins(feats, 6, 12)) == key(similarity.trimmed(similarity.shared_bins(similarity.signatures(feats, 12)), 6, 1))
+    assert similarity.alike(feats).select("class").distinct().count() == 8
