@@ -18,9 +18,11 @@ kept of a page are the blocks that stand at the wrapper's content slots.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Collection, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from strandgraph.llm import common
 from strandgraph.llm.htmlpage import Page, parse
 
-#: Pages that must share a literal text; expressions merged in one task; cells of one alignment; places of one token in an expression.
-LITERAL_PAGES, FAN, CELLS, PLACES = 5, 1000, 1 << 20, 4
+#: Pages that must share a literal text; expressions merged in one task; places of one token in an expression.
+LITERAL_PAGES, FAN, PLACES = 5, 1000, 4
 #: Tokens of a repeated group at most; different streams kept in a task before they are handed on.
 PERIOD, STREAMS = 4, 5000
 
@@ -135,7 +137,7 @@ def expression(page: Page, literals: Collection[int] = ()) -> dict:
 def matches(a: list[list], b: list[list]) -> list[tuple[int, int]]:
     """Places (in a, in b) of a longest common subsequence of two lists of tokens; of several the one that goes on in a first.
 
-    Beyond CELLS cells between the common beginning and end, nothing there is matched.
+    Time grows with the product of what lies between the common beginning and end, memory with the second and the root of the first.
     """
     head = 0
     while head < min(len(a), len(b)) and _same(a[head], b[head]):
@@ -145,22 +147,37 @@ def matches(a: list[list], b: list[list]) -> list[tuple[int, int]]:
         tail += 1
     out = [(i, i) for i in range(head)]
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    if x and y and len(x) * len(y) <= CELLS:
-        kx, ky = [(t[PATH], t[LITERAL]) for t in x], [(t[PATH], t[LITERAL]) for t in y]
-        best = [[0] * (len(y) + 1)]
-        for k in reversed(kx):
-            below, row, right = best[-1], [0] * (len(y) + 1), 0
-            for j in range(len(y) - 1, -1, -1):
-                right = below[j + 1] + 1 if k == ky[j] else below[j] if below[j] >= right else right
-                row[j] = right
-            best.append(row)
-        best.reverse()
+    if x and y:
+        names: dict[tuple, int] = {}
+        kx, ky = (np.array([names.setdefault((t[PATH], t[LITERAL]), len(names)) for t in z]) for z in (x, y))
+
+        def above(below: np.ndarray, i: int) -> np.ndarray:
+            """Row i of the lengths from row i + 1: the most that goes on from each place of y."""
+            row = np.zeros_like(below)
+            row[:-1] = np.maximum.accumulate(np.maximum(below[:-1], np.where(ky == kx[i], below[1:] + 1, 0))[::-1])[::-1]
+            return row
+
+        # Every step-th row of the lengths is kept, those between are made again on the way: any length fits in memory.
+        step = math.isqrt(len(x)) + 1
+        row = np.zeros(len(y) + 1, np.int32)
+        kept = {len(x): row}
+        for i in range(len(x) - 1, -1, -1):
+            row = above(row, i)
+            if i % step == 0:
+                kept[i] = row
         i = j = 0
+        near: dict[int, np.ndarray] = {}
         while i < len(x) and j < len(y):
+            if i + 1 not in near:
+                end = min((i // step + 1) * step, len(x))
+                near = {end: kept[end]}
+                for r in range(end - 1, i, -1):
+                    near[r] = above(near[r + 1], r)
+                near[i] = kept[i] if i in kept else above(near[i + 1], i)
             if kx[i] == ky[j]:
                 out.append((head + i, head + j))
                 i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
+            elif near[i + 1][j] >= near[i][j + 1]:
                 i += 1
             else:
                 j += 1

@@ -323,3 +323,19 @@ def test_estimates_are_those_of_plain_expectation_maximisation():
 def test_held_out_is_the_checksum_of_the_id(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id"), langid.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_long_streams_are_aligned_too():
+    """Two streams of 1,500 blocks without a common beginning or end have their longest common subsequence (op2)."""
+    from strandgraph.llm import wrapper
+
+    draw = random.Random(1)
+    a, b = ([[draw.randrange(30), 0, 0, 0, 1, 1, 0, 0] for _ in range(1500)] for _ in range(2))
+    a, b = [[-1, *a[0][1:]], *a, [-2, *a[0][1:]]], [[-3, *b[0][1:]], *b, [-4, *b[0][1:]]]
+    found, row = wrapper.matches(a, b), [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x[0] == y[0] else max(last[j + 1], row[j]))
+    assert len(found) == row[-1] and all(a[i][0] == b[j][0] for i, j in found)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:], strict=False))
