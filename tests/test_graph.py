@@ -212,3 +212,8 @@ def test_stars_go_by_joins(spark):
     e = spark.createDataFrame(e1 + e2, "graph_id string, src int, dst int, label string")
     assert [r.graph_id for r in whole.large(v, e, 2).collect()] == ["wide"]
     assert whole.large(v, e, 1).count() == 1 and whole.large(v, e.limit(0), 2).count() == 0
+
+
+def test_sets_of_a_composite_are_written_one_by_one(spark, doubled):
+    plan = features.composite_vectors(*doubled, shapes={"abstract": (0, 2)})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("parquet") == 6
