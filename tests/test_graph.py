@@ -214,6 +214,11 @@ def test_stars_go_by_joins(spark):
     assert whole.large(v, e, 1).count() == 1 and whole.large(v, e.limit(0), 2).count() == 0
 
 
+def test_tables_of_vertices_and_pairs_are_not_broadcast(spark, doubled):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan(features.pairs(*doubled, 2, 2))
+
+
 def test_sets_of_a_composite_are_written_one_by_one(spark, doubled):
     plan = features.composite_vectors(*doubled, shapes={"abstract": (0, 2)})._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("parquet") == 6
