@@ -128,6 +128,19 @@ def test_training_set_against_plain_python(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/out/sizes").agg({"examples": "sum"}).first()[0] == len(got)
 
 
+def test_training_set_leaves_its_output_alone(spark, tmp_path):
+    """Nothing that it wrote on the way stays, and features of peptides aren't shuffled."""
+    settings, shared = config(None, "trainset.json") | {"length": 3, "step": 1, "least_distinct_residues": 2}, Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    docs = spark.createDataFrame([(i, t, None, "x") for i, t in enumerate(_texts(20, 6))], DOCS)
+    docs.write.parquet(f"{tmp_path}/docs")
+    spark.range(20).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality").write.parquet(f"{tmp_path}/labels")
+    before = set(shared.glob("*"))
+    trainset.run(spark, f"{tmp_path}/docs", f"{tmp_path}/labels", f"{tmp_path}/out", settings)
+    assert set(shared.glob("*")) == before
+    made = trainset.examples(trainset.peptides(docs, spark.read.parquet(f"{tmp_path}/labels"), settings), settings)
+    assert "Exchange hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_command_lines(spark, tmp_path, monkeypatch):
     @contextmanager
     def ours(name):
