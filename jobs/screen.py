@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import config, log, session
-from strandgraph.functions import residues as R
 from strandgraph.operators import model, sequence
 
 HITS = "id long, start int, end int, seq string, margin double, profile string, batch long, part string"
@@ -33,11 +32,14 @@ def scored(records: DataFrame, settings: dict) -> DataFrame:
     """
     seqs = sequence.cleaned(records.select("id", "part", "text"))
     windows = sequence.windows(seqs, settings["length"], settings["step"], keep=["part"])
-    rows = windows.select("id", "part", "start", "end", "seq", R.residues(F.col("seq")).alias("r"))
+    # Residues with a weight are counted once for all profiles, by expressions that code generation compiles.
+    letters = sorted({c for p in settings["profiles"] for c in p["weights"] if len(c) == 1})
+    rows = windows.select("id", "part", "start", "end", "seq", *[(F.length("seq") - F.length(F.replace(F.col("seq"), F.lit(c), F.lit("")))).alias(f"_n_{c}") for c in letters])
     marks = []
     for p in settings["profiles"]:
-        weights = F.create_map(*[F.lit(x) for c, w in sorted(p["weights"].items()) for x in (c, int(w))])
-        total = F.aggregate("r", F.lit(int(p["bias"])), lambda a, c: a + F.coalesce(F.try_element_at(weights, c), F.lit(0)))  # noqa: B023 (called at once)
+        total = F.lit(int(p["bias"]))
+        for c, w in sorted(p["weights"].items()):
+            total = total + F.lit(int(w)) * F.col(f"`_n_{c}`") if c in letters else total
         marks.append(F.struct(F.lit(p["name"]).alias("profile"), (total / 1000).alias("margin"), F.lit(p["positive"] / 1000).alias("p"), F.lit(p["negative"] / 1000).alias("n")))
     rows = rows.select("id", "part", "start", "end", "seq", F.explode(F.array(*marks)).alias("m")).select("*", "m.*")
     return rows.select("id", "part", "start", "end", "seq", "profile", "margin", model.decision(F.col("margin"), F.col("p"), F.col("n")).alias("decision"))

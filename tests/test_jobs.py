@@ -69,6 +69,15 @@ def test_screen_takes_only_what_is_new(spark, tmp_path, mild):
     assert screen.run(spark, source, out, checkpoint, mild) == 0 and _all(screen.read(spark, out)) == _hits(first + more, mild)
 
 
+def test_screen_scores_by_compiled_expressions(spark, mild):
+    """No fold over the residues of each window and profile, and whatever isn't one residue has no weight."""
+    p = mild["profiles"][0] | {"weights": mild["profiles"][0]["weights"] | {"PR": 9, "": 9}}
+    records = spark.createDataFrame([(1, "en", "PRKPRKPRKPRKPRK")], "id long, part string, text string")
+    got = screen.scored(records, mild | {"profiles": [p]})
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.margin for r in got.collect()] == [(p["bias"] + 5 * (1000 + 350 + 300)) / 1000]
+
+
 def test_a_repeated_batch_counts_once(spark, tmp_path, mild):
     docs = spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(_texts(20, 3))], DOCS)
     for _ in range(2):
