@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +41,12 @@ def meetings(rows: DataFrame, key: Sequence[str], id: str, value: str | None = N
     list meet in a group of their own, so a list of any length is spread over as many groups as it has pairs of blocks,
     and no group holds more than about size rows of each side. u <= v where value is None; else x belongs to u and y to v.
     """
+    return _meetings(materialize(rows.select(*key, id, *([value] if value else [])), "lists"), key, id, value, size)
+
+
+def _meetings(rows: DataFrame, key: Sequence[str], id: str, value: str | None = None, size: int | None = None) -> DataFrame:
+    """meetings() of rows that are written already."""
     size = size or LIST
-    rows = materialize(rows.select(*key, id, *([value] if value else [])), "lists")
     long = small(rows.groupBy(*key).agg(F.ceil(F.count("*") / size).cast("int").alias("_n")).where("_n > 1"))  # one row for size rows
     value = F.col(value) if value else F.lit(None).cast("double")
     cut = rows.select(*key, F.col(id).alias("_id"), value.alias("_v")).join(long, list(key), "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
@@ -53,9 +58,96 @@ def meetings(rows: DataFrame, key: Sequence[str], id: str, value: str | None = N
     return met.select(*key, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y"))
 
 
+#: Instances of one side of a block of pairs, and the share of all pairs that must meet, on the average, for blocks to be taken.
+SIDE, DENSE = 1024, 0.05
+
+
+def crowded(rows: DataFrame, key: Sequence[str], id: str) -> bool:
+    """Whether the rows (key, id) meet so often by key that going over all pairs in blocks is less work than joining them."""
+    lists = rows.groupBy(*key).agg(F.count("*").cast("double").alias("c")).agg(F.sum(F.col("c") * (F.col("c") + 1) / 2)).first()[0]
+    n = rows.agg(F.approx_count_distinct(id)).first()[0]
+    return (lists or 0) >= DENSE * n * (n + 1) / 2
+
+
+def in_blocks(rows: DataFrame, id: str, least: int = 1, side: int | None = None) -> DataFrame:
+    """(u, v, k, shared), u <= v, of all pairs with least features in common and the sums of their products; rows (id, f long, x double), no nulls.
+
+    Instances are cut into blocks, and every two blocks meet in a group, which adds up in a matrix and gives each pair once: no
+    row is made for a feature that a pair shares, and nothing is shuffled but an instance's features, once for each block.
+    """
+    side, kind = side or SIDE, rows.schema[id].dataType.simpleString()
+    packed = materialize(rows.groupBy(F.col(id).alias("id")).agg(F.collect_list(F.struct("f", "x")).alias("p")).select("id", "p.f", "p.x"), "packed")
+    n = max(1, -(-packed.count() // side))
+    cut = packed.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    groups = min(n * (n + 1) // 2, 2000)
+    a = cut.select(F.col("b").alias("i"), F.explode(F.sequence("b", F.lit(n - 1))).alias("j"), "id", "f", "x").repartition(groups, "i", "j")
+    b = cut.select(F.explode(F.sequence(F.lit(0), "b")).alias("i"), F.col("b").alias("j"), *[F.col(c).alias(f"{c}_") for c in ("id", "f", "x")]).repartition(groups, "i", "j")
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.rename_columns(left.column_names)
+        m, ids = left.num_rows, pa.chunked_array([*left["id"].chunks, *right["id"].chunks], left.schema.field("id").type).combine_chunks()
+        k, shared = _products(left, right)
+        known = pc.unique(ids)
+        place = pc.index_in(ids, known.take(pc.sort_indices(known))).to_numpy()
+        found = shared >= least
+        if key[0].as_py() == key[1].as_py():  # a block with itself
+            found &= place[:m, None] <= place[None, m:]
+        r, c = np.nonzero(found)
+        turned = place[r] > place[m + c]
+        u, v = np.where(turned, m + c, r), np.where(turned, r, m + c)
+        return pa.table([ids.take(pa.array(u)), ids.take(pa.array(v)), pa.array(k[r, c]), pa.array(shared[r, c].astype(np.int64))], ["u", "v", "k", "shared"])
+
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(meet, f"u {kind}, v {kind}, k double, shared long")
+
+
+def _products(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """For two blocks of lists f, x: the sums of products of the common features, and their numbers, of each row with each."""
+
+    def entries(t: pa.Table) -> list[np.ndarray]:
+        f, x = t["f"].combine_chunks(), t["x"].combine_chunks()
+        return [np.repeat(np.arange(t.num_rows), pc.list_value_length(f).to_numpy()), f.flatten().to_numpy(), x.flatten().to_numpy()]
+
+    k, shared = np.zeros((left.num_rows, right.num_rows)), np.zeros((left.num_rows, right.num_rows), np.float32)
+    sides = [entries(left), entries(right)]
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    if not len(common):
+        return k, shared
+    met = []
+    for rows, f, x in sides:
+        at = np.minimum(np.searchsorted(common, f), len(common) - 1)
+        is_common = common[at] == f
+        # One entry for each feature and row: repeated ones count as often as they are there.
+        key, where = np.unique(at[is_common] * (int(rows.max()) + 1) + rows[is_common], return_inverse=True)
+        met.append((key // (int(rows.max()) + 1), key % (int(rows.max()) + 1), np.bincount(where, x[is_common]), np.bincount(where).astype(np.float32)))
+    ends = [np.searchsorted(f, np.arange(len(common) + 1)) for f, *_ in met]
+    often = np.diff(ends[0]) * np.diff(ends[1]) * 8 > k.size
+    often &= np.isfinite(met[0][2]).all() and np.isfinite(met[1][2]).all()
+    for start in range(0, int(often.sum()), SIDE):  # what most have, as matrices
+        some = np.flatnonzero(often)[start : start + SIDE]
+        filled = []
+        for (f, row, x, count), size in zip(met, k.shape, strict=True):
+            at = np.minimum(np.searchsorted(some, f), len(some) - 1)
+            here = some[at] == f
+            for v, kind in ((x, float), (count, np.float32)):
+                matrix = np.zeros((size, len(some)), kind)
+                matrix[row[here], at[here]] = v[here]
+                filled.append(matrix)
+        k += filled[0] @ filled[2].T
+        shared += filled[1] @ filled[3].T
+    for i in np.flatnonzero(~often):
+        (a, b), (c, d) = ends[0][i : i + 2], ends[1][i : i + 2]
+        at = np.ix_(met[0][1][a:b], met[1][1][c:d])
+        k[at] += np.outer(met[0][2][a:b], met[1][2][c:d])
+        shared[at] += np.outer(met[0][3][a:b], met[1][3][c:d])
+    return k, shared
+
+
 def kernel(features: DataFrame) -> DataFrame:
     """(u, v, k) of all pairs u <= v that share a feature; pairs without have kernel 0."""
-    return meetings(features, ["fid"], "instance_id", "val").groupBy("u", "v").agg(F.sum(F.col("x") * F.col("y")).alias("k"))
+    rows = materialize(features.select("instance_id", "fid", "val"), "lists")
+    if crowded(rows, ["fid"], "instance_id") and rows.where("instance_id IS NULL OR fid IS NULL OR val IS NULL").isEmpty():
+        return in_blocks(rows.select("instance_id", F.col("fid").cast("long").alias("f"), F.col("val").cast("double").alias("x")), "instance_id").select("u", "v", "k")
+    return _meetings(rows, ["fid"], "instance_id", "val").groupBy("u", "v").agg(F.sum(F.col("x") * F.col("y")).alias("k"))
 
 
 def kernel_candidates(features: DataFrame, threshold: float) -> DataFrame:
@@ -301,7 +393,11 @@ def true_neighbours(features: DataFrame, k: int) -> DataFrame:
 
 def _counted(met: DataFrame, least: int) -> DataFrame:
     """Both orders of the pairs that have met at least so often."""
-    pairs = met.groupBy("u", "v").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return _turned(met.groupBy("u", "v").agg(F.count("*").alias("shared")).where(F.col("shared") >= least))
+
+
+def _turned(pairs: DataFrame) -> DataFrame:
+    """Both orders of the pairs (u, v, shared), u <= v."""
     turned = F.explode(F.when(F.col("u") == F.col("v"), F.array(F.struct("u", "v"))).otherwise(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     return pairs.select("shared", turned.alias("p")).select("p.u", "p.v", "shared")
 
@@ -349,7 +445,12 @@ def bin_sizes(bins: DataFrame) -> DataFrame:
 
 def shared_bins(bins: DataFrame, least: int = 2) -> DataFrame:
     """(u, v, shared): pairs that fall into at least so many common bins."""
-    return _counted(meetings(bins, ["k", "minhash"], "instance_id"), least)
+    rows = materialize(bins.select("k", "minhash", "instance_id"), "lists")
+    fits = f"k BETWEEN 0 AND {(1 << 22) - 1} AND minhash BETWEEN 0 AND {(1 << 40) - 1} AND instance_id IS NOT NULL"  # one number tells a bin
+    if least > 0 and crowded(rows, ["k", "minhash"], "instance_id") and rows.where(f"NOT coalesce({fits}, false)").isEmpty():
+        bin = (F.col("k").cast("long") * (1 << 40) + F.col("minhash")).alias("f")
+        return _turned(in_blocks(rows.select("instance_id", bin, F.lit(1.0).alias("x")), "instance_id", least).select("u", "v", "shared"))
+    return _counted(_meetings(rows, ["k", "minhash"], "instance_id"), least)
 
 
 def alike(features: DataFrame) -> DataFrame:

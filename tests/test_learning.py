@@ -485,3 +485,20 @@ def test_copies_of_sets_meet_as_one(spark):
     key = lambda df: sorted(tuple(r) for r in df.select("u", "v", "shared", "place").collect())
     assert key(similarity.nearest_bins(feats, 6, 12)) == key(similarity.trimmed(similarity.shared_bins(similarity.signatures(feats, 12)), 6, 1))
     assert similarity.alike(feats).select("class").distinct().count() == 8
+
+@pytest.mark.parametrize("side", [7, 1000])
+def test_pairs_in_blocks_are_those_of_the_join(spark, side):
+    """q_kernel_matrix, q_lsh_candidates: pairs of common lists make no row for each shared feature; results as by the join."""
+    rng = np.random.default_rng(3)
+    rows = [(f"g{i}", int(f), float(v)) for i in range(40) for f, v in zip(rng.choice(12, 5), rng.normal(size=5), strict=True)]  # repeated ones too
+    rows += [("alone", 99, 0.5), ("zero", 3, 0.0)]
+    feats = spark.createDataFrame(rows, "instance_id string, fid long, val double")
+    want = similarity.meetings(feats, ["fid"], "instance_id", "val").groupBy("u", "v").agg(F.sum(F.col("x") * F.col("y")).alias("k"), F.count("*").alias("n")).collect()
+    got = similarity.in_blocks(feats.select("instance_id", F.col("fid").alias("f"), F.col("val").alias("x")), "instance_id", 2, side).collect()
+    assert {(r.u, r.v): r.shared for r in got} == {(r.u, r.v): r.n for r in want if r.n >= 2} and len(got) == len({(r.u, r.v) for r in got})
+    kernels = {(r.u, r.v): r.k for r in want}
+    assert all(abs(kernels[r.u, r.v] - r.k) < 1e-12 for r in got)
+    assert similarity.crowded(feats, ["fid"], "instance_id")
+    plan = similarity.kernel(feats)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+    assert similarity.in_blocks(feats.select("instance_id", F.col("fid").alias("f"), F.col("val").alias("x")), "instance_id", 2, side).agg(F.count("u")).first()[0] == len(got)
