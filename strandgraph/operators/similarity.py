@@ -402,9 +402,33 @@ def _turned(pairs: DataFrame) -> DataFrame:
     return pairs.select("shared", turned.alias("p")).select("p.u", "p.v", "shared")
 
 
+#: Features of an instance that are paired with each other at most.
+SHORT = 16
+
+
 def shared_features(features: DataFrame, least: int = 2) -> DataFrame:
-    """(u, v, shared): pairs by the inverted index of features, with at least so many in common."""
-    return _counted(meetings(features.select("instance_id", "fid").distinct(), ["fid"], "instance_id"), least)
+    """(u, v, shared): pairs by the inverted index of features, with at least so many in common.
+
+    Two features or more in common are a common pair of features: instances of at most SHORT features meet by their pairs of
+    features, of which most have one instance alone, and s common features give s (s - 1) / 2 common pairs. Instances of more features
+    meet all others by single features.
+    """
+    if least != 2:
+        return _counted(meetings(features.select("instance_id", "fid").distinct(), ["fid"], "instance_id"), least)
+    known = features.where("instance_id IS NOT NULL AND fid IS NOT NULL")
+    sets = materialize(known.groupBy("instance_id").agg(F.array_sort(F.collect_set("fid")).alias("f")).where(F.size("f") > 1), "sets")
+    firsts = sets.where(F.size("f") <= SHORT).select("instance_id", "f", F.posexplode("f").alias("i", "a"))
+    pairs = firsts.select("instance_id", "a", F.explode(F.slice("f", F.col("i") + 2, F.size("f"))).alias("b"))
+    common = pairs.withColumn("n", F.count("*").over(Window.partitionBy("a", "b"))).where("n > 1")
+    met = meetings(common, ["a", "b"], "instance_id").where("u <> v").groupBy("u", "v").agg(F.count("*").alias("c"))
+    found = met.select("u", "v", F.round((1 + F.sqrt(1 + 8 * F.col("c"))) / 2).cast("long").alias("shared"))
+    found = found.unionByName(sets.select(F.col("instance_id").alias("u"), F.col("instance_id").alias("v"), F.size("f").cast("long").alias("shared")))
+    rows = sets.select("instance_id", (F.size("f") > SHORT).cast("double").alias("long"), F.explode("f").alias("fid"))
+    wide = materialize(rows.where("long > 0").select("fid").distinct(), "wide")
+    if not wide.isEmpty():
+        more = meetings(rows.join(wide, "fid", "left_semi"), ["fid"], "instance_id", "long").where("u <> v AND (x > 0 OR y > 0)")
+        found = found.unionByName(more.groupBy("u", "v").agg(F.count("*").alias("shared")).where("shared >= 2"))
+    return _turned(found)
 
 
 def trimmed(candidates: DataFrame, k: int, factor: int = 3) -> DataFrame:

@@ -12,13 +12,8 @@ from strandgraph.storage import materialize
 QUERIES, SQL = {}, {}
 
 
-def _items(spark, d):
-    """(instance_id, fid, val): parts in each order, as the inverted index of orders."""
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("instance_id"), F.col("l_partkey").alias("fid")).agg(F.lit(1.0).alias("val"))
-
-
 def _lines(spark, d):
-    """(instance_id, fid) of every line, repeated parts too: a set's least hashes don't need them apart."""
+    """(instance_id, fid) of every line, repeated parts too: operators that take sets don't need them apart."""
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("instance_id"), F.col("l_partkey").alias("fid"))
 
 
@@ -52,7 +47,7 @@ QUERIES["q_true_knn"] = lambda spark, d: _knn(spark, d)
 SQL["q_true_knn"] = I.query(EMB, KNN, final="SELECT u, v, k, rank FROM knn")
 QUERIES["q_knn_vote"] = lambda spark, d: S.vote(_knn(spark, d), table(spark, d, "embeddings").select(F.col("vec_id").alias("instance_id"), "label"))
 SQL["q_knn_vote"] = I.query(EMB, KNN, "c AS (SELECT u, label, count(*) AS n FROM knn JOIN emb ON vec_id = knn.v GROUP BY 1, 2)", final="SELECT u, label AS prediction FROM c QUALIFY row_number() OVER (PARTITION BY u ORDER BY n DESC, label) = 1")
-QUERIES["q_inverted_index_candidates"] = lambda spark, d: S.trimmed(S.shared_features(_items(spark, d)), 10).select("u", "v", "shared")
+QUERIES["q_inverted_index_candidates"] = lambda spark, d: S.trimmed(S.shared_features(_lines(spark, d)), 10).select("u", "v", "shared")
 SQL["q_inverted_index_candidates"] = I.query(ITEMS, SHARED, final="SELECT u, v, shared FROM shared QUALIFY row_number() OVER (PARTITION BY u ORDER BY shared DESC, v) <= 30")
 MIN = "sig AS (SELECT instance_id, CAST(k AS INTEGER) AS k, min(((fid % 2147483647) * (96542 * k + 16807) + (69621 * k + 12345)) % 2147483647) AS minhash FROM {}, (SELECT unnest(range(0, 30)) AS k) GROUP BY 1, 2)"
 BINS = "bins AS (SELECT a.instance_id AS u, b.instance_id AS v, count(*) AS shared FROM sig a JOIN sig b USING (k, minhash) GROUP BY 1, 2 HAVING count(*) >= 2)"

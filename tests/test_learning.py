@@ -502,3 +502,23 @@ def test_pairs_in_blocks_are_those_of_the_join(spark, side):
     plan = similarity.kernel(feats)._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
     assert similarity.in_blocks(feats.select("instance_id", F.col("fid").alias("f"), F.col("val").alias("x")), "instance_id", 2, side).agg(F.count("u")).first()[0] == len(got)
+
+
+def test_two_shared_features_are_found_by_pairs_of_features(spark):
+    """q_inverted_index_candidates: no row is made for pairs that share one feature; long sets and repeated rows as by the join."""
+    rng = np.random.default_rng(5)
+    sets = {i: rng.choice(60, int(n), replace=False).tolist() for i, n in enumerate(rng.integers(1, 8, 60))}
+    sets |= {100: list(range(40)), 101: list(range(20, 50)), 102: sets[5], 103: [200]}
+    feats = spark.createDataFrame([(i, int(f)) for i, fs in sets.items() for f in [*fs, fs[0]]], "instance_id long, fid long")
+    got = similarity.shared_features(feats)
+    want = {(a, b): len(set(x) & set(y)) for a, x in sets.items() for b, y in sets.items() if len(set(x) & set(y)) >= 2}
+    rows = got.collect()
+    assert {(r.u, r.v): r.shared for r in rows} == want and len(rows) == len(want)
+    apart = spark.createDataFrame([(i, f) for i in range(300) for f in (7, 1000 + i)], "instance_id long, fid long")  # 44,850 pairs share one
+    met = []
+    kept, similarity.meetings = similarity.meetings, lambda *a, **k: met.append(kept(*a, **k)) or met[-1]
+    try:
+        assert similarity.shared_features(apart).count() == 300
+    finally:
+        similarity.meetings = kept
+    assert sum(m.count() for m in met) == 0
