@@ -277,6 +277,108 @@ class Cells:
         d = self.dealt.join(F.broadcast(plan), "cell").select("id", "v", F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("h"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("l"))
         return q.groupBy("cell", "g", "p").cogroup(d.groupBy("c", "h", "l")).applyInArrow(_nearest(k), "u long, v long, k double")
 
+    def deal(self, homes: DataFrame) -> DataFrame:
+        """(task, kind, cell, id, v, least): queries (kind 0) and vectors (1), one partition for each task.
+
+        Queries are dealt to groups and vectors to parts, each group meets each part in one partition, which holds the queries
+        and what they have found, while vectors go by cell by cell. So vectors are copied once for each group and queries once for
+        each part, and there are no more of these with more rows until a group's queries would take more than HELD numbers.
+        """
+        n, wide = homes.count(), self.pivots.shape[1]
+        groups = max(min(TASKS, -(-n // 1024)), -(-n * wide // HELD))
+        parts = min(TASKS, max(1, len(self.parts)))
+        task = lambda g, p: (g * parts + p).cast("int").alias("task")
+        q = homes.select(F.col("qid").alias("id"), F.col("qv").alias("v"), "least", "cell", F.pmod(F.xxhash64("qid"), F.lit(groups)).alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
+        d = self.dealt.select("id", "v", F.lit(None).cast("double").alias("least"), "cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).alias("_p"))
+        both_kind = "array<float>" if self.kind == homes.schema["qv"].dataType.simpleString() == "array<float>" else "array<double>"
+        rows = lambda df, kind: df.select(task(F.col("_g"), F.col("_p")), F.lit(kind).alias("kind"), "cell", F.col("id").cast("long").alias("id"), F.col("v").cast(both_kind).alias("v"), "least")
+        return rows(q, 0).unionByName(rows(d, 1)).repartitionById(groups * parts, "task").sortWithinPartitions("task", "kind", "cell")
+
+    def sweep(self, homes: DataFrame, k: int) -> DataFrame:
+        """(u, v, k): of each query (qid, qv, least, cell) its k vectors of largest product, of least or more, outside of its cell."""
+        pivots, radius = self.pivots, self.radius
+
+        def run(batches):
+            asked, held = [], None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                t = pa.Table.from_batches([batch])
+                kinds, cells = t["kind"].to_numpy(), t["cell"].to_numpy()
+                first = int(np.searchsorted(kinds, 1))
+                if first:
+                    part = t.slice(0, first)
+                    asked.append((part["id"].to_numpy(), _plain(part), np.array(part["least"].to_pylist(), float), cells[:first]))
+                if first == len(kinds) or not asked:
+                    continue
+                held = held or Sweep(k, *[np.concatenate(x) for x in zip(*asked, strict=True)])
+                edges = [first, *(np.flatnonzero(np.diff(cells[first:])) + first + 1), len(cells)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    one = t.slice(a, b - a)
+                    held.meet(one["id"].to_numpy(), _plain(one), int(cells[a]), pivots[cells[a]], radius[cells[a]])
+            if held:
+                yield from held.found()
+
+        return self.deal(homes).mapInArrow(run, "u long, v long, k double")
+
+
+#: Groups of queries, and parts of vectors, that are made at most as long as a group's queries have HELD numbers at most.
+TASKS, HELD = 6, 1 << 24
+
+
+def _plain(t: pa.Table) -> np.ndarray:
+    return t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+
+
+class Sweep:
+    """Queries and the k nearest that they have found so far, while vectors go by."""
+
+    def __init__(self, k: int, ids: np.ndarray, q: np.ndarray, least: np.ndarray, homes: np.ndarray):
+        self.k, self.ids, self.q, self.homes = k, ids, q, homes
+        self.norms = np.sqrt(np.einsum("ij,ij->i", q, q, dtype=float))
+        self.edge = np.where(np.isnan(least), -np.inf, least)
+        self.best, self.near = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray, cell: int, pivot: np.ndarray, radius: float) -> None:
+        """Vectors of one cell: queries that it may hold something for are multiplied with all of them."""
+        longest = float(np.sqrt(np.einsum("ij,ij->i", x, x, dtype=float).max()))
+        for start in range(0, len(self.q), 4096):
+            rows = slice(start, start + 4096)
+            most = self.q[rows] @ pivot + self.norms[rows] * radius
+            able = start + np.flatnonzero((self.homes[rows] != cell) & ~(most < self.edge[rows] - 2 * 10**-DIGITS))
+            for at in range(0, len(able), AT_ONCE):
+                self._multiply(able[at : at + AT_ONCE], ids, x, longest)
+
+    def _multiply(self, some: np.ndarray, ids: np.ndarray, x: np.ndarray, longest: float) -> None:
+        # Single-precision vectors are looked through in single precision, whose error by Cauchy and Schwarz is below slack.
+        slack = (x.shape[1] + 4) * 2.0**-23 * float(self.norms[some].max()) * longest if x.dtype == np.float32 else 0.0
+        q = self.q[some]
+        part = q @ x.T if slack <= 1e-3 else q.astype(float) @ x.T.astype(float)
+        edge = self.edge[some] - 2 * 10**-DIGITS - (slack if slack <= 1e-3 else 0.0)
+        if len(ids) > self.k and np.isinf(edge).any():
+            edge = np.fmax(edge, np.partition(part, len(ids) - self.k, axis=1)[:, len(ids) - self.k].astype(float) - 2 * 10**-DIGITS - 2 * (slack if slack <= 1e-3 else 0.0))
+        low = edge.astype(part.dtype)
+        at, near = np.nonzero(part >= np.where(low > edge, np.nextafter(low, np.array(-np.inf, part.dtype)), low)[:, None])
+        if not len(at):
+            return
+        found = np.round(np.einsum("ij,ij->i", q[at].astype(float), x[near].astype(float)), DIGITS)
+        touched, at = np.unique(at, return_inverse=True)
+        mine = some[touched]
+        row = np.concatenate([np.repeat(np.arange(len(mine)), self.k), at])
+        value, who = np.concatenate([self.best[mine].ravel(), found]), np.concatenate([self.near[mine].ravel(), ids[near]])
+        order = np.lexsort((who, -value, row))
+        row, value, who = row[order], value[order], who[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        self.best[mine[row[kept]], place[kept]], self.near[mine[row[kept]], place[kept]] = value[kept], who[kept]
+        self.edge[mine] = np.fmax(self.edge[mine], self.best[mine, -1])
+
+    def found(self):
+        for start in range(0, len(self.ids), 4096):
+            best = self.best[start : start + 4096]
+            at, place = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[start + at]), pa.array(self.near[start + at, place]), pa.array(best[at, place])], ["u", "v", "k"])
+
 
 def _apart(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of rows to pivots, with a little added for what rounding may have lost."""
@@ -298,14 +400,14 @@ def dense_neighbours(queries: DataFrame, vectors: DataFrame, k: int, id: str = "
     parted = Cells(x, block, cells)
     if not len(parted.pivots):
         return ranked(q.select(F.col("qid").alias("u"), F.col("qid").alias("v"), F.lit(0.0).alias("k")).where("false"), k)
-    q = materialize(q, "queries") if len(parted.pivots) > 1 else q
-    first = parted.meet(parted.visits(q.withColumn("least", F.lit(None).cast("double")), True), k)
+    homes = parted.visits(q.withColumn("least", F.lit(None).cast("double")), True)
     if len(parted.pivots) == 1:
-        return ranked(first, k)
-    first = materialize(ranked(first, k), "home")
+        return ranked(parted.meet(homes, k), k)
+    homes = materialize(homes, "homes")
+    first = materialize(ranked(parted.meet(homes, k), k), "home")
     least = first.where(F.col("rank") == k).select(F.col("u").alias("qid"), F.col("k").alias("least"))
-    more = materialize(parted.visits(q.join(least, "qid", "left"), False), "visits")
-    return ranked(first.drop("rank").unionByName(parted.meet(more, k)), k)
+    more = parted.sweep(homes.drop("least").join(least, "qid", "left"), k)
+    return ranked(first.drop("rank").unionByName(more), k)
 
 
 def dense_kernels(pairs: DataFrame, vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -522,3 +522,20 @@ def test_two_shared_features_are_found_by_pairs_of_features(spark):
     finally:
         similarity.meetings = kept
     assert sum(m.count() for m in met) == 0
+
+
+def test_vectors_are_copied_no_oftener_with_more_cells(spark):
+    """q_true_knn and those that use it: 40 cells without structure, and what is shuffled to other cells is six copies at most."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 6)).astype(np.float32)
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    kept, seen = similarity.Cells.sweep, []
+    similarity.Cells.sweep = lambda self, homes, k: seen.append((homes, self)) or kept(self, homes, k)
+    try:
+        got = {(r.u, r.rank): r.v for r in similarity.dense_neighbours(made, made, 4, block=10, cells=40).collect()}
+    finally:
+        similarity.Cells.sweep = kept
+    exact = np.round(x.astype(float) @ x.astype(float).T, 6)
+    assert got == {(u, i + 1): int(v) for u in range(400) for i, v in enumerate(np.lexsort((np.arange(400), -exact[u]))[:4])}
+    (homes, parted), = seen
+    assert len(parted.parts) > 20 and parted.deal(homes).count() <= 400 * 2 * similarity.TASKS
