@@ -285,7 +285,7 @@ class Cells:
         each part, and there are no more of these with more rows until a group's queries would take more than HELD numbers.
         """
         n, wide = homes.count(), self.pivots.shape[1]
-        groups = max(min(TASKS, -(-n // 1024)), -(-n * wide // HELD))
+        groups = max(1, min(TASKS, -(-n // 1024)), -(-n * wide // HELD))
         parts = min(TASKS, max(1, len(self.parts)))
         task = lambda g, p: (g * parts + p).cast("int").alias("task")
         q = homes.select(F.col("qid").alias("id"), F.col("qv").alias("v"), "least", "cell", F.pmod(F.xxhash64("qid"), F.lit(groups)).alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))

@@ -539,3 +539,4 @@ def test_vectors_are_copied_no_oftener_with_more_cells(spark):
     assert got == {(u, i + 1): int(v) for u in range(400) for i, v in enumerate(np.lexsort((np.arange(400), -exact[u]))[:4])}
     (homes, parted), = seen
     assert len(parted.parts) > 20 and parted.deal(homes).count() <= 400 * 2 * similarity.TASKS
+    assert similarity.dense_neighbours(made.limit(0), made, 4, block=100, cells=4).count() == 0
