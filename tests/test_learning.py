@@ -540,3 +540,20 @@ def test_vectors_are_copied_no_oftener_with_more_cells(spark):
     (homes, parted), = seen
     assert len(parted.parts) > 20 and parted.deal(homes).count() <= 400 * 2 * similarity.TASKS
     assert similarity.dense_neighbours(made.limit(0), made, 4, block=100, cells=4).count() == 0
+
+
+@pytest.mark.parametrize("kind,lam", [("hinge", 1e-4), ("hinge", 2.0), ("squared_hinge", 0.05), ("smooth_hinge", 1e-4), ("log", 1e-2), ("log_margin", 1e-4)])
+def test_blocks_learn_as_single_steps_do(points, kind, lam):
+    x, y, _, _ = points
+    one, many = (train.Descent(np.zeros(5), 0.0, 0.0, train.Options(loss=kind, lam=lam)) for _ in range(2))
+    for n in (120, 1, 0, 15, 33):
+        for i in range(n):
+            one.step(np.arange(5), x[i], float(y[i]))
+        many.learn(x[:n], y[:n].astype(float))
+        assert many.fold() == pytest.approx(one.fold(), rel=1e-9) and many.bias == pytest.approx(one.bias, rel=1e-9) and many.t == pytest.approx(one.t)
+
+
+def test_letters_are_counted_in_one_pass(spark):
+    shares = inputs.letters(spark, "/root/testdata/sf0.001")
+    assert shares._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert all(r.total == pytest.approx(1) and r.n <= 26 for r in shares.groupBy("instance_id").agg(F.sum("val").alias("total"), F.count("*").alias("n")).collect())

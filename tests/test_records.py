@@ -60,6 +60,12 @@ def test_windows_wrap_and_scripts(spark):
     assert [r.n for r in made] == [42, 10] and "k" not in made[0].asDict()
     assert sequence.totals(rows, {"n": "count(text)"}).first().n == 2
     assert sequence.residue_histogram(sequence.cleaned(rows)).where("residue = 'S'").first().n == 2
+
+
+def test_residues_beside_the_letters_are_counted(spark):
+    rows = spark.createDataFrame([("a", "AB-é-B"), ("a", "é."), ("b", ""), ("b", None), ("c", "ab")], "id string, seq string")
+    got = {(r.id, r.residue): r.n for r in sequence.residue_histogram(rows, ["id"]).collect()}
+    assert got == {("a", "A"): 1, ("a", "B"): 2, ("a", "-"): 2, ("a", "é"): 2, ("a", "."): 1, ("c", "a"): 1, ("c", "b"): 1}
     with pytest.raises(Exception):
         sequence.checked(rows, "no_such_column + 1")
     for wrong in ({"grep": "x", "print_each": True}, {"one_line": True, "line_length": 5}, {"line_length": 0}, {"sort_by": "x", "end": "y"}):
