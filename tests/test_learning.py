@@ -557,3 +557,15 @@ def test_letters_are_counted_in_one_pass(spark):
     shares = inputs.letters(spark, "/root/testdata/sf0.001")
     assert shares._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     assert all(r.total == pytest.approx(1) and r.n <= 26 for r in shares.groupBy("instance_id").agg(F.sum("val").alias("total"), F.count("*").alias("n")).collect())
+
+
+def test_copies_have_equal_margins(spark):
+    """Sums in the order of features, so that a threshold takes all copies of an instance or none (q_cascade_train, q_self_training)."""
+    rng = np.random.default_rng(5)
+    x = rng.random(12)
+    rows = [(i, int(f), float(x[f])) for i in range(60) for f in rng.permutation(12)]
+    feats = spark.createDataFrame(rows, "instance_id long, fid long, val double")
+    weights = spark.createDataFrame([(0, f, float(w)) for f, w in zip(range(-1, 12), rng.normal(size=13), strict=True)], "model int, fid long, w double")
+    tests = feats.select(F.lit(0).alias("model"), "instance_id").distinct()
+    got = train.trained_margins(feats, weights, tests, ["model"], train.packed(feats)).collect()
+    assert len(got) == 60 and len({r.margin for r in got}) == 1
