@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +25,25 @@ def without_stars(split: DataFrame) -> DataFrame:
     return split.where("alt <> '*'")
 
 
-def merged_alleles(split: DataFrame) -> DataFrame:
-    """Sites of all alleles at a place again, in order."""
-    one = split.groupBy("chrom", "pos", "ref").agg(F.array_sort(F.collect_list(F.struct("i", "alt", "allele_count"))).alias("a"))
-    return one.select("chrom", "pos", "ref", F.col("a.alt").alias("alts"), F.col("a.allele_count").alias("ac"))
+def merged_alleles(split: DataFrame, keep: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """Sites of all alleles at a place again, in order.
+
+    keep: columns that a site's alleles have in common. parts: the number of tasks, by default Spark's own for a shuffle.
+    """
+    place = ["chrom", "pos", "ref"]
+    split = split.select(*place, "i", "alt", "allele_count", *keep)
+    split = split.repartition(parts, *place) if parts else split
+    one = split.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("i", "alt", "allele_count"))).alias("a"), *[F.first(c).alias(c) for c in keep])
+    return one.select(*place, F.col("a.alt").alias("alts"), F.col("a.allele_count").alias("ac"), *keep)
 
 
-def concatenated(*chunks: DataFrame) -> DataFrame:
-    """All chunks, ordered within partitions of a range of places."""
+def concatenated(*chunks: DataFrame, parts: int | None = None) -> DataFrame:
+    """All chunks, ordered within partitions (parts, by default Spark's number for a shuffle) of a range of places."""
     out = chunks[0]
     for more in chunks[1:]:
         out = out.unionByName(more)
-    return out.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
+    place = ["chrom", "pos"]
+    return (out.repartitionByRange(parts, *place) if parts else out.repartitionByRange(*place)).sortWithinPartitions(*place)
 
 
 def passed(sites: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from strandgraph.plans import inputs as I
 from strandgraph.plans.learning import KEY, LETTER_MARGIN, _letter_margin
 from strandgraph.plans.inputs import table
 from strandgraph.sources import readers, writers
-from strandgraph.storage import fresh
+from strandgraph.storage import fresh, materialize, wide
 
 QUERIES, SQL = {}, {}
 
@@ -298,20 +298,32 @@ QUERIES["q_feature_maps"] = feature_maps
 SQL["q_feature_maps"] = f"SELECT {I.ap_text('text')} AS code, text, generator FROM (SELECT DISTINCT p_type AS text, 'p_type' AS generator FROM part UNION ALL SELECT DISTINCT p_brand, 'p_brand' FROM part)"
 
 
+#: Lines that one task of the variant workflow takes, about.
+LINES = 250_000
+
+
 def workflow(spark, d):
-    """The variant workflow: chunks brought together, passed sites of one kind, samples taken out, alleles split and merged."""
-    line = table(spark, d, "lineitem").where("l_partkey % 7 <> 0")
+    """The variant workflow: chunks brought together, passed sites of one kind, samples taken out, alleles split and merged.
+
+    Every shuffle has tasks by the number of lines, so a task's rows don't grow with the tables. Sites are made once and written;
+    chunks and kinds read them.
+    """
+    line = table(spark, d, "lineitem")
+    parts = -(-line.count() // LINES) or 1
+    line = line.where("l_partkey % 7 <> 0")
     alt = F.when(F.col("l_returnflag") == "R", "*").when(F.col("l_shipdate") < "1995-01-01", "AT").otherwise(F.col("l_linestatus"))
     one = F.struct("l_linenumber", alt.alias("alt"), F.round("l_quantity").cast("int").alias("c"), F.struct(F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("sample"), F.col("l_returnflag").alias("gt")).alias("g"))
-    sites = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("a")).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
+    status = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus").repartition(parts, "l_orderkey")
+    sites = wide(line.select("l_orderkey", one.alias("one")).repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("one")).alias("a"))).join(status, "l_orderkey")
     sites = sites.select(F.concat(F.lit("chr"), (F.col("l_orderkey") % 3).cast("string")).alias("chrom"), F.col("l_orderkey").alias("pos"), F.lit("N").alias("ref"), F.col("a.alt").alias("alts"), F.when(F.col("o_orderstatus") == "F", "PASS").otherwise("low").alias("filter"), F.col("a.c").alias("ac"), F.col("a.g").alias("genotypes"))
-    whole = variants.passed(variants.concatenated(*[sites.where(F.col("chrom") == f"chr{k}") for k in range(3)]))
+    sites = materialize(sites, "sites")
+    whole = materialize(variants.passed(variants.concatenated(*[sites.where(F.col("chrom") == f"chr{k}") for k in range(3)], parts=parts)), "passed")
     out = None
     for kind in ("snp", "indel"):
         kept = variants.without_samples(variants.by_type(whole, kind, 10), spark.createDataFrame([("s1",), ("s3",)], "sample string"))
-        merged = variants.merged_alleles(variants.without_stars(variants.split_alleles(kept)))
-        names = kept.select("chrom", "pos", F.array_join("genotypes.sample", ",").alias("samples"))
-        part = merged.join(names, ["chrom", "pos"]).select("chrom", "pos", F.array_join("alts", "/").alias("alts"), F.array_join(F.transform("ac", lambda x: x.cast("string")), "/").alias("counts"), "samples", F.lit(kind).alias("kind"))
+        kept = kept.withColumn("samples", F.array_join("genotypes.sample", ","))
+        merged = variants.merged_alleles(variants.without_stars(variants.split_alleles(kept)), ["samples"], parts)
+        part = merged.select("chrom", "pos", F.array_join("alts", "/").alias("alts"), F.array_join(F.transform("ac", lambda x: x.cast("string")), "/").alias("counts"), "samples", F.lit(kind).alias("kind"))
         out = part if out is None else out.unionByName(part)
     return out
 

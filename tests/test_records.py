@@ -60,12 +60,6 @@ def test_windows_wrap_and_scripts(spark):
     assert [r.n for r in made] == [42, 10] and "k" not in made[0].asDict()
     assert sequence.totals(rows, {"n": "count(text)"}).first().n == 2
     assert sequence.residue_histogram(sequence.cleaned(rows)).where("residue = 'S'").first().n == 2
-
-
-def test_residues_beside_the_letters_are_counted(spark):
-    rows = spark.createDataFrame([("a", "AB-é-B"), ("a", "é."), ("b", ""), ("b", None), ("c", "ab")], "id string, seq string")
-    got = {(r.id, r.residue): r.n for r in sequence.residue_histogram(rows, ["id"]).collect()}
-    assert got == {("a", "A"): 1, ("a", "B"): 2, ("a", "-"): 2, ("a", "é"): 2, ("a", "."): 1, ("c", "a"): 1, ("c", "b"): 1}
     with pytest.raises(Exception):
         sequence.checked(rows, "no_such_column + 1")
     for wrong in ({"grep": "x", "print_each": True}, {"one_line": True, "line_length": 5}, {"line_length": 0}, {"sort_by": "x", "end": "y"}):
@@ -246,3 +240,25 @@ def test_cut_binary_vectors_are_an_error(spark):
     for content, read in ((b"\x02\0\0\0" + b"\0" * 8, readers.decoded_sparse), (b"\x02\0\0\0" + b"\0" * 4, readers.decoded_dense), (b"\x01", readers.decoded_dense)):
         with pytest.raises(Exception, match="beyond the end"):
             read(spark.createDataFrame([("f", bytearray(content))], "file string, content binary")).collect()
+
+
+def test_variant_tasks_follow_the_lines(spark, monkeypatch):
+    """More lines are more tasks, not larger ones, with the same sites (q_variant_workflow)."""
+    from strandgraph.plans import files, inputs
+
+    rows = [("1", p, "A", 0, "C", 1, "s") for p in range(40)] + [("1", p, "A", 1, "T", 2, "s") for p in range(0, 40, 2)]
+    split = spark.createDataFrame(rows, "chrom string, pos long, ref string, i int, alt string, allele_count int, samples string")
+    merged = variants.merged_alleles(split, ["samples"], 7)
+    assert merged.rdd.getNumPartitions() == 7 and all(r.samples == "s" and r.alts == (["C", "T"] if r.pos % 2 == 0 else ["C"]) for r in merged.collect())
+    few = files.workflow(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(files, "LINES", 1000)
+    many = files.workflow(spark, "/root/testdata/sf0.001")
+    lines = inputs.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    assert few.rdd.getNumPartitions() <= 2 and many.rdd.getNumPartitions() >= -(-lines // 1000)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_residues_beside_the_letters_are_counted(spark):
+    rows = spark.createDataFrame([("a", "AB-é-B"), ("a", "é."), ("b", ""), ("b", None), ("c", "ab")], "id string, seq string")
+    got = {(r.id, r.residue): r.n for r in sequence.residue_histogram(rows, ["id"]).collect()}
+    assert got == {("a", "A"): 1, ("a", "B"): 2, ("a", "-"): 2, ("a", "é"): 2, ("a", "."): 1, ("c", "a"): 1, ("c", "b"): 1}
