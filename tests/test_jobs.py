@@ -14,6 +14,7 @@ import pytest
 
 from jobs import registry, screen, trainset
 from jobs.common import config
+from strandgraph import storage
 
 TABLES = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 DOCS = "doc_id long, text string, lang string, source string"
@@ -150,6 +151,31 @@ def test_training_set_leaves_its_output_alone(spark, tmp_path):
     assert "Exchange hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_training_set_runs_no_function_on_each_residue(spark, tmp_path, monkeypatch):
+    """Windows and features come without Spark's interpreted folds over arrays, and rows are dealt out twice: once for each rank."""
+    settings = config(None, "trainset.json") | {"length": 3, "step": 1, "least_distinct_residues": 2}
+    docs = spark.createDataFrame([(i, t, None, "x") for i, t in enumerate(_texts(20, 7))], DOCS)
+    labels = spark.range(20).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    found = trainset.peptides(docs, labels, settings)
+    wrote = []
+    monkeypatch.setattr("strandgraph.operators.ranks.materialize", lambda df, name: wrote.append(name) or storage.materialize(df, name))
+    made = trainset.examples(found, settings)
+    assert wrote == ["ranges", "shift"]
+    for df in (found, made):
+        assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count() == found.count() > 0
+
+
+def test_training_set_restores_settings_and_takes_no_peptides(spark, tmp_path):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.createDataFrame([(1, "PRK" * 30, None, "x")], DOCS).write.parquet(f"{tmp_path}/docs")
+    for quality in (None, 1):  # nothing is labelled; few distinct residues
+        spark.createDataFrame([(1, quality)], "doc_id long, quality int").write.mode("overwrite").parquet(f"{tmp_path}/labels")
+        assert trainset.run(spark, f"{tmp_path}/docs", f"{tmp_path}/labels", f"{tmp_path}/out", config(None, "trainset.json")) == 0
+    assert spark.conf.get(name) == before
+
+
 def test_command_lines(spark, tmp_path, monkeypatch):
     @contextmanager
     def ours(name):

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandgraph import storage
 from strandgraph.functions import vectors as V
 from strandgraph.functions.residues import cast_or_null, loss, loss_slope, ordered_pair
 from strandgraph.operators import metrics, model, similarity, train
@@ -99,6 +100,19 @@ def test_cross_validation_and_curve_learn(points):
     assert sum((r.margin >= 0) == (r.y > 0) for r in curve if r.point == 3) >= 26
 
 
+@pytest.mark.parametrize("apart", [1, train.SHUFFLE, 911])
+def test_folds_and_copies_are_those_of_folds_and_balanced(spark, apart, monkeypatch):
+    """Also for ids whose keys are all the same; rows are dealt out once, and only the sizes of parts are written."""
+    rows = spark.range(900).selectExpr(f"id * {apart} AS instance_id", "CAST(IF(id % 7 < 2 OR id > 800, 1, -1) AS INT) AS y")
+    wrote = []
+    monkeypatch.setattr(train, "materialize", lambda df, name: wrote.append(name) or storage.materialize(df, name))
+    got = {r.instance_id: (r.fold, r.copies) for r in train.folds_and_copies(rows, 4, seed=3).collect()}
+    assert wrote == ["parts"]
+    fold = {r.instance_id: r.fold for r in train.folds(rows, 4, seed=3).collect()}
+    copies = {r.instance_id: r["count"] for r in train.balanced(rows, seed=3).groupBy("instance_id").count().collect()}
+    assert got == {i: (fold[i], copies[i]) for i in fold} and len(got) == 900
+
+
 def test_balance(spark):
     rows = spark.createDataFrame([(i, 1 if i < 7 else -1) for i in range(10)] + [(99, 0)], "instance_id long, y int")
     got = train.balanced(rows).collect()

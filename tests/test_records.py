@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,23 @@ def test_windows_wrap_and_scripts(spark):
     assert sequence.python_script(rows.where("id < 3"), lambda it: (p.assign(text=p["text"].str[::-1]) for p in it), rows.schema).where("id = 2").first().text == "trohs"
 
 
+@pytest.mark.parametrize(("length", "step"), [(15, 5), (4, 3), (2, 4), (1, 1)])
+def test_windows_of_any_characters(spark, length, step):
+    texts = [None, "", "A", "ABCDEFGHIJKLMNOPQRSTUVW", "ABCDéFGHIJΩLMNOPQRST", "𝄞" * 17 + "\n" * 3, "x" * 15, "é" * 14, "AB\nCD EF" * 9]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, seq string")
+    got = {(r.id, r.start, r.end, r.peptide_id, r.seq) for r in sequence.windows(rows, length, step).collect()}
+    assert got == {(i, at + 1, at + length, f"{i}-{at + 1}-{at + length}", t[at : at + length]) for i, t in enumerate(texts) if t for at in range(0, len(t) - length + 1, step)}
+    assert "lambda" not in sequence.windows(rows, length, step)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_counts_of_residues(kind):
+    for seqs in ([], [None], [""], ["", "PRKPR", None, "AAAAAAAAAAAA", "Z"], ["éA𝄞", "A", None, "Ωé"]):
+        want = [None if s is None else " ".join(f"{ord(c)}:{s.count(c)}" for c in sorted(set(s))) for s in seqs]
+        assert R.counts(pa.array(seqs, kind)).to_pylist() == want
+        assert R.counts(pa.array(["before", *seqs], kind)[1:]).to_pylist() == want
+
+
 def test_gspan_round_trip(spark, tmp_path):
     p = spark.createDataFrame([("0", "EPL"), ("1", "KF")], "peptide_id string, seq string")
     v, e = encode.vertices(p), encode.edges(p)
